@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.llm.heavy import frequent_items
 from spanloom.llm.mixing import mixture, reached_shares, token_sizes
 from spanloom.llm.seen import filter_errors, seen_before, trimmed
+from spanloom.llm.sentences import sentences
 from spanloom.llm.together import pairs_together
 from spanloom.llm.tokenizer import encode_documents
 from spanloom.operators.packed import explode_packed
@@ -68,6 +69,12 @@ def p3_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_errors(incoming_keys(spark, sf_dir), known_keys(spark, sf_dir))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = sentences(table(spark, sf_dir, "documents"), "doc_id").select(F.lit("documents").alias("tbl"), "*")
+    utterances = sentences(table(spark, sf_dir, "utterances"), "row_id").select(F.lit("utterances").alias("tbl"), "*")
+    return documents.unionByName(utterances)
+
+
 def utterance_cuis(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.coalesce(F.concat(F.lit("utt:"), "utt_id"), F.concat(F.lit("row:"), F.col("row_id").cast("string")))
     return candidate_cuis(utterances_with_cuis(spark, sf_dir), own.alias("utt"))
@@ -102,6 +109,7 @@ QUERIES = {
     "p1_frequent": p1_frequent,
     "p3_found": p3_found,
     "p3_errors": p3_errors,
+    "p6_found": p6_found,
     "p7_found": p7_found,
     "p7_pairs": p7_pairs,
     "p8_ids": p8_ids,
