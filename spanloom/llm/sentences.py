@@ -52,7 +52,7 @@ SMILEY = r"(?:[:;][-'^]?[)\](\[DPpOo|/*]+(?![\w])|=[)(D](?![\w])|<3(?!\d)|\^_?\^
 BLANK_LINE = regex.compile(r"(?:\r\n|\n|\r| )[^\S\n\r]*(?:\r\n|\n|\r| )\s*| ")
 CANDIDATE = regex.compile(rf"[.!?…。！？｡．؟۔।॥;;‼⁇⁈⁉]+|{SMILEY}|(?<=[\p{{Thai}}\p{{Lao}}\p{{Khmer}}\p{{Myanmar}}])\s+|\s+(?=[\p{{Thai}}\p{{Lao}}\p{{Khmer}}\p{{Myanmar}}])")
 SPACE = regex.compile(r"\s*")
-SMILEYS = regex.compile(rf"[^\S\n\r]*{SMILEY}(?=\s|$|[.!?])")
+SMILEYS = regex.compile(rf"[^\S\n\r]*{SMILEY}+(?=\s|$|[.!?])")
 SMILEY_ONLY = regex.compile(SMILEY)
 CLOSING = regex.compile(rf"(?:[{regex.escape(CLOSERS)}]|\s*[»›](?=[\s,.;:!?)]|$))+")
 WORD_BEFORE = regex.compile(r"(?r)[\p{L}\p{M}\p{N}](?:[\p{L}\p{M}\p{N}'’-]|(?<=\p{L}\p{M}*)\.\s?(?=\p{L}))*")
@@ -235,7 +235,7 @@ def _block(text: str, begin: int, limit: int) -> Iterator[tuple[int, int]]:
         if nxt in ",;:،؛،、，；：)]}»”’" and not (nxt in ":;" and SMILEY_ONLY.match(text, after)):
             ends = False
         elif mark[0] in ";;" and set(mark) <= {";", ";"}:
-            ends = bool(GREEK.search(text, start, first)) and spaced and (nxt.isupper() or nxt in OPENERS or nxt.isdigit() or CASELESS.match(nxt) is not None)
+            ends = bool(GREEK.search(text, max(start, first - 200), first)) and spaced and (nxt.isupper() or nxt in OPENERS or nxt.isdigit() or CASELESS.match(nxt) is not None)
         elif SMILEY_ONLY.fullmatch(mark):
             ends = spaced and _opens(text, after, limit, "") and (nxt.isupper() or nxt.isdigit() or nxt in OPENERS or CASELESS.match(nxt) is not None)
         elif FULL_STOPS.search(mark) or (mark[0] in "…?!" and CJK.match(last)) or closed and CJK.match(text[first - 1 : first]):
@@ -288,13 +288,18 @@ def _block(text: str, begin: int, limit: int) -> Iterator[tuple[int, int]]:
 
 
 def _bracketed(text: str, start: int, at: int, limit: int) -> bool:
-    """Whether ``at`` is inside a bracket that opened in this sentence, behind its first words, and closes soon."""
+    """Whether ``at`` is inside a bracket or quotation that opened behind this sentence's first words and closes soon."""
     for opening, closing in (("(", ")"), ("（", "）"), ("[", "]")):
         opened = text.rfind(opening, start, at)
         if opened > start and text.find(closing, opened, at) < 0:
             closes = text.find(closing, at, min(limit, at + 300))
             if closes >= 0:
                 return True
+    for opening, closing in (("\"", "\""), ("“", "”"), ("„", "“"), ("«", "»")):
+        opened = text.rfind(opening, start, at)
+        if opened > start and (text.count('"', start, at) % 2 if opening == closing else text.find(closing, opened, at) < 0):
+            if text.find(closing, at, min(limit, at + 300)) >= 0:
+                return True
     return False
 
 
