@@ -10,6 +10,7 @@ from spanloom.llm.mixing import mixture, reached_shares, token_sizes
 from spanloom.llm.seen import filter_errors, seen_before, trimmed
 from spanloom.llm.sentences import sentences
 from spanloom.llm.together import pairs_together
+from spanloom.llm.toxicity import THRESHOLD, rates_by_source, score_documents
 from spanloom.llm.tokenizer import encode_documents
 from spanloom.operators.packed import explode_packed
 from spanloom.session import stored, table
@@ -104,6 +105,19 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reached_shares(stored(p9_mixture(spark, sf_dir), "mixture"), table(spark, sf_dir, "mix_targets"))
 
 
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score and passages."""
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "content_labels"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_scores(spark, sf_dir).where(F.col("score") >= THRESHOLD).select("doc_id")
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rates_by_source(p10_scores(spark, sf_dir))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_frequent": p1_frequent,
@@ -115,6 +129,9 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
+    "p10_rates": p10_rates,
 }
 
 EDGE_IDS = r"""(select unnest(list_filter(list_transform(regexp_extract_all(utt_ids,
