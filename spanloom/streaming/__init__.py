@@ -1 +1 @@
-
+"""Incremental graph building."""
