@@ -41,11 +41,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_values(spark, sf_dir)
 
 
-FOLDER = F.regexp_extract("file_path", r"^(.*)/", 1)
+def with_folder(records: DataFrame) -> DataFrame:
+    return records.withColumn("folder", F.regexp_extract("file_path", r"^(.*)/", 1))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = table(spark, sf_dir, "annotated_texts").withColumn("folder", FOLDER)
+    records = with_folder(table(spark, sf_dir, "annotated_texts"))
     keep = first_deliveries(records, [F.col("id"), clean_text(F.col("text"))], ["file_path", "rec_no"])
     target = shared_path(spark, "annotated-texts")
     kept = compact_records(records, target, "folder", "file_path", "n_bytes", keep, ("file_path", "rec_no"))
@@ -54,7 +55,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The folders with too many small files and the number of files they are to have."""
-    records = table(spark, sf_dir, "annotated_texts").withColumn("folder", FOLDER)
+    records = with_folder(table(spark, sf_dir, "annotated_texts"))
     return small_file_partitions(records, Policy(), "folder", "file_path", "n_bytes")
 
 
