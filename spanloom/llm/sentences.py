@@ -50,8 +50,14 @@ OPENERS = "\"'“‘„‚«‹「『（(【〈《［[{｛〖¿¡"
 PAIRED = {"）": "（", ")": "(", "】": "【", "」": "「", "』": "『", "”": "“", "]": "[", "］": "［", "》": "《", "〉": "〈"}
 SMILEY = r"(?:[:;][-'^]?[)\](\[DPpOo|/*]+(?![\w])|=[)(D](?![\w])|<3(?!\d)|\^_?\^|[\U0001F300-\U0001FAFF☀-➿][\ufe0f\U0001F3FB-\U0001F3FF]?)"
 BLANK_LINE = regex.compile(r"(?:\r\n|\n|\r| )[^\S\n\r]*(?:\r\n|\n|\r| )\s*| ")
-CANDIDATE = regex.compile(rf"[.!?…。！？｡．؟۔।॥;;‼⁇⁈⁉]+|{SMILEY}|(?<=[\p{{Thai}}\p{{Lao}}\p{{Khmer}}\p{{Myanmar}}])\s+|\s+(?=[\p{{Thai}}\p{{Lao}}\p{{Khmer}}\p{{Myanmar}}])")
-SPACE = regex.compile(r"\s*")
+UNTERMINATED = r"\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+TERMINATORS = ".!?…。！？｡．؟۔।॥;;‼⁇⁈⁉"
+CANDIDATE = regex.compile(rf"[{TERMINATORS}]+|{SMILEY}")
+CANDIDATE_OR_GAP = regex.compile(rf"[{TERMINATORS}]+|{SMILEY}|(?<=[{UNTERMINATED}])\s+|\s+(?=[{UNTERMINATED}])")
+HAS_UNTERMINATED = regex.compile(rf"[{UNTERMINATED}]")
+#: What a smiley can begin with, besides signs beyond this.
+SMILEY_STARTS, PICTURES = ":;=<^", "☀"
+MISSING_BLANK = regex.compile(r"(?:\p{Ll}{2}|\p{Lo}\p{M}*|\p{N}|[%)\]”»°])$")
 SMILEYS = regex.compile(rf"[^\S\n\r]*{SMILEY}+(?=\s|$|[.!?])")
 SMILEY_ONLY = regex.compile(SMILEY)
 CLOSING = regex.compile(rf"(?:[{regex.escape(CLOSERS)}]|\s*[»›](?=[\s,.;:!?)]|$))+")
@@ -142,7 +148,7 @@ def _opens(text: str, at: int, limit: int, before: str) -> bool:
             return True
         return TURNS_CASELESS.match(text, at, min(limit, at + 60)) is not None
     if char in "-–—•*·#@→":
-        follow = SPACE.match(text, skipped + 1, limit).end()
+        follow = _skip(text, skipped + 1, limit)
         return char in "•*#@→" and follow < limit
     return bool(SMILEY_ONLY.match(text, at)) or char.isalnum()
 
@@ -193,11 +199,18 @@ def _abbreviation(text: str, start: int, at: int, after: int, limit: int, spaced
     return None
 
 
-def _block(text: str, begin: int, limit: int) -> Iterator[tuple[int, int]]:
-    start = SPACE.match(text, begin, limit).end()
+def _skip(text: str, at: int, limit: int) -> int:
+    while at < limit and text[at].isspace():
+        at += 1
+    return at
+
+
+def _block(text: str, begin: int, limit: int, gaps: bool) -> Iterator[tuple[int, int]]:
+    start = _skip(text, begin, limit)
     at = start
+    search = (CANDIDATE_OR_GAP if gaps else CANDIDATE).search
     while True:
-        found = CANDIDATE.search(text, at, limit)
+        found = search(text, at, limit)
         if not found:
             break
         mark, first, at = found.group(), found.start(), found.end()
@@ -206,12 +219,14 @@ def _block(text: str, begin: int, limit: int) -> Iterator[tuple[int, int]]:
                 yield start, first
                 start = at
             continue
-        if first == start and not SMILEY_ONLY.fullmatch(mark) and mark[0] in "….":
+        smiley = mark[0] not in TERMINATORS or mark[0] == ";" and mark.strip(";") != ""
+        if first == start and not smiley and mark[0] in "….":
             continue  # nothing to end yet
-        smiley = SMILEY_ONLY.fullmatch(mark) is not None
+        face = smiley
         stop = at
         closed = ""
-        closing = CLOSING.match(text, stop, limit)
+        near = text[stop : stop + 1]
+        closing = CLOSING.match(text, stop, limit) if near and (near in CLOSERS or near.isspace() or near == "›") else None
         if closing and not smiley:
             closed = closing.group()
             stop = closing.end()
@@ -220,11 +235,10 @@ def _block(text: str, begin: int, limit: int) -> Iterator[tuple[int, int]]:
                 closed, stop = closed[:quote], closing.start() + quote
         if text[stop : stop + 1] == "“" and text.rfind("„", start, first) > text.rfind("“", start, first):
             closed, stop = closed + "“", stop + 1
-        trailing = SMILEYS.match(text, stop, limit)
-        while trailing and trailing.end() <= limit:
+        after = _skip(text, stop, limit)
+        while after < limit and (text[after] in SMILEY_STARTS or text[after] >= PICTURES) and (trailing := SMILEYS.match(text, stop, limit)):
             stop, smiley = trailing.end(), True
-            trailing = SMILEYS.match(text, stop, limit)
-        after = SPACE.match(text, stop, limit).end()
+            after = _skip(text, stop, limit)
         if after >= limit:
             at = limit
             break
@@ -236,7 +250,7 @@ def _block(text: str, begin: int, limit: int) -> Iterator[tuple[int, int]]:
             ends = False
         elif mark[0] in ";;" and set(mark) <= {";", ";"}:
             ends = bool(GREEK.search(text, max(start, first - 200), first)) and spaced and (nxt.isupper() or nxt in OPENERS or nxt.isdigit() or CASELESS.match(nxt) is not None)
-        elif SMILEY_ONLY.fullmatch(mark):
+        elif face:
             ends = spaced and _opens(text, after, limit, "") and (nxt.isupper() or nxt.isdigit() or nxt in OPENERS or CASELESS.match(nxt) is not None)
         elif FULL_STOPS.search(mark) or (mark[0] in "…?!" and CJK.match(last)) or closed and CJK.match(text[first - 1 : first]):
             ends = True
@@ -271,7 +285,7 @@ def _block(text: str, begin: int, limit: int) -> Iterator[tuple[int, int]]:
                 word = NEXT_WORD.match(text, after, limit)
                 before = text[max(start, first - 3) : first]
                 heads = bool(word) and (nxt.isupper() and (word.group()[1:2].islower() or len(word.group()) == 1 and text[word.end() : word.end() + 1] == " "))
-                prior = bool(regex.search(r"(?:\p{Ll}{2}|\p{Lo}\p{M}*|\p{N}|[%)\]”»°])$", before)) or len(before) == 3 and before.isupper() or bool(closed)
+                prior = bool(MISSING_BLANK.search(before)) or len(before) == 3 and before.isupper() or bool(closed)
                 ends = prior and (heads or nxt in "¿¡“«„「" or CASELESS.match(nxt) is not None and not last.isdigit() or nxt.isupper() and before.isalpha() and before.islower() and bool(word) and len(word.group()) > 2)
             if ends and not closed and _bracketed(text, start, first, limit):
                 ends = False
@@ -318,10 +332,11 @@ def split_sentences(text: str | None) -> list[tuple[int, int]]:
         return []
     spans: list[tuple[int, int]] = []
     begin = 0
+    gaps = HAS_UNTERMINATED.search(text) is not None
     for blank in BLANK_LINE.finditer(text):
-        spans += _block(text, begin, blank.start())
+        spans += _block(text, begin, blank.start(), gaps)
         begin = blank.end()
-    spans += _block(text, begin, len(text))
+    spans += _block(text, begin, len(text), gaps)
     return spans
 
 
