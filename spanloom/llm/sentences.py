@@ -38,7 +38,7 @@ NUMBERED = frozenset(
 SOMETIMES = frozenset(
     """etc al resp jr inc ltd co corp bros dept univ est wk wks mo mos yr yrs hr hrs min mins sec a.m p.m u.s u.k u.s.a
     e.u u.n i.v i.m s.c p.o b.i.d t.i.d q.d ph.d m.d b.sc m.sc d.c usw u.ä u.a.m o.ä др г гг в вв тыс млн млрд проч
-    пр ee.uu uu ee ud uds vd vds κ.λπ κλπ κ.ά μ.μ π.μ वगैरह इत्यादि""".split()
+    пр ee.uu uu ud uds vd vds κ.λπ κλπ κ.ά μ.μ π.μ वगैरह इत्यादि""".split()
 )
 # Of these, the ones behind which a number opens a sentence.
 OPENED_BY_NUMBER = frozenset("etc resp a.m p.m co inc jr u.s u.k usw u.ä o.ä др пр проч".split())
