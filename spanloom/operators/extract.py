@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.constants import NOUN, whole
@@ -28,6 +28,12 @@ def place_mentions(mentions: DataFrame, sentences: DataFrame, key: str) -> DataF
     return both.withColumn("top", shallowest(F.col("positions"), F.col("paths"))).drop("inside", "own")
 
 
+def only(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """Rows for which ``value`` is not null, with it as ``name``. By unfolding an array of none or one, as a filter would be
+    moved in front of the projection and ``value`` worked out twice."""
+    return df.withColumn(name, F.explode(F.filter(F.array(value), lambda x: x.isNotNull())))
+
+
 def relation_evidence(mentions: DataFrame, sentences: DataFrame, key: str) -> DataFrame:
     """``(src, rel, dst, utt_id, src_semtypes, dst_semtypes)`` of every pair of concepts whose mentions a labelled path joins."""
     placed = place_mentions(mentions, sentences, key)
@@ -35,10 +41,9 @@ def relation_evidence(mentions: DataFrame, sentences: DataFrame, key: str) -> Da
     trees = sentences.select(F.struct(key, "sent_no").alias("sentence"), "tokens", root_paths(F.col("tokens")).alias("paths"))
     full = pairs.join(trees, "sentence")
     path = dependency_path(F.col("paths"), F.col("top_1"), F.col("top_2"), F.col("positions_1"), F.col("positions_2"))
-    full = full.withColumn("path", path).where("path is not null")
+    full = only(full, path, "path")
     full = full.withColumn("nodes", path_nodes(F.col("tokens"), F.col("paths"), F.col("path")))
-    full = full.withColumn("done", clean_path(F.col("nodes")))
-    full = full.where("done is not null").withColumn("rel", print_path(F.col("done"), F.col("tokens")))
+    full = only(full, clean_path(F.col("nodes")), "done").withColumn("rel", print_path(F.col("done"), F.col("tokens")))
     one = full.select(F.col(f"sentence.{key}").alias("utt_id"), "rel", F.explode("concepts_1").alias("c1"), "concepts_2")
     two = one.select("utt_id", "rel", "c1", F.explode("concepts_2").alias("c2"))
     return two.select(

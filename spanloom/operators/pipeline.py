@@ -39,7 +39,8 @@ class Annotator(ABC):
     def apply(self, document: Column) -> Column:
         names = F.coalesce(document["enhanced_by"], F.array().cast("array<string>"))
         done = F.array_contains(names, self.name)
-        return F.when(done, document).otherwise(self.annotate(document).withField("enhanced_by", F.array_append(names, self.name)))
+        marked = let(self.annotate(document), lambda d: d.withField("enhanced_by", F.array_append(names, self.name)))
+        return F.when(done, document).otherwise(marked)
 
 
 class FrameAnnotator(ABC):

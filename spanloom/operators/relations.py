@@ -18,15 +18,14 @@ LONGEST = 6
 
 
 def path_nodes(tokens: Column, paths: Column, path: Column) -> Column:
-    """Nodes of a path of positions."""
+    """Nodes of a path of positions; ``tokens`` in the order of their positions."""
     def node(p: Column, t: Column) -> Column:
         return F.struct(
             p.cast("int").alias("position"), t["lemma"].alias("lemma"), t["pos_tag"].alias("pos_tag"), t["dep_tag"].alias("tag"),
             t["depends_on"].cast("int").alias("head"), (F.size(F.get(paths, p - 1)) - 1).alias("depth"),
         )
 
-    token = lambda p: F.get(F.filter(tokens, lambda x: x["position"] == p), F.lit(0))
-    return F.transform(path, lambda p: let(token(p), lambda t: node(p, t)))
+    return F.transform(path, lambda p: let(F.get(tokens, p - 1), lambda t: node(p, t)))
 
 
 def has_verb(path: Column) -> Column:
@@ -98,10 +97,13 @@ def collapse(path: Column, label: str) -> Column:
 
 def clean_path(path: Column) -> Column:
     """A path rewritten, or null: it needs a verb before and behind, both ends unchanged and ``LONGEST`` nodes at most."""
-    def finish(active: Column) -> Column:
-        return let(collapse(collapse(active, "conj"), "appos"), lambda done: finish_path(active, done, path))
+    def rewrite(nodes: Column) -> Column:
+        def finish(active: Column) -> Column:
+            return let(collapse(collapse(active, "conj"), "appos"), lambda done: finish_path(active, done, nodes))
 
-    return let(let(passive_to_active(path), resolve_agent), finish)
+        return F.when(has_verb(nodes), let(let(passive_to_active(nodes), resolve_agent), finish))
+
+    return let(path, rewrite)
 
 
 def finish_path(active: Column, collapsed: Column, path: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Dependency trees as token arrays: one array per sentence, positions from 1, heads as positions (0 for the root).
+"""Dependency trees as token arrays: one array per sentence, in order, positions from 1, heads as positions (0 for the root).
 
 All operators are expressions over the array, so a sentence is handled where it lies.
 """
@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from spanloom.functions.constants import whole
 from spanloom.functions.let import let
 
-#: Steps a climb takes at most; a path that has not ended by then belongs to a damaged tree.
-MAX_DEPTH = 128
+#: Rounds of doubling by which paths are climbed: up to ``2 ** ROUNDS`` steps. A path that has not ended by then belongs to a
+#: damaged tree.
+ROUNDS = 8
 
 
 def heads_of(tokens: Column) -> Column:
@@ -20,28 +21,29 @@ def heads_of(tokens: Column) -> Column:
     return F.transform(F.array_sort(F.transform(tokens, lambda t: F.struct(t["position"].alias("p"), t["depends_on"].alias("h")))), lambda t: t["h"])
 
 
-def root_path(heads: Column, position: Column, max_depth: int = MAX_DEPTH) -> Column:
-    """Positions from a token up to its root: an array beginning with the token itself. A head that does not exist ends
-    the path like a root; a cycle ends it where it closes."""
-    ended = F.struct(position.cast("int").alias("at"), F.array(position.cast("int")).alias("path"))
+def root_paths(tokens: Column) -> Column:
+    """The root path of every position, in order."""
+    return let(heads_of(tokens), root_paths_of)
 
-    def climb(state: Column, _: Column) -> Column:
-        head = F.try_element_at(heads, F.when(state["at"] > 0, state["at"]).otherwise(F.lit(2147483647))).cast("int")
-        on = (head > 0) & (head <= F.size(heads)) & ~F.array_contains(state["path"], head)
-        go = F.coalesce(on, F.lit(False))
-        return F.struct(F.when(go, head).otherwise(F.lit(-1)).alias("at"), F.when(go, F.array_append(state["path"], head)).otherwise(state["path"]).alias("path"))
 
-    steps = F.sequence(F.lit(1), F.greatest(F.least(F.size(heads), F.lit(max_depth)), F.lit(1)))
-    return F.aggregate(steps, ended, climb, lambda state: state["path"])
+def root_paths_of(heads: Column) -> Column:
+    """Positions from each token up to its root: arrays beginning with the token itself. A head that does not exist ends
+    a path like a root; a cycle ends it where it closes.
 
+    Each round appends to a path the one of its topmost token's head, so the known part doubles.
+    """
+    def known(head: Column) -> Column:
+        return F.when((head > 0) & (head <= F.size(heads)), head.cast("int")).otherwise(0)
 
-def root_paths(tokens: Column, max_depth: int = MAX_DEPTH) -> Column:
-    """The root path of every position, in order."""
-    return let(heads_of(tokens), lambda heads: root_paths_of(heads, max_depth))
+    state = F.transform(heads, lambda h, i: F.struct(F.array((i + 1).cast("int")).alias("path"), known(h).alias("next")))
 
+    def double(paths: Column) -> Column:
+        longer = lambda s, up: F.struct(F.concat(s["path"], up["path"]).alias("path"), up["next"].alias("next"))
+        return F.transform(paths, lambda s: F.when(s["next"] > 0, let(F.get(paths, s["next"] - 1), lambda up: longer(s, up))).otherwise(s))
 
-def root_paths_of(heads: Column, max_depth: int = MAX_DEPTH) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size(heads)), lambda p: root_path(heads, p, max_depth))
+    for _ in range(ROUNDS):
+        state = let(state, double)
+    return F.transform(state, lambda s: F.when(s["next"] > 0, F.array_distinct(s["path"])).otherwise(s["path"]))
 
 
 def depth(path: Column) -> Column:
@@ -60,8 +62,8 @@ def has_cycle(heads: Column, paths: Column) -> Column:
 
 def subtree(paths: Column, position: Column) -> Column:
     """Positions below and including a token, ascending."""
-    numbers = F.sequence(F.lit(1), F.size(paths))
-    return F.filter(numbers, lambda p: F.array_contains(F.get(paths, p - 1), position.cast("int")))
+    below = F.transform(paths, lambda path, i: F.when(F.array_contains(path, position.cast("int")), i + 1))
+    return F.filter(below, lambda p: p.isNotNull())
 
 
 def pretty_print(tokens: Column, paths: Column) -> Column:
@@ -142,7 +144,7 @@ def nominal_relations(edges: DataFrame, key: list[str], subject: str = "nsubj|.o
 def print_roles(tokens: Column, paths: Column, roles: Column) -> Column:
     """``label(head lemma,argument)`` of each role ``(position, head, label)``, joined by tabs: the argument is the text below
     the token if it lies deeper than the head, else its lemma."""
-    by = lambda p, field: F.get(F.filter(tokens, lambda t: t["position"] == p), F.lit(0))[field]
+    by = lambda p, field: F.get(tokens, p - 1)[field]
 
     def argument(role: Column) -> Column:
         deeper = depth(F.get(paths, role["position"] - 1)) > depth(F.get(paths, role["head"] - 1))

@@ -10,7 +10,7 @@ from spanloom.functions.text import clean_text
 from spanloom.operators import annotations as A
 from spanloom.operators import candidates as C
 from spanloom.operators.pipeline import as_documents, full_pipeline
-from spanloom.session import shared_path, table
+from spanloom.session import shared_path, spread, table
 
 
 def clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,7 +172,7 @@ def concept_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pipeline_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents annotated in two goes, the second skipping what the first has done."""
-    docs = as_documents(table(spark, sf_dir, "documents"), "doc_id", "text")
+    docs = as_documents(spread(table(spark, sf_dir, "documents")), "doc_id", "text")
     path = shared_path(spark, "annotated")
     pipeline = full_pipeline()
     pipeline.append(docs.where(F.length("text") < 500), path)

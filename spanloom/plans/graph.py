@@ -12,10 +12,10 @@ from spanloom.functions.packed import packed_items
 from spanloom.operators import graph as G
 from spanloom.operators import trees as T
 from spanloom.operators.candidates import mention_pairs, select_spans
-from spanloom.operators.extract import relation_evidence
+from spanloom.operators.extract import only, relation_evidence
 from spanloom.operators.candidates import mentions as placed_mentions
 from spanloom.operators.relations import clean_path, collapse, path_nodes, passive_to_active, print_path, resolve_agent
-from spanloom.session import shared_path, stored, table
+from spanloom.session import shared_path, spread, stored, table
 from spanloom.sources.text import read_xml, split_relations, write_xml
 from spanloom.streaming.graph import current_edges, stream_evidence
 
@@ -114,7 +114,7 @@ def event_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
         pos.alias("pos_tag"), tag.alias("dep_tag"), F.expr("cast(position div 2 as int)").alias("depends_on"),
     )
     trees = rows.select("user_id", token.alias("t")).groupBy("user_id").agg(F.array_sort(F.collect_list("t")).alias("tokens"))
-    return stored(trees.withColumn("paths", T.root_paths(F.col("tokens"))), "trees")
+    return spread(stored(trees.withColumn("paths", T.root_paths(F.col("tokens"))), "trees"))
 
 
 def dep_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +166,7 @@ def sequences_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relation_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = event_paths(spark, sf_dir).withColumn("done", clean_path(F.col("nodes"))).where("done is not null")
+    done = only(event_paths(spark, sf_dir), clean_path(F.col("nodes")), "done")
     return done.select("user_id", "a", F.size("done").alias("n"), print_path(F.col("done"), F.col("tokens")).alias("rel"))
 
 
@@ -185,7 +185,7 @@ def tree_print(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Utterances to edges: mentions, sentences whose first verb-like word heads the rest, paths, labels, upsert."""
-    found = placed_mentions(table(spark, sf_dir, "utterances"))
+    found = spread(stored(placed_mentions(table(spark, sf_dir, "utterances")), "mentions"))
     words = F.filter(F.split(F.col("text"), " "), lambda w: w != "")
     texts = found.select("row_id", "text").distinct()
     verb = lambda w: w.rlike("^(?:[a-z]+(?:ed|es|ts|ds|rs|ise|bind)|was|were|cause)$")
@@ -207,7 +207,7 @@ def extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(own, 0).otherwise(F.col("verb")).alias("depends_on"),
         )
 
-    sentences = texts.select("row_id", F.lit(0).alias("sent_no"), F.transform("words", token).alias("tokens"))
+    sentences = stored(texts.select("row_id", F.lit(0).alias("sent_no"), F.transform("words", token).alias("tokens")), "sentences")
     edges = G.upsert_edges(relation_evidence(found, sentences, "row_id"))
     return edges.select("src", "rel", "dst", "edge_count")
 

@@ -57,6 +57,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores.
+
+    For steps that cost much CPU per row: a table of few splits would leave cores idle. Large tables have more splits than
+    cores and pass unchanged, so what is shuffled here is at most one split per core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder made by :func:`shared_path`."""
     jvm = spark.sparkContext._jvm
