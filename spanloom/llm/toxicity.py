@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.sentences import split_sentences
 from spanloom.llm.toxic_seeds import ADJECTIVES, INSULTS, SEXUAL, THREATS, VERMIN, seed_sentences
+from spanloom.session import spread
 
 #: Most labelled documents the tagger is fitted on, taken in the order of a hash of their key.
 LABELLED_DOCUMENTS = 1_500
@@ -226,9 +227,9 @@ class Chain:
         return self.weights[ids].sum(1, dtype=np.float64)
 
 
-def _fit(ids: np.ndarray, lengths: np.ndarray, gold: np.ndarray, importance: np.ndarray, rounds: int = 40) -> Chain:
-    """Maximum likelihood with AdaGrad steps over all sentences and a quadratic penalty."""
-    chain = Chain(np.zeros(BUCKETS, np.float32), np.array([[1.0, -1.0], [-1.0, 1.0]]), np.array([0.5, -0.5]))
+def _fit(ids: np.ndarray, lengths: np.ndarray, gold: np.ndarray, importance: np.ndarray, rounds: int = 40, begun: Chain | None = None) -> Chain:
+    """Maximum likelihood with AdaGrad steps over all sentences and a quadratic penalty, from ``begun`` on if there is one."""
+    chain = begun or Chain(np.zeros(BUCKETS, np.float32), np.array([[1.0, -1.0], [-1.0, 1.0]]), np.array([0.5, -0.5]))
     owner = np.repeat(np.arange(len(lengths)), lengths)
     weight = importance[owner]
     squares = np.full(BUCKETS, 1.0, np.float32)
@@ -245,7 +246,7 @@ def _fit(ids: np.ndarray, lengths: np.ndarray, gold: np.ndarray, importance: np.
         gradient = np.bincount(flat, weights=np.repeat(error, ids.shape[1]), minlength=BUCKETS).astype(np.float32) - 0.02 * chain.weights
         squares += gradient * gradient
         chain.weights += 0.35 * gradient / np.sqrt(squares)
-        if number >= 5:
+        if number >= 5 or begun:
             chain.moves += 0.1 * np.clip((seen - pairs) / len(gold), -0.5, 0.5)
     return chain
 
@@ -347,7 +348,7 @@ def fit_tagger(labelled: list[tuple[str, bool]]) -> Tagger:
                 target[at], weight[at] = float(best[at] >= 0.5), 1.0 if best[at] >= 0.5 or best[at] < 0.1 else 0.0
             elif toxic is False and best[at] > 0.9:
                 weight[at] = 0.0
-        chain = _fit(ids, lengths, target[owner], weight)
+        chain = _fit(ids, lengths, target[owner], weight, 20, chain)
     return Tagger(chain)
 
 
@@ -400,7 +401,7 @@ def score_documents(documents: DataFrame, labels: DataFrame, threshold: float =
                 )
 
     narrow = documents.select(F.col("doc_id").cast("bigint"), F.col("source").cast("string"), F.col("text"))
-    return narrow.mapInArrow(run, f"doc_id bigint, source string, score double, passages {PASSAGES}")
+    return spread(narrow).mapInArrow(run, f"doc_id bigint, source string, score double, passages {PASSAGES}")
 
 
 def rates_by_source(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
