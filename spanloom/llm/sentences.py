@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.session import spread
+
 # Abbreviations, lower case and without their last full stop. A full stop behind one of ALWAYS never ends a sentence,
 # behind one of NUMBERED not before a number, behind one of SOMETIMES not before a word in lower case or a number.
 ALWAYS = frozenset(
@@ -359,4 +361,4 @@ def sentences(documents: DataFrame, key: str, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([rows, pa.array(begins, pa.int32()), pa.array(ends, pa.int32())], names=["row_id", "begin_pos", "end_pos"])
 
     narrow = documents.select(F.col(key).cast("bigint").alias("row_id"), F.col(text))
-    return narrow.mapInArrow(run, "row_id bigint, begin_pos int, end_pos int")
+    return spread(narrow).mapInArrow(run, "row_id bigint, begin_pos int, end_pos int")

@@ -17,6 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.session import spread
+
 #: Where the public vocabulary files lie.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern published with the vocabulary, by which text is cut before merging.
@@ -177,4 +179,4 @@ def encode_documents(
 
     name, kind = ("n_tokens", "bigint") if counts_only else ("ids", "array<int>")
     narrow = documents.select(F.col(key), F.col(text))
-    return narrow.mapInArrow(run, f"`{key}` {narrow.schema[0].dataType.simpleString()}, {name} {kind}")
+    return spread(narrow).mapInArrow(run, f"`{key}` {narrow.schema[0].dataType.simpleString()}, {name} {kind}")
