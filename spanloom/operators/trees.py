@@ -154,6 +154,19 @@ def print_roles(tokens: Column, paths: Column, roles: Column) -> Column:
     return F.array_join(F.transform(roles, lambda r: F.concat(r["label"], F.lit("("), by(r["head"], "lemma"), F.lit(","), argument(r), F.lit(")"))), "\t")
 
 
+def role_triples(tokens: Column, paths: Column, roles: Column) -> Column:
+    """For each role ``(position, head, label)`` a struct of its label, the head's lemma and position, and the text below the
+    token with its position."""
+    def triple(role: Column) -> Column:
+        argument = F.array_join(F.transform(subtree(paths, role["position"]), lambda p: F.get(tokens, p - 1)["covered_text"]), " ")
+        return F.struct(
+            role["label"].alias("label"), F.get(tokens, role["head"] - 1)["lemma"].alias("predicate"), role["head"].alias("predicate_at"),
+            argument.alias("argument"), role["position"].alias("argument_at"),
+        )
+
+    return F.transform(roles, triple)
+
+
 def tree_checks(sentences: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
     """``(key, n_tokens, roots, missing_heads, cycle)`` per sentence."""
     heads = sentences.select(key, heads_of(F.col(tokens)).alias("heads"))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from spanloom.operators.pipeline import AcronymAnnotator, Pipeline, as_documents, batches, full_pipeline
 from spanloom.sources.mmo import Rejected, load_records, parse_record, read_machine_output, rejected_records
 from spanloom.sources.text import document_xml, frame_documents, read_blank_line_documents, read_properties, read_relations, read_xml, write_xml
-from spanloom.operators.graph import load_relations
+from spanloom.operators.graph import load_relations, merge_edges
+from spanloom.sources.graph_store import read_graph, read_shards, write_graph
 from spanloom.streaming.graph import current_edges, stream_evidence
 
 RECORD = """args('MetaMap',[]).
@@ -114,6 +115,20 @@ def test_pipeline(spark, tmp_path):
         Pipeline([])
 
 
+def test_graph_store(spark, tmp_path):
+    v = spark.createDataFrame([("A", "phsu"), ("B", None)], "cui string, semtypes string")
+    e = spark.createDataFrame([("A", "r", "B", ["u1"], 1)], "src string, rel string, dst string, utt_ids array<string>, edge_count int")
+    for shard in ("s1", "s2"):
+        write_graph(v, e, f"{tmp_path}/{shard}")
+    with pytest.raises(Exception, match="(?i)exists"):
+        write_graph(v, e, f"{tmp_path}/s1")
+    write_graph(v.limit(1), e, f"{tmp_path}/s1", override=True)
+    assert [d.count() for d in read_graph(spark, f"{tmp_path}/s1")] == [1, 1]
+    vertices, edges = read_shards(spark, str(tmp_path))
+    assert sorted((r.cui, r.shard) for r in vertices.collect()) == [("A", "s1"), ("A", "s2"), ("B", "s2")]
+    assert [tuple(r) for r in merge_edges(edges).collect()] == [("A", "r", "B", 2, ["u1", "u1"])]
+
+
 def test_stream(spark, tmp_path):
     schema = "src string, rel string, dst string, utt_id string"
     spark.createDataFrame([("A", "r", "B", "u1"), ("A", "r", "B", "u1"), ("A", "r", "B", "u2")], schema).write.parquet(str(tmp_path / "in"))

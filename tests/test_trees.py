@@ -1,9 +1,10 @@
 from pyspark.sql import functions as F
 
+from spanloom.functions.render import show_annotation, show_chunk, show_concept, show_node, show_span
 from spanloom.operators.extract import relation_evidence
 from spanloom.operators.graph import upsert_edges
 from spanloom.operators.relations import clean_path, collapse, path_nodes, print_path
-from spanloom.operators.trees import dependency_path, depth, has_cycle, heads_of, match_template, nominal_relations, pretty_print, print_roles, root_paths_of, shallowest, subtree
+from spanloom.operators.trees import dependency_path, depth, has_cycle, heads_of, match_template, nominal_relations, pretty_print, print_roles, role_triples, root_paths_of, shallowest, subtree
 
 TOKEN = "struct<position:int,begin:int,end:int,covered_text:string,lemma:string,pos_tag:string,dep_tag:string,depends_on:int>"
 
@@ -102,6 +103,15 @@ def test_roles_printed(spark):
     tokens = sentence([("treatment", "treatment", "NN", "nsubj", 4), ("of", "of", "IN", "prep", 1), ("pain", "pain", "NN", "pobj", 2), ("helps", "help", "VBZ", "root", 0)])
     roles = F.array(F.struct(F.lit(3).alias("position"), F.lit(1).alias("head"), F.lit("A1").alias("label")))
     assert trees(spark, tokens).select(print_roles(F.col("tokens"), F.col("paths"), roles)).first()[0] == "A1(treatment,pain)"
+    assert tuple(trees(spark, tokens).select(role_triples(F.col("tokens"), F.col("paths"), roles)).first()[0][0]) == ("A1", "treatment", 1, "pain", 3)
+
+
+def test_rendering(spark):
+    span = F.struct(F.lit(2).alias("begin"), F.lit(5).alias("end"))
+    concept = F.struct(F.lit("C1").alias("concept_id"), F.lit("Fever").alias("preferred_label"), F.lit("UMLS").alias("source"))
+    shown = [show_span(span), show_annotation("Token", F.lit("x")), show_chunk(F.lit("NP"), F.lit("x y")), show_concept(concept), show_node(F.col("tokens"))]
+    got = trees(spark, ACTIVE).select(*[c.alias(f"c{i}") for i, c in enumerate(shown)]).first()
+    assert tuple(got) == ("[2,5)", "Token[x]", "Chunk_NP[x y]", "C1-Fever[UMLS]", "DepNode[Aspirin reduces fever]")
 
 
 def test_extraction(spark):
