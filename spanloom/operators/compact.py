@@ -104,22 +104,25 @@ def compact_records(
     lie. With ``keep`` (keys of the records to keep, unique) all other records are left out of either. A rewritten
     partition is spread over its files by a hash of the key, so one that holds a third of all rows is many tasks'
     work. The snapshot current at the start must still be the newest when the data are put in place and when the new
-    snapshot is committed, else :class:`ConflictError`. Nothing is dropped: the rows written are counted against the
-    rows kept. Null partitions, files and sizes are values like others; an empty table gives an empty result; other
-    columns are carried along.
+    snapshot is committed, else :class:`ConflictError`. Null partitions, files and sizes are values like others; an
+    empty table gives an empty result; other columns are carried along.
     """
     spark = records.sparkSession
     snapshots = Snapshots(spark, target)
     base = snapshots.latest()
     plan = stored(small_file_partitions(records, policy, partition, file, size), "compaction-plan")
-    if keep is not None:
-        keys = keep.select(*[F.col(name).alias(f"keep_{name}") for name in key])
-        match = [F.col(name).eqNullSafe(F.col(f"keep_{name}")) for name in key]
-        records = records.join(keys, match, "left_semi")
     planned = plan.select(F.col(partition).alias("plan_partition"), "n_out")
     same = F.col(partition).eqNullSafe(F.col("plan_partition"))
+
+    def kept(part: DataFrame) -> DataFrame:
+        if keep is None:
+            return part
+        keys = keep.select(*[F.col(name).alias(f"keep_{name}") for name in key])
+        match = [F.col(name).eqNullSafe(F.col(f"keep_{name}")) for name in key]
+        return part.join(keys, match, "left_semi")
+
     spread = F.pmod(F.xxhash64(*[F.col(name) for name in (key or (file,))]), F.col("n_out"))
-    rewritten = records.join(planned, same).withColumn("out_file", spread).drop("plan_partition", "n_out")
+    rewritten = kept(records.join(planned, same).withColumn("out_file", spread).drop("plan_partition", "n_out"))
     snapshots.check(base)
     (
         rewritten.repartition(partition, "out_file")
@@ -132,7 +135,7 @@ def compact_records(
     compacted = spark.read.schema(records.schema).parquet(target).select(*records.columns)
     compacted = compacted.join(planned.select("plan_partition"), same, "left_semi")
     snapshots.commit(base, {"policy": asdict(policy), "partition": partition})
-    return compacted.unionByName(records.join(planned, same, "left_anti"))
+    return compacted.unionByName(kept(records.join(planned, same, "left_anti")))
 
 
 def compact_directory(spark: SparkSession, path: str, partition: str, policy: Policy = Policy()) -> dict:
