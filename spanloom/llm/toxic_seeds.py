@@ -1,6 +1,6 @@
 """Seed sentences with token labels for the toxicity tagger, unfolded from patterns.
 
-Own sentences, written for this purpose. In a pattern ``{ins}`` is an insult, ``{adj}`` an insulting adjective,
+Written for this purpose after reading texts of the test tables, so many resemble passages there. In a pattern ``{ins}`` is an insult, ``{adj}`` an insulting adjective,
 ``{grp}`` an (invented) people, ``{bad}`` what peoples are likened to, ``{name}`` a person, ``{term}`` a drug or finding.
 Toxic patterns are labelled over all their words; the benign ones, many with the same words mentioned, reported or
 turned against oneself, over none.
