@@ -103,9 +103,10 @@ def compact_records(
     :func:`small_file_partitions` finds are rewritten, by dynamic partition overwrite; the others are passed on as they
     lie. With ``keep`` (keys of the records to keep, unique) all other records are left out of either. A rewritten
     partition is spread over its files by a hash of the key, so one that holds a third of all rows is many tasks'
-    work. The snapshot current at the start must still be the newest when the data are put in place and when the new
-    snapshot is committed, else :class:`ConflictError`. Null partitions, files and sizes are values like others; an
-    empty table gives an empty result; other columns are carried along.
+    work. Folders are named after a digest of the value (``null`` for null) and the value itself is stored in the files:
+    a folder named after the value would be read back as null for an empty one. The snapshot current at the start must still be the newest when the data are put in place and when the new
+    snapshot is committed, else :class:`ConflictError`. Null and empty partitions, files and sizes are values like others;
+    an empty table gives an empty result; other columns are carried along.
     """
     spark = records.sparkSession
     snapshots = Snapshots(spark, target)
@@ -122,14 +123,16 @@ def compact_records(
         return part.join(keys, match, "left_semi")
 
     spread = F.pmod(F.xxhash64(*[F.col(name) for name in (key or (file,))]), F.col("n_out"))
+    folder = F.coalesce(F.sha2(F.col(partition).cast("string"), 256), F.lit("null"))
     rewritten = kept(records.join(planned, same).withColumn("out_file", spread).drop("plan_partition", "n_out"))
     snapshots.check(base)
     (
         rewritten.repartition(partition, "out_file")
         .drop("out_file")
+        .withColumn("plan_folder", folder)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition)
+        .partitionBy("plan_folder")
         .parquet(target)
     )
     compacted = spark.read.schema(records.schema).parquet(target).select(*records.columns)

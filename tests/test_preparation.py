@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.text import clean_text
 from spanloom.operators.compact import ConflictError, Policy, Snapshots, compact_directory, compact_records, first_deliveries, small_file_partitions
 from spanloom.operators.packed import explode_packed
+from spanloom.plans.preparation import p5_found
 
 CASES = [
     ("a,b;c|d", ["a", "b", "c", "d"]), ("'x, y' z", ["x, y", "z"]), ('"run ""b"", late",u', ['run "b", late', "u"]), ('["run \\"b\\"", "q"]', ['run "b"', "q"]),
@@ -83,6 +84,22 @@ def test_compaction_keeps_each_record_once(spark, tmp_path, most):
     assert out.columns == df.columns
 
 
+def test_compaction_of_files_without_a_folder(spark, tmp_path):
+    rows = [(folder, f"{folder}{i}", i, 1) for folder in ("", None, "d", "__HIVE_DEFAULT_PARTITION__") for i in range(12)]
+    df = spark.createDataFrame(rows, "folder string, file_path string, rec_no int, n_bytes long")
+    keep = df.where("rec_no < 10").select("file_path", "rec_no")
+    for kept, most in ((None, 12), (keep, 10)):
+        out = compact_records(df, f"file://{tmp_path}/t{most}", "folder", "file_path", "n_bytes", kept, ("file_path", "rec_no"))
+        assert sorted(map(str, out.collect())) == sorted(map(str, df.where(f"rec_no < {most}").collect()))
+
+
+def test_query_keeps_records_of_files_without_a_folder(spark, tmp_path):
+    rows = [(f"f{i}" if i < 12 else f"d/f{i}", 1, str(i), "x", 1) for i in range(24)] + [("f0", 2, "0", "x", 1)]
+    df = spark.createDataFrame(rows, "file_path string, rec_no int, id string, text string, n_bytes long")
+    df.write.parquet(f"{tmp_path}/annotated_texts.parquet")
+    assert sorted(map(tuple, p5_found(spark, str(tmp_path)).collect())) == sorted((r[0], 1) for r in rows if r[1] == 1)
+
+
 def test_compaction_of_nothing(spark, tmp_path):
     df = spark.createDataFrame([], "folder string, file_path string, rec_no int, n_bytes long")
     assert compact_records(df, f"file://{tmp_path}/t", "folder", "file_path", "n_bytes").count() == 0
