@@ -25,7 +25,7 @@ def p2_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All sound records as utterances, mappings read too."""
+    """All records that p2_found leaves, as utterances; mappings that cannot be read are null, with the reason."""
     return load_records(table(spark, sf_dir, "mmo_records"), with_mappings=True)
 
 

@@ -17,6 +17,7 @@ UTTERANCE_DDL = (
     "semtypes array<string>, positions array<struct<start_pos int, length int>>>>, "
     "mappings array<struct<score int, cuis array<string>>>>>"
 )
+MAPPINGS_DDL = f"{UTTERANCE_DDL}, mappings_reason string"
 END_OF_UTTERANCE = "'EOU'."
 
 # The grammar as regular expressions. A token may have white space before it and, once matched, is never given up
@@ -70,6 +71,7 @@ SKIPPED_MAPPINGS = re.compile(rf"{WS}mappings[^\n]++")
 MAPPINGS = re.compile(lit("mappings(["))
 MAPPING = re.compile(lit("map(") + rf"{WS}(-?[0-9]++)" + lit(",") + lit("["))
 MAPPING_END = re.compile(lit("]") + lit(")"))
+REST_BLANK = re.compile(WS + r"\Z")
 END = re.compile(lit(END_OF_UTTERANCE) + WS + r"\Z")
 INTEGER = re.compile(r"[+-]?[0-9]+")
 POSITION = re.compile(r"([0-9]+)/([0-9]+)")
@@ -95,18 +97,18 @@ def _symbols(body: str) -> list[str]:
 
 
 class _Scan:
-    def __init__(self, text: str) -> None:
-        self.text, self.at = text, 0
+    def __init__(self, text: str, at: int = 0, stop: int | None = None) -> None:
+        self.text, self.at, self.stop = text, at, len(text) if stop is None else stop
 
     def take(self, pattern: re.Pattern[str], reason: str) -> re.Match[str]:
-        found = pattern.match(self.text, self.at)
+        found = pattern.match(self.text, self.at, self.stop)
         if not found:
             raise Rejected(reason, self.at)
         self.at = found.end()
         return found
 
     def maybe(self, pattern: re.Pattern[str]) -> bool:
-        found = pattern.match(self.text, self.at)
+        found = pattern.match(self.text, self.at, self.stop)
         if found:
             self.at = found.end()
         return found is not None
@@ -127,12 +129,30 @@ def _candidate(scan: _Scan, start: int, length: int, checked: bool = True) -> di
     return {"score": _integer(score, "candidate score", at), "cui": cui, "semtypes": _symbols(semtypes), "positions": spans}
 
 
+def _mappings(scan: _Scan, start: int, length: int) -> list[dict[str, Any]]:
+    """The mappings of the line that ``scan`` is bounded by, or :class:`Rejected`."""
+    mappings: list[dict[str, Any]] = []
+    scan.take(MAPPINGS, "mappings")
+    while not scan.maybe(CANDIDATES_END):
+        if mappings:
+            scan.take(COMMA, "mappings")
+        score, cuis = scan.take(MAPPING, "mappings").group(1), []
+        while not scan.maybe(MAPPING_END):
+            if cuis:
+                scan.take(COMMA, "mappings")
+            cuis.append(_candidate(scan, start, length, checked=False)["cui"])
+        mappings.append({"score": _integer(score, "mapping score", scan.at), "cuis": cuis})
+    scan.take(REST_BLANK, "mappings")
+    return mappings
+
+
 def parse_record(text: str | None, with_mappings: bool = False) -> dict[str, Any]:
     """One machine-output record as an utterance, or :class:`Rejected`.
 
     Optional ``args``, ``aas`` and ``neg_list`` lines, the utterance with an id of three parts (the third an integer),
     phrases with candidates and mappings, and the closing ``'EOU'.``. Every candidate position must be two
-    non-negative integers inside its utterance. Mappings are skipped as a line unless asked for.
+    non-negative integers inside its utterance. Mappings are one line and never a ground to reject: unless asked for, the
+    line is skipped; asked for, a line that cannot be read gives null mappings, and ``mappings_reason`` names the first.
     """
     if text is None:
         raise Rejected("null record", 0)
@@ -151,6 +171,7 @@ def parse_record(text: str | None, with_mappings: bool = False) -> dict[str, Any
         raise Rejected("utterance position", at)
     start, length = (_integer(x, "utterance position", at) for x in (start, length))
     phrases = []
+    mappings_reason = None
     while PHRASE_START.match(text, scan.at):
         at = scan.at
         p_start, slash, p_length = scan.take(PHRASE, "phrase").group(1).partition("/")
@@ -164,25 +185,19 @@ def parse_record(text: str | None, with_mappings: bool = False) -> dict[str, Any
             while not scan.maybe(CANDIDATES_END):
                 scan.take(COMMA, "candidates")
                 candidates.append(_candidate(scan, start, length))
-        mappings = []
+        mappings: list[dict[str, Any]] | None = []
+        at = scan.at
+        scan.take(SKIPPED_MAPPINGS, "mappings")
         if with_mappings:
-            scan.take(MAPPINGS, "mappings")
-            while not scan.maybe(CANDIDATES_END):
-                if mappings:
-                    scan.take(COMMA, "mappings")
-                score, cuis = scan.take(MAPPING, "mappings").group(1), []
-                while not scan.maybe(MAPPING_END):
-                    if cuis:
-                        scan.take(COMMA, "mappings")
-                    cuis.append(_candidate(scan, start, length, checked=False)["cui"])
-                mappings.append({"score": _integer(score, "mapping score", scan.at), "cuis": cuis})
-        else:
-            scan.take(SKIPPED_MAPPINGS, "mappings")
+            try:
+                mappings = _mappings(_Scan(text, at, scan.at), start, length)
+            except Rejected as why:
+                mappings, mappings_reason = None, mappings_reason or why.reason
         phrases.append(phrase | {"candidates": candidates, "mappings": mappings})
     scan.take(END, "end of the utterance")
     return {
         "pmid": parts[0], "section": parts[1], "num": num, "utt_id": f"{parts[0]}.{parts[1]}.{num}", "text": utterance,
-        "start_pos": start, "length": length, "phrases": phrases,
+        "start_pos": start, "length": length, "phrases": phrases, "mappings_reason": mappings_reason,
     }
 
 
@@ -199,6 +214,8 @@ UTTERANCE_FIELDS = [
 
 
 def _strict(with_rows: bool, with_mappings: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    fields = (UTTERANCE_FIELDS + [("mappings_reason", pa.string())] * with_mappings) * with_rows
+
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, rows = [], []
@@ -209,32 +226,27 @@ def _strict(with_rows: bool, with_mappings: bool) -> Callable[[Iterator[pa.Recor
                 except Rejected:
                     continue
             columns = [pa.array(keys, batch.schema.field(0).type)]
-            if with_rows:
-                columns += [pa.array([row[name] for row in rows], kind) for name, kind in UTTERANCE_FIELDS]
-            names = ["record_key", *(name for name, _ in UTTERANCE_FIELDS)] if with_rows else ["record_key"]
+            columns += [pa.array([row[name] for row in rows], kind) for name, kind in fields]
+            names = ["record_key", *(name for name, _ in fields)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return load
 
 
-def _diagnose(with_mappings: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, reasons, offsets = [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                try:
-                    parse_record(text, with_mappings)
-                    continue
-                except Rejected as why:
-                    keys.append(key)
-                    reasons.append(why.reason)
-                    offsets.append(why.offset)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, batch.schema.field(0).type), pa.array(reasons, pa.string()), pa.array(offsets, pa.int32())],
-                names=["record_key", "reason", "reason_offset"],
-            )
-
-    return explain
+def _explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, reasons, offsets = [], [], []
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            try:
+                parse_record(text)
+            except Rejected as why:
+                keys.append(key)
+                reasons.append(why.reason)
+                offsets.append(why.offset)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys, batch.schema.field(0).type), pa.array(reasons, pa.string()), pa.array(offsets, pa.int32())],
+            names=["record_key", "reason", "reason_offset"],
+        )
 
 
 def _raw(records: DataFrame, key: str, text: str) -> DataFrame:
@@ -242,11 +254,15 @@ def _raw(records: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def load_records(records: DataFrame, key: str = "record_id", text: str = "rec_text", with_mappings: bool = False) -> DataFrame:
-    """The conforming records as utterance rows, with ``record_key``. Narrow: one pass, no shuffle."""
-    return _raw(records, key, text).mapInArrow(_strict(True, with_mappings), f"record_key bigint, {UTTERANCE_DDL}")
+    """The conforming records as utterance rows, with ``record_key``. Narrow: one pass, no shuffle.
+
+    ``with_mappings`` loads the same records and adds ``mappings_reason``, null where all mappings could be read.
+    """
+    ddl = MAPPINGS_DDL if with_mappings else UTTERANCE_DDL
+    return _raw(records, key, text).mapInArrow(_strict(True, with_mappings), f"record_key bigint, {ddl}")
 
 
-def rejected_records(records: DataFrame, key: str = "record_id", text: str = "rec_text", with_mappings: bool = False) -> DataFrame:
+def rejected_records(records: DataFrame, key: str = "record_id", text: str = "rec_text") -> DataFrame:
     """``(record_key, reason, reason_offset)`` of every record the strict load did not take.
 
     The keys that loaded are subtracted from all keys with an anti join in which no text takes part; only what remains
@@ -255,10 +271,10 @@ def rejected_records(records: DataFrame, key: str = "record_id", text: str = "re
     columns do not take part.
     """
     raw = _raw(records, key, text)
-    loaded = raw.mapInArrow(_strict(False, with_mappings), "record_key bigint")
+    loaded = raw.mapInArrow(_strict(False, False), "record_key bigint")
     missing = raw.select("record_key").join(loaded, "record_key", "left_anti")
     remainder = raw.join(missing, "record_key", "left_semi")
-    return remainder.mapInArrow(_diagnose(with_mappings), "record_key bigint, reason string, reason_offset int")
+    return remainder.mapInArrow(_explain, "record_key bigint, reason string, reason_offset int")
 
 
 def record_id(text: Column) -> Column:

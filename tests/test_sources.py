@@ -62,6 +62,22 @@ def test_load_and_rejects(spark, tmp_path):
     assert load_records(raw.withColumn("record_id", F.col("rec_no"))).count() == 2
 
 
+def test_records_with_damaged_mappings_load(spark):
+    line = "mappings([map(-1000,[ev(-1000,'C0000001'"
+    assert line in RECORD
+    damaged = [RECORD.replace(line, line.replace(*change)) for change in (("map(", "mop("), ("map(-1000", "map(-9999999999"), ("ev(", "ev"))]
+    damaged += [RECORD.replace("mappings([]).", rest) for rest in ("mappings([]). x", "mappings(", "mappings([map(")]
+    texts = [RECORD, *damaged, RECORD.replace("mappings([]).", ""), RECORD.replace("mappings([]).", "mappings(\n[])."), None, RECORD.replace("0/30", "x")]
+    df = spark.createDataFrame(list(enumerate(texts)), "record_id long, rec_text string")
+    loaded = {r.record_key: r for r in load_records(df, with_mappings=True).collect()}
+    rejected = {r.record_key for r in rejected_records(df).collect()}
+    assert sorted(loaded) == sorted(r.record_key for r in load_records(df).collect()) == list(range(7))
+    assert rejected == {7, 8, 9, 10}
+    assert [loaded[i].mappings_reason for i in range(7)] == [None, "mappings", "mapping score", "candidate", "mappings", "mappings", "mappings"]
+    assert [[p.mappings is None for p in loaded[i].phrases] for i in range(7)] == [[False, False]] + [[True, False]] * 3 + [[False, True]] * 3
+    assert [tuple(m) for m in loaded[4].phrases[0].mappings] == [(-1000, ["C0000001"])]
+
+
 def test_relations(spark, tmp_path):
     (tmp_path / "good.tsv").write_text("C01\tC02\ttreats\nC01\tC02\ttreats\nC01\tC03\tunknown_rel\nC01\tC02\tisa\tx\n")
     rows = read_relations(spark, str(tmp_path / "good.tsv"))
