@@ -2,13 +2,14 @@
 
 Blank lines cut a text into blocks. In a block every run of terminators, and every smiley, is a candidate; the lattice
 of what stands before it (abbreviation, initial, number, enumerator, quotation) and behind it (closing marks, case and
-script of the next word) decides. Scripts that write no terminators are cut at gaps: a dictionary lattice gives the
-words on both sides, and final particles and opening words decide.
+script of the next word) decides. Scripts that write no terminators, or leave them out, are cut at gaps: a lattice over
+a dictionary gives the words on both sides, and final particles and opening words decide.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.llm.wordlists import word_list
 from spanloom.session import spread
 
 # Abbreviations, lower case and without their last full stop. A full stop behind one of ALWAYS never ends a sentence,
@@ -53,10 +55,15 @@ PAIRED = {"）": "（", ")": "(", "】": "【", "」": "「", "』": "『", "”
 SMILEY = r"(?:[:;][-'^]?[)\](\[DPpOo|/*]+(?![\w])|=[)(D](?![\w])|<3(?!\d)|\^_?\^|[\U0001F300-\U0001FAFF☀-➿][\ufe0f\U0001F3FB-\U0001F3FF]?)"
 BLANK_LINE = regex.compile(r"(?:\r\n|\n|\r| )[^\S\n\r]*(?:\r\n|\n|\r| )\s*| ")
 UNTERMINATED = r"\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
-TERMINATORS = ".!?…。！？｡．؟۔।॥;;‼⁇⁈⁉"
+#: Marks that end a sentence whatever comes next: Arabic and Urdu; Armenian, Ethiopic, Tibetan, Burmese, Khmer, Mongolian, Sinhala,
+#: Syriac, N'Ko, Canadian, Lisu, Limbu, Meetei, Javanese, Balinese, Vai.
+ENDING = "؟۔" "։።፧፨།༎။។៕᠃᠉෴܀܁܂߹᙮꓿᥄᥅꯫꧈꧉᭞᭟꘎꘏"
+TERMINATORS = ".!?…。！？｡．।॥;;‼⁇⁈⁉" + ENDING
 CANDIDATE = regex.compile(rf"[{TERMINATORS}]+|{SMILEY}")
-CANDIDATE_OR_GAP = regex.compile(rf"[{TERMINATORS}]+|{SMILEY}|(?<=[{UNTERMINATED}])\s+|\s+(?=[{UNTERMINATED}])")
-HAS_UNTERMINATED = regex.compile(rf"[{UNTERMINATED}]")
+#: Blanks in a line of Chinese or Japanese behind what may be a final word.
+CJK_GAP = r"(?<=[吗呢吧啊呀啦嘛哦喔すたんうかねよい])[^\S\n\r]+(?=[\p{Han}\p{Hiragana}\p{Katakana}])"
+CANDIDATE_OR_GAP = regex.compile(rf"[{TERMINATORS}]+|{SMILEY}|(?<=[{UNTERMINATED}])\s+|\s+(?=[{UNTERMINATED}])|{CJK_GAP}")
+HAS_GAPS = regex.compile(rf"[{UNTERMINATED}]|{CJK_GAP}")
 #: What a smiley can begin with, besides signs beyond this.
 SMILEY_STARTS, PICTURES = ":;=<^", "☀"
 MISSING_BLANK = regex.compile(r"(?:\p{Ll}{2}|\p{Lo}\p{M}*|\p{N}|[%)\]”»°])$")
@@ -83,24 +90,39 @@ THAI_OPENING = "ผู้ป่วย แพทย์ พยาบาล อา
 THAI_GOING_ON = "ของ ใน ที่ ซึ่ง และ หรือ ทุก ทุกวัน วัน วันละ มิลลิกรัม กรัม มิลลิลิตร ราย คน ครั้ง ปี เดือน สัปดาห์ ชั่วโมง นาที บาท เม็ด กับ แก่ ต่อ ด้วย จาก ถึง เพื่อ โดย ว่า คือ เป็น ได้ แล้ว มาก น้อย บาง บางราย ร่วม ระหว่าง หลังจาก หลัง".split()
 THAI_FINAL = "วัน มิลลิกรัม กรัม ราย บางราย รุนแรง ไม่ หรือไม่ การรักษา รักษา ทุกวัน ครับ ค่ะ คะ นะ จ้ะ แล้ว เลย ด้วย ไหม มั้ย หรือ สิ ซิ เถอะ ปี เดือน ครั้ง คน ปลอดภัย ดี".split()
 THAI_OTHER = "นี้ ปลอดภัย ได้รับ รับ กลับบ้าน กลับ บ้าน ตรวจพบ ตรวจ ไข้ ลดลง ลด ลง เฉลี่ย ข้างเคียง ผลข้างเคียง".split()
+# Particles that close what is said, behind which any word opens a sentence that does not join on, and for Lao opening words as for
+# Thai. Khmer and Burmese write full stops, so there a gap without a particle is none.
+THAI_CLOSING = "ครับ ครับผม ค่ะ คะ นะ นะคะ นะครับ จ้ะ จ๊ะ จ้า ฮะ ขอรับ เถอะ เถิด ไหม มั้ย หรอ เหรอ หรือไม่ หรือเปล่า สิ ซิ น่ะ ล่ะ".split()
+THAI_JOINING = "ของ ที่ ซึ่ง และ หรือ ว่า เพื่อ โดย ด้วย คือ แก่ กับ จาก".split()
+LAO_CLOSING = "ເດີ ເດີ້ ແດ່ ເນາະ ຈ້າ ບໍ ບໍ່ ດອກ ເທາະ ຫວາ ນໍ ນະ ຄັບ ຄ່ະ".split()
+LAO_OPENING = "ຄົນເຈັບ ແພດ ທ່ານໝໍ ພະຍາບານ ອາການ ຂ້ອຍ ຂ້າພະເຈົ້າ ພວກເຮົາ ເຮົາ ລາວ ເຂົາ ເຂົາເຈົ້າ ມັນ ຖ້າ ຫາກ ເມື່ອ ແຕ່ ດັ່ງນັ້ນ ນອກຈາກ ຢາ ການ ຜົນ ບໍ່ ກະລຸນາ ຫ້າມ ຄວນ ຢ່າ".split()
+LAO_JOINING = "ທີ່ ແລະ ຫຼື ຂອງ ໃນ ຊຶ່ງ ເຊິ່ງ ກັບ ເພື່ອ ໂດຍ ວ່າ ຈາກ ຕໍ່ ມື້ ຄັ້ງ".split()
+KHMER_CLOSING = "ទេ ណា ណា៎ ហ្ន៎ ឬទេ ឬអត់".split()
+KHMER_JOINING = "ដែល និង ឬ ព្រោះ ពីព្រោះ ដើម្បី នៃ ក្នុង ជា ពី ដោយ ថា".split()
+BURMESE_CLOSING = "တယ် မယ် ပြီ ဘူး လား လဲ နော် ပေါ့".split()
+BURMESE_JOINING = "လို့ ဆို ဆိုတာ ဆိုပြီး ဟု ဟူ၍ လည်း နဲ့ ကို မှာ က တွေ".split()
+CJK_CLOSING = "吗 呢 吧 啊 呀 啦 嘛 哦 喔 です ます でした ました ません ましょう でしょう ください ですか ますか ましたか ですね ますね ですよ ますよ だよ だね".split()
+CJK_JOINING = "と って という が けど けれど けれども ので のに から し ね よ か の は を に も な".split()
 
 
 class Lattice:
     """Words of a run of script without blanks: the path with the fewest unknown characters, then the fewest words."""
 
-    def __init__(self, words: list[str]) -> None:
+    def __init__(self, dictionary: str, words: list[str]) -> None:
+        self.dictionary = dictionary
         self.words = {word.rstrip("_") for word in words}
         self.longest = max(map(len, self.words))
 
+    @lru_cache(1 << 12)  # noqa: B019: lattices are never let go
     def cut(self, run: str) -> list[str]:
-        size = len(run)
+        known, size = word_list(self.dictionary), len(run)
         best: list[tuple[int, int, int]] = [(0, 0, 0)] + [(1 << 30, 0, 0)] * size
         for at in range(size):
             unknown, count, _ = best[at]
             best[at + 1] = min(best[at + 1], (unknown + 1, count + 1, at))
-            for stop in range(at + 1, min(size, at + self.longest) + 1):
-                if run[at:stop] in self.words:
-                    best[stop] = min(best[stop], (unknown, count + 1, at))
+            own = (stop for stop in range(at + 1, min(size, at + self.longest) + 1) if run[at:stop] in self.words)
+            for stop in (*own, *known.stops(run, at)):
+                best[stop] = min(best[stop], (unknown, count + 1, at))
         pieces, at = [], size
         while at:
             pieces.append(run[best[at][2] : at])
@@ -108,21 +130,47 @@ class Lattice:
         return pieces[::-1]
 
 
-THAI = Lattice(THAI_OPENING + THAI_GOING_ON + THAI_FINAL + THAI_OTHER)
-OPENING, GOING_ON, FINAL = ({w.rstrip("_") for w in words if not w.endswith("_")} for words in (THAI_OPENING, THAI_GOING_ON, THAI_FINAL))
-RUN_BEFORE = regex.compile(r"(?r)[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]+")
-RUN_AFTER = regex.compile(r"[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]+")
+#: By script: the lattice.
+LATTICES = {
+    "thai": Lattice("thai", THAI_OPENING + THAI_GOING_ON + THAI_FINAL + THAI_CLOSING + THAI_OTHER),
+    "lao": Lattice("lao", LAO_OPENING + LAO_JOINING + LAO_CLOSING),
+    "khmer": Lattice("khmer", KHMER_JOINING + KHMER_CLOSING),
+    "burmese": Lattice("burmese", BURMESE_JOINING + BURMESE_CLOSING),
+    "cj": Lattice("cj", CJK_JOINING + CJK_CLOSING),
+}
+OPENING, GOING_ON, FINAL, JOINING, CLOSING_WORDS = (
+    {w.rstrip("_") for w in words if not w.endswith("_")}
+    for words in (
+        THAI_OPENING + LAO_OPENING,
+        THAI_GOING_ON + LAO_JOINING,
+        THAI_FINAL,
+        THAI_JOINING + LAO_JOINING + KHMER_JOINING + BURMESE_JOINING + CJK_JOINING,
+        THAI_CLOSING + LAO_CLOSING + KHMER_CLOSING + BURMESE_CLOSING + CJK_CLOSING,
+    )
+)
+SPACELESS = r"\p{Thai}+|\p{Lao}+|\p{Khmer}+|\p{Myanmar}+|[\p{Han}\p{Hiragana}\p{Katakana}ー]+"
+RUN_BEFORE = regex.compile(rf"(?r){SPACELESS}")
+RUN_AFTER = regex.compile(SPACELESS)
 #: As much of a run beside a gap as the lattice needs; the run itself stays whole.
 NEAR = 40
 
 
+def _words(run: str) -> list[str]:
+    char = run[0]
+    script = "thai" if char < "\u0e80" else "lao" if char < "\u0f00" else "khmer" if "\u1780" <= char < "\u1a00" else "burmese" if char < "\u1100" or "\ua9e0" <= char < "\uab00" else "cj"
+    return LATTICES[script].cut(run)
+
+
 def _gap_ends(text: str, start: int, at: int, stop: int, limit: int) -> bool:
     """Whether white space beside a script without terminators ends the sentence that began at ``start``."""
     left = RUN_BEFORE.search(text, max(start, at - NEAR), at)
-    left_words = THAI.cut(left.group()) if left and left.end() == at else []
+    left_words = _words(left.group()) if left and left.end() == at else []
+    closed = bool(left_words) and left_words[-1] in CLOSING_WORDS
     right = RUN_AFTER.match(text, stop, min(limit, stop + NEAR))
     if right:
-        first = THAI.cut(right.group())[0]
+        first = _words(right.group())[0]
+        if closed and first not in JOINING and first not in CLOSING_WORDS - OPENING:
+            return True
         if first in OPENING and not (first in GOING_ON):
             # Behind a foreign word or number only a word that cannot go on opens a sentence.
             return True if left_words else len(first) > 2
@@ -130,6 +178,8 @@ def _gap_ends(text: str, start: int, at: int, stop: int, limit: int) -> bool:
     if not left_words:
         return False
     following = NEXT_WORD.match(text, stop, limit)
+    if closed:
+        return following is not None
     return bool(left_words[-1] in FINAL and following and following.group()[0].isupper() and following.group()[1:2].islower())
 
 
@@ -222,7 +272,7 @@ def _block(text: str, begin: int, limit: int, gaps: bool) -> Iterator[tuple[int,
                 start = at
             continue
         smiley = mark[0] not in TERMINATORS or mark[0] == ";" and mark.strip(";") != ""
-        if first == start and not smiley and mark[0] in "….":
+        if first == start and not smiley and mark[0] in "….།༎":
             continue  # nothing to end yet
         face = smiley
         stop = at
@@ -266,8 +316,9 @@ def _block(text: str, begin: int, limit: int, gaps: bool) -> Iterator[tuple[int,
                     ends = False
             elif _inside(text, start, first, limit):
                 ends = False
-        elif mark[0] in "؟۔":
-            ends = True
+        elif mark[0] in ENDING:
+            abbreviated = mark == "។" and text.startswith("ល។", stop)  # ។ល។, and so on
+            ends = not abbreviated and (mark[0] in "؟۔" or bool(closed) or not _bracketed(text, start, first, limit))
         elif mark in ("…",) or mark.startswith("..") or mark.startswith("…"):
             ends = spaced and _opens(text, after, limit, last) or not spaced and nxt.isupper()
         elif "!" in mark or "?" in mark or mark[0] in "‼⁇⁈⁉":
@@ -334,7 +385,7 @@ def split_sentences(text: str | None) -> list[tuple[int, int]]:
         return []
     spans: list[tuple[int, int]] = []
     begin = 0
-    gaps = HAS_UNTERMINATED.search(text) is not None
+    gaps = HAS_GAPS.search(text) is not None
     for blank in BLANK_LINE.finditer(text):
         spans += _block(text, begin, blank.start(), gaps)
         begin = blank.end()

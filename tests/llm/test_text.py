@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spanloom.llm.mixing import Source, entropy, mixture, plan_mixture, reached_shares, temperature_shares, token_sizes
 from spanloom.llm.sentences import sentences, split_sentences
 from spanloom.llm.tokenizer import PATTERN, VOCABULARY, Encoder, PerfectHash, encode_documents, merge_bytes, read_ranks
+from spanloom.llm.wordlists import word_list
 
 tiktoken = pytest.importorskip("tiktoken")
 
@@ -141,3 +142,39 @@ def test_sizes_of_listed_sources_only(spark):
     docs = spark.createDataFrame([(1, "a b", "s"), (2, None, "s"), (3, "", "s"), (4, "a", "t"), (5, "a", None)], "doc_id long, text string, source string")
     targets = spark.createDataFrame([("s",), ("s",)], "source string")
     assert [tuple(r) for r in token_sizes(docs, targets).collect()] == [(1, "s", 2)]
+
+
+@pytest.mark.parametrize(
+    "parts",
+    [
+        ["วันนี้กินข้าวแล้วครับ", "พรุ่งนี้ค่อยไปหาหมอ"], ["ปวดหัวมากค่ะ", "ลูกสาวพาไปโรงพยาบาล"], ["สบายดีไหม", "วันนี้อากาศร้อน"], ["หายแล้วครับ", "5 วันก่อนยังไอ"],
+        ["ເຈັບຫົວແດ່", "ມື້ນີ້ໄປໂຮງໝໍ"], ["ກິນເຂົ້າແລ້ວ", "ຂ້ອຍໄປໂຮງຮຽນ"],
+        ["ខ្ញុំមិនឈឺទេ", "ថ្ងៃនេះខ្ញុំទៅផ្សារ"], ["ខ្ញុំឈឺក្បាល។", "គាត់ទៅពេទ្យ។"], ["ဆေးသောက်တယ်", "ဒီနေ့ဆေးရုံသွားမယ်"], ["နေကောင်းပါသည်။", "ဆေးသောက်ပါ။"],
+        ["你今天好吗", "我想睡觉"], ["昨日病院に行きました", "今日は元気です"],
+        ["Հիվանդը տանն է։", "Նա լավ է։"], ["ታካሚው ደህና ነው።", "ወደ ቤት ሄደ።"], ["ལགས་སོ༎", "བདེ་མོ༎"], ["ᠮᠣᠩᠭᠣᠯ᠃", "ᠬᠡᠯᠡ᠃"], ["මම යමි෴", "ඔහු එයි෴"],
+    ],
+)
+def test_sentences_of_scripts_without_full_stops(parts):
+    text = " ".join(parts)
+    assert [text[begin:end] for begin, end in split_sentences(text)] == parts
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["ผู้ชนะ ทุกคนดีใจ", "ซื้อผลิตภัณฑ์ ผลิตภัณฑ์นี้ราคาแพง", "ครับ ที่บ้านสบายดี", "昨日病院に行きました が薬はない", "我为了 健康", "ថ្នាំ ទឹក ។ល។", "ဆေးသောက်တယ် လို့ပြောတယ်"],
+)
+def test_words_that_only_look_final_or_opening(text):
+    assert split_sentences(text) == [(0, len(text))]
+
+
+@pytest.mark.parametrize(
+    "name, words, other",
+    [
+        ("thai", "โรง พยาบาล ครับ ผลิตภัณฑ์", "กกก"), ("lao", "ໂຮງຮຽນ ສະບາຍດີ", "ກກກ"), ("khmer", "មន្ទីរពេទ្យ អ្នកជំងឺ", "កកក"),
+        ("burmese", "ဆေးရုံ လူနာ", "ကကက"), ("cj", "医院 病院 ありがとう 为了", "了医为"),
+    ],
+)
+def test_word_lists(name, words, other):
+    known = word_list(name)
+    assert all(len(word) in known.stops(word, 0) for word in words.split())
+    assert len(other) not in known.stops(other, 0) and known.stops("abc", 0) == [] == known.stops("", 0)
