@@ -8,6 +8,7 @@ a dictionary gives the words on both sides, and final particles and opening word
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -68,6 +69,11 @@ HAS_GAPS = regex.compile(rf"[{UNTERMINATED}]|{CJK_GAP}")
 SMILEY_STARTS, PICTURES = ":;=<^", "☀"
 MISSING_BLANK = regex.compile(r"(?:\p{Ll}{2}|\p{Lo}\p{M}*|\p{N}|[%)\]”»°])$")
 SMILEYS = regex.compile(rf"[^\S\n\r]*{SMILEY}+(?=\s|$|[.!?])")
+#: By mark what it closes; opening marks and the straight quote have themselves.
+MARK_OF = dict(zip(")）]”»」』》", "(（[“«「『《")) | {mark: mark for mark in "(（[“„«「『《\""}
+MARKS = regex.compile(rf"{SMILEY}|[{regex.escape(''.join(MARK_OF))}]")
+#: What goes on across terminators: in spaced scripts, and in Chinese and Japanese.
+BRACKETED, INSIDE = '(（["“„«', "「『“（(《"
 SMILEY_ONLY = regex.compile(SMILEY)
 CLOSING = regex.compile(rf"(?:[{regex.escape(CLOSERS)}]|\s*[»›](?=[\s,.;:!?)]|$))+")
 WORD_BEFORE = regex.compile(r"(?r)[\p{L}\p{M}\p{N}](?:[\p{L}\p{M}\p{N}'’-]|(?<=\p{L}\p{M}*)\.\s?(?=\p{L}))*")
@@ -78,11 +84,15 @@ TURNS_CASELESS = regex.compile(r"(?:[\p{Latin}\p{N}-]+[ ]?){1,5}(?![\p{Latin}])[
 NEXT_WORD = regex.compile(r"[\p{L}\p{M}\p{N}][\p{L}\p{M}\p{N}'’-]*")
 CASELESS = regex.compile(r"[\p{Lo}\p{Lm}\p{M}]")
 CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]")
-GREEK = regex.compile(r"\p{Greek}")
+GREEK, GREEK_WORD = regex.compile(r"\p{Greek}"), regex.compile(r"\p{Greek}{2}")
 FULL_STOPS = regex.compile(r"[。！？｡．‼⁇⁈⁉।॥]|……")
 # What goes on behind a quotation or bracket in Japanese, and who speaks behind one in Chinese.
 GOES_ON = regex.compile(r"(?:と|って|という|は|が|を|に|の|も|で|へ|や|から|まで|など|、|，|；|：|的|等)")
-SPEAKS = regex.compile(r"[^。！？…；：“”「」\n]{0,24}?(?:说|說|问|問|道|答|表示|指出|写道)[。，！,]")
+# An attribution is near, in the first clause, or ends the sentence with a plain verb of speaking.
+SPEAKS = regex.compile(
+    r"[^。！？…；：“”「」\n]{0,24}?(?:说|說|问|問|道|答|表示|指出|写道)[。，！,]"
+    r"|[^。！？…；：“”「」，,\n]*?(?:说|說|问道|問道|答道|表示|指出|写道)[。，！,]|[^。！？…；：“”「」\n]*?(?:说|說|问道|問道|答道|写道)[。！]"
+)
 ORDINAL_BEFORE = frozenset("der die das dem den des am im vom zum zur beim ab bis seit nach jeder jede jeden ihrer seiner".split())
 
 # Words of the dictionary lattice for a script without terminators, by what they do at a gap.
@@ -257,10 +267,71 @@ def _skip(text: str, at: int, limit: int) -> int:
     return at
 
 
+class Pairs:
+    """Brackets and quotations of a block, paired in one sweep when first asked for.
+
+    A closing mark closes the last of its kind that is open; one that closes nothing and one that is never closed do not
+    count. A straight quote opens behind white space and closes before it; in between it does what is due.
+    """
+
+    def __init__(self, text: str, begin: int, limit: int) -> None:
+        self.text, self.begin, self.limit = text, begin, limit
+        self.kinds: dict[str, tuple[list[int], list[int], list[int]]] | None = None
+
+    def _sweep(self) -> dict[str, tuple[list[int], list[int], list[int]]]:
+        text, begin, limit = self.text, self.begin, self.limit
+        opened: dict[str, list[int]] = {}
+        found: dict[str, list[tuple[int, int]]] = {}
+        for mark in MARKS.finditer(text, begin, limit):
+            char, at = mark.group(), mark.start()
+            if len(char) > 1 or char not in MARK_OF:
+                continue  # a smiley
+            opener = MARK_OF[char]
+            opens = opener == char
+            if char == '"':
+                behind_blank = at == begin or text[at - 1].isspace() or text[at - 1] in "([（"
+                before_blank = at + 1 == limit or text[at + 1].isspace() or text[at + 1] in ".,;:!?)]）"
+                opens = not opened.get(char) if behind_blank == before_blank else behind_blank
+                if opens:
+                    opened[char] = []  # the one before was never closed
+            elif char == "“" and opened.get("„"):
+                opener, opens = "„", False
+            if opens:
+                opened.setdefault(char, []).append(at)
+            elif opened.get(opener):
+                found.setdefault(opener, []).append((opened[opener].pop(), at))
+        kinds = {}
+        for opener, spans in found.items():
+            spans.sort()
+            outer, around = [], []  # for each the pair around it, -1 if there is none
+            for place, (at, _) in enumerate(spans):
+                while around and spans[around[-1]][1] < at:
+                    around.pop()
+                outer.append(around[-1] if around else -1)
+                around.append(place)
+            kinds[opener] = ([at for at, _ in spans], [at for _, at in spans], outer)
+        return kinds
+
+    def around(self, start: int, at: int, kinds: str) -> bool:
+        """Whether a pair of one of ``kinds`` that opens behind ``start`` is open at ``at``."""
+        if self.kinds is None:
+            self.kinds = self._sweep()
+        for kind in kinds:
+            opens, closes, outer = self.kinds.get(kind, ((), (), ()))
+            place = bisect_left(opens, at) - 1
+            while place >= 0 and opens[place] > start and closes[place] < at:
+                place = outer[place]
+            if place >= 0 and opens[place] > start:
+                return True
+        return False
+
+
 def _block(text: str, begin: int, limit: int, gaps: bool) -> Iterator[tuple[int, int]]:
     start = _skip(text, begin, limit)
     at = start
     search = (CANDIDATE_OR_GAP if gaps else CANDIDATE).search
+    pairs = Pairs(text, begin, limit)
+    greek: list[int] | None = None
     while True:
         found = search(text, at, limit)
         if not found:
@@ -301,7 +372,10 @@ def _block(text: str, begin: int, limit: int, gaps: bool) -> Iterator[tuple[int,
         if nxt in ",;:،؛،、，；：)]}»”’" and not (nxt in ":;" and SMILEY_ONLY.match(text, after)):
             ends = False
         elif mark[0] in ";;" and set(mark) <= {";", ";"}:
-            ends = bool(GREEK.search(text, max(start, first - 200), first)) and spaced and (nxt.isupper() or nxt in OPENERS or nxt.isdigit() or CASELESS.match(nxt) is not None)
+            if greek is None:
+                greek = [word.start() for word in GREEK_WORD.finditer(text, begin, limit)]
+            own = bisect_left(greek, start) < bisect_left(greek, first)
+            ends = (own or bool(GREEK.search(text, max(start, first - 200), first))) and spaced and (nxt.isupper() or nxt in OPENERS or nxt.isdigit() or CASELESS.match(nxt) is not None)
         elif face:
             ends = spaced and _opens(text, after, limit, "") and (nxt.isupper() or nxt.isdigit() or nxt in OPENERS or CASELESS.match(nxt) is not None)
         elif FULL_STOPS.search(mark) or (mark[0] in "…?!" and CJK.match(last)) or closed and CJK.match(text[first - 1 : first]):
@@ -314,11 +388,11 @@ def _block(text: str, begin: int, limit: int, gaps: bool) -> Iterator[tuple[int,
                     ends = False
                 elif bracket and not own and not spaced:
                     ends = False
-            elif _inside(text, start, first, limit):
+            elif pairs.around(start - 1, first, INSIDE):
                 ends = False
         elif mark[0] in ENDING:
             abbreviated = mark == "។" and text.startswith("ល។", stop)  # ។ល។, and so on
-            ends = not abbreviated and (mark[0] in "؟۔" or bool(closed) or not _bracketed(text, start, first, limit))
+            ends = not abbreviated and (mark[0] in "؟۔" or bool(closed) or not pairs.around(start, first, BRACKETED))
         elif mark in ("…",) or mark.startswith("..") or mark.startswith("…"):
             ends = spaced and _opens(text, after, limit, last) or not spaced and nxt.isupper()
         elif "!" in mark or "?" in mark or mark[0] in "‼⁇⁈⁉":
@@ -326,7 +400,7 @@ def _block(text: str, begin: int, limit: int, gaps: bool) -> Iterator[tuple[int,
                 ends = _opens(text, after, limit, last) and not (nxt in "—–-")
             else:
                 ends = nxt.isupper() or nxt in "¿¡“«„「" or CJK.match(nxt) is not None or smiley
-            if not closed and _bracketed(text, start, first, limit):
+            if not closed and pairs.around(start, first, BRACKETED):
                 ends = False
         else:  # a full stop
             known = None if closed or smiley else _abbreviation(text, start, first, after, limit, spaced)
@@ -340,7 +414,7 @@ def _block(text: str, begin: int, limit: int, gaps: bool) -> Iterator[tuple[int,
                 heads = bool(word) and (nxt.isupper() and (word.group()[1:2].islower() or len(word.group()) == 1 and text[word.end() : word.end() + 1] == " "))
                 prior = bool(MISSING_BLANK.search(before)) or len(before) == 3 and before.isupper() or bool(closed)
                 ends = prior and (heads or nxt in "¿¡“«„「" or CASELESS.match(nxt) is not None and not last.isdigit() or nxt.isupper() and before.isalpha() and before.islower() and bool(word) and len(word.group()) > 2)
-            if ends and not closed and _bracketed(text, start, first, limit):
+            if ends and not closed and pairs.around(start, first, BRACKETED):
                 ends = False
         if ends:
             yield start, stop
@@ -354,31 +428,6 @@ def _block(text: str, begin: int, limit: int, gaps: bool) -> Iterator[tuple[int,
         yield start, stop
 
 
-def _bracketed(text: str, start: int, at: int, limit: int) -> bool:
-    """Whether ``at`` is inside a bracket or quotation that opened behind this sentence's first words and closes soon."""
-    for opening, closing in (("(", ")"), ("（", "）"), ("[", "]")):
-        opened = text.rfind(opening, start, at)
-        if opened > start and text.find(closing, opened, at) < 0:
-            closes = text.find(closing, at, min(limit, at + 300))
-            if closes >= 0:
-                return True
-    for opening, closing in (("\"", "\""), ("“", "”"), ("„", "“"), ("«", "»")):
-        opened = text.rfind(opening, start, at)
-        if opened > start and (text.count('"', start, at) % 2 if opening == closing else text.find(closing, opened, at) < 0):
-            if text.find(closing, at, min(limit, at + 300)) >= 0:
-                return True
-    return False
-
-
-def _inside(text: str, start: int, at: int, limit: int) -> bool:
-    """Whether ``at`` is inside a quotation or bracket that opened in this sentence and closes soon behind ``at``."""
-    for opening, closing in (("「", "」"), ("『", "』"), ("“", "”"), ("（", "）"), ("(", ")"), ("《", "》")):
-        opened = text.rfind(opening, start, at)
-        if opened >= 0 and text.find(closing, opened, at) < 0 and text.find(closing, at, min(limit, at + 300)) >= 0:
-            return True
-    return False
-
-
 def split_sentences(text: str | None) -> list[tuple[int, int]]:
     """Offsets ``[begin, end)`` in code points of the sentences of a text; none for a null, empty or blank one."""
     if not text:

@@ -178,3 +178,27 @@ def test_word_lists(name, words, other):
     known = word_list(name)
     assert all(len(word) in known.stops(word, 0) for word in words.split())
     assert len(other) not in known.stops(other, 0) and known.stops("abc", 0) == [] == known.stops("", 0)
+
+
+LONG = "ein sehr langer Satz ohne Ende und Ziel " * 20
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        f"Er sagte (so war es. Dann {LONG}kam es anders) und ging.", f"He said “it hurts. Then {LONG}it stopped” and left.", f'He said "it hurts. Then {LONG}it stopped" and left.',
+        f"Sie sagte „es schmerzt. Dann {LONG}war es gut“ und ging.", f"他说（很疼。{'然后不疼了' * 100}）就走了。", f"“很疼。”他{'慢慢地走到窗前' * 10}说。",
+    ],
+)
+def test_long_brackets_quotations_and_attributions(text):
+    assert split_sentences(text) == [(0, len(text))]
+
+
+def test_marks_without_their_other_half_hold_nothing_together():
+    parts = ["I felt (bad.", "Then it went.", "Then 5\" more.", "I slept “well.", "It hurts :(", "Better now.", "Good (really) :)", "The end."]
+    assert [begin for begin, _ in split_sentences(" ".join(parts))] == [len(" ".join([*parts[:i], ""])) for i in range(len(parts))]
+
+
+def test_greek_question_far_behind_the_last_greek_word():
+    text = f"Πήρατε {'COVID-19 mRNA BNT162b2 ' * 12}vaccine; Ναι, το πήρα."
+    assert len(split_sentences(text)) == 2
