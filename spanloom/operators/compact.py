@@ -47,6 +47,11 @@ class Snapshots:
         if self.latest() != base:
             raise ConflictError(f"snapshot {self.latest()} was committed after {base}")
 
+    def delete(self, file: str) -> None:
+        """Delete a file of the table, named as ``_metadata.file_path`` does."""
+        if not self._fs.delete(self._jvm.org.apache.hadoop.fs.Path(self._jvm.java.net.URI(file)), False):
+            raise ConflictError(f"{file} was deleted by another writer")
+
     def commit(self, base: int, manifest: dict) -> int:
         """Make the snapshot after ``base``; the file is created only if nobody else did so first."""
         self.check(base)
@@ -104,9 +109,10 @@ def compact_records(
     lie. With ``keep`` (keys of the records to keep, unique) all other records are left out of either. A rewritten
     partition is spread over its files by a hash of the key, so one that holds a third of all rows is many tasks'
     work. Folders are named after a digest of the value (``null`` for null) and the value itself is stored in the files:
-    a folder named after the value would be read back as null for an empty one. The snapshot current at the start must still be the newest when the data are put in place and when the new
-    snapshot is committed, else :class:`ConflictError`. Null and empty partitions, files and sizes are values like others;
-    an empty table gives an empty result; other columns are carried along.
+    a folder named after the value would be read back as null for an empty one. The next snapshot
+    is reserved before data are put in place; if another writer has made it since the start, :class:`ConflictError` is
+    raised and nothing is written. Null and empty partitions, files and sizes are values like others; an empty table gives
+    an empty result; other columns are carried along.
     """
     spark = records.sparkSession
     snapshots = Snapshots(spark, target)
@@ -125,7 +131,7 @@ def compact_records(
     spread = F.pmod(F.xxhash64(*[F.col(name) for name in (key or (file,))]), F.col("n_out"))
     folder = F.coalesce(F.sha2(F.col(partition).cast("string"), 256), F.lit("null"))
     rewritten = kept(records.join(planned, same).withColumn("out_file", spread).drop("plan_partition", "n_out"))
-    snapshots.check(base)
+    snapshots.commit(base, {"policy": asdict(policy), "partition": partition})
     (
         rewritten.repartition(partition, "out_file")
         .drop("out_file")
@@ -137,7 +143,6 @@ def compact_records(
     )
     compacted = spark.read.schema(records.schema).parquet(target).select(*records.columns)
     compacted = compacted.join(planned.select("plan_partition"), same, "left_semi")
-    snapshots.commit(base, {"policy": asdict(policy), "partition": partition})
     return compacted.unionByName(kept(records.join(planned, same, "left_anti")))
 
 
@@ -145,9 +150,11 @@ def compact_directory(spark: SparkSession, path: str, partition: str, policy: Po
     """Compact a Parquet directory partitioned by ``partition`` in place; returns what was done.
 
     Finds partitions with too many small files from the files' own sizes, stages their rows in the shared folder,
-    checks that neither the snapshot nor the files of those partitions have changed meanwhile, puts them in place by
-    dynamic partition overwrite and commits the next snapshot. Other partitions are not touched. Rows, repeated ones
-    too, stay as they are. With nothing to do no snapshot is made.
+    checks that neither the snapshot nor the files of those partitions have changed meanwhile and reserves the next
+    snapshot, so that of two compactors one fails before data are touched. Then the new files are added and the files
+    that were listed at first are deleted, one by one: a file that comes later stays. Until they are deleted, readers see
+    rows twice. Other partitions are not touched. Rows, repeated ones too, stay as they are. With nothing to do no
+    snapshot is made.
     """
     snapshots = Snapshots(spark, path)
     base = snapshots.latest()
@@ -164,26 +171,30 @@ def compact_directory(spark: SparkSession, path: str, partition: str, policy: Po
     todo = plan.agg(F.count("*"), F.sum("n_files"), F.sum("n_out")).first()
     if not todo[0]:
         return {"version": base, "partitions": 0, "files_before": 0, "files_after": 0}
-    rows = spark.read.parquet(path)
     planned = plan.select(F.col(partition).alias("plan_partition"), "n_out")
     same = F.col(partition).eqNullSafe(F.col("plan_partition"))
-    spread = F.pmod(F.xxhash64(*[F.col(name) for name in rows.columns]), F.col("n_out"))
-    staged = rows.join(planned, same).withColumn("out_file", spread).select(*rows.columns, "out_file")
+    chosen = lambda files: files.join(planned, same, "left_semi")
+    read = spark.read.parquet(path)
+    columns = read.columns
+    spread = F.pmod(F.xxhash64(*[F.col(name) for name in columns]), F.col("n_out"))
+    rows = read.withColumn("data_file", F.col("_metadata.file_path")).join(before.select("data_file"), "data_file", "left_semi")
+    staged = rows.join(planned, same).withColumn("out_file", spread).select(*columns, "out_file")
     staging = shared_path(spark, "compaction-staging")
     staged.write.parquet(staging)
-    chosen = lambda files: files.join(planned, same, "left_semi")
     snapshots.check(base)
     if chosen(listing()).exceptAll(chosen(before)).limit(1).count() or chosen(before).exceptAll(chosen(listing())).limit(1).count():
         raise ConflictError(f"files below {path} changed during the compaction")
+    version = snapshots.commit(base, {"policy": asdict(policy), "partitions": todo[0]})
     (
         spark.read.schema(staged.schema).parquet(staging)
         .repartition(partition, "out_file")
         .drop("out_file")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .write.mode("append")
         .partitionBy(partition)
         .parquet(path)
     )
-    version = snapshots.commit(base, {"policy": asdict(policy), "partitions": todo[0]})
+    for file in chosen(before).select("data_file").toLocalIterator():
+        snapshots.delete(file[0])
+    spark.catalog.refreshByPath(path)
     remove(spark, staging)
     return {"version": version, "partitions": todo[0], "files_before": todo[1], "files_after": todo[2]}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import clean_text
-from spanloom.operators.compact import Policy, compact_records, first_deliveries, small_file_partitions
+from spanloom.operators.compact import Policy, compact_directory, compact_records, first_deliveries, small_file_partitions
 from spanloom.operators.packed import explode_packed
 from spanloom.session import shared_path, table
 from spanloom.sources.mmo import load_records, rejected_records
@@ -59,6 +59,16 @@ def p5_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return small_file_partitions(records, Policy(), "folder", "file_path", "n_bytes")
 
 
+def p5_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records, laid down in many small files by a part of the folder's digest and compacted in place."""
+    records = with_folder(table(spark, sf_dir, "annotated_texts"))
+    path = shared_path(spark, "annotated-texts")
+    part = F.substring(F.sha2(F.coalesce("folder", F.lit("")), 256), 1, 1)
+    records.withColumn("part", part).repartition(24, "file_path").write.partitionBy("part").parquet(path)
+    compact_directory(spark, path, "part")
+    return spark.read.parquet(path).select("file_path", "rec_no")
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_reasons": p2_reasons,
@@ -66,6 +76,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_layout": p5_layout,
+    "p5_in_place": p5_in_place,
 }
 
 ITEMS = r"""regexp_extract_all({0}, '"(?:[^"\\]|\\"|""|\\)*"|''[^'']*''|[\p{{L}}\p{{N}}._-]+')"""
@@ -81,6 +92,7 @@ SQL = {
     "p5_found": r"""select file_path, rec_no from (select file_path, rec_no, row_number() over (partition by id,
         regexp_replace(regexp_replace(replace(text, '’', ''''), '([^\s])(:)([^\s])', '\1 \2 \3', 'g'), ' {2,}', ' ', 'g')
         order by file_path, rec_no) as k from annotated_texts) where k = 1""",
+    "p5_in_place": "select file_path, rec_no from annotated_texts",
     "p5_layout": r"""select folder, count(*) as n_files, sum((b < 16777216)::int)::bigint as n_small, sum(b)::bigint as n_bytes,
         greatest(ceil(sum(b) / 134217728), 1)::int as n_out from (select regexp_extract(file_path, '^(.*)/', 1) as folder,
         file_path, sum(coalesce(n_bytes, 0)) as b from annotated_texts group by 1, 2) group by 1

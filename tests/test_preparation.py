@@ -117,3 +117,31 @@ def test_directory_compaction_and_conflict(spark, tmp_path):
     assert compact_directory(spark, path, "p")["partitions"] == 0
     with pytest.raises(ConflictError):
         Snapshots(spark, path).commit(0, {})
+
+
+@pytest.mark.parametrize("late", [False, True])
+def test_directory_compaction_beside_other_writers(spark, tmp_path, monkeypatch, late):
+    path = f"file://{tmp_path}/t"
+    rows = spark.range(200).withColumn("p", F.lit("a/b c%é"))
+    rows.repartition(20).write.partitionBy("p").parquet(path)
+    files = lambda: sorted(str(x) for x in tmp_path.rglob("*.parquet"))
+    before, commit = files(), Snapshots.commit
+
+    def meanwhile(self, base, manifest):
+        if late:  # a writer that knows nothing of snapshots
+            spark.range(200, 210).withColumn("p", F.lit("a/b c%é")).write.mode("append").partitionBy("p").parquet(path)
+        else:  # another compactor
+            commit(self, base, {})
+        return commit(self, base, manifest)
+
+    monkeypatch.setattr(Snapshots, "commit", meanwhile)
+    if late:
+        compact_directory(spark, path, "p")
+    else:
+        with pytest.raises(ConflictError):
+            compact_directory(spark, path, "p")
+        assert files() == before
+    got = spark.read.parquet(path).agg(F.count("*"), F.sum("id"), F.countDistinct("id")).first()
+    n = 210 if late else 200
+    assert got[:] == (n, n * (n - 1) // 2, n)
+    assert len(files()) < 10 or not late
