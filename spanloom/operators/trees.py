@@ -11,10 +11,6 @@ from pyspark.sql import functions as F
 from spanloom.functions.constants import whole
 from spanloom.functions.let import let
 
-#: Rounds of doubling by which paths are climbed: up to ``2 ** ROUNDS`` steps. A path that has not ended by then belongs to a
-#: damaged tree.
-ROUNDS = 8
-
 
 def heads_of(tokens: Column) -> Column:
     """Heads by position; tokens must be numbered without gaps."""
@@ -30,7 +26,8 @@ def root_paths_of(heads: Column) -> Column:
     """Positions from each token up to its root: arrays beginning with the token itself. A head that does not exist ends
     a path like a root; a cycle ends it where it closes.
 
-    Each round appends to a path the one of its topmost token's head, so the known part doubles.
+    Each round appends to a path the one of its topmost token's head, so the known part doubles. There are as many rounds as
+    the sentence's size has bits: a path that has not ended by then is longer than the sentence and goes round in a cycle.
     """
     def known(head: Column) -> Column:
         return F.when((head > 0) & (head <= F.size(heads)), head.cast("int")).otherwise(0)
@@ -41,8 +38,8 @@ def root_paths_of(heads: Column) -> Column:
         longer = lambda s, up: F.struct(F.concat(s["path"], up["path"]).alias("path"), up["next"].alias("next"))
         return F.transform(paths, lambda s: F.when(s["next"] > 0, let(F.get(paths, s["next"] - 1), lambda up: longer(s, up))).otherwise(s))
 
-    for _ in range(ROUNDS):
-        state = let(state, double)
+    rounds = F.sequence(F.lit(1), F.length(F.bin(F.size(heads))))
+    state = F.aggregate(rounds, state, lambda paths, _: double(paths))
     return F.transform(state, lambda s: F.when(s["next"] > 0, F.array_distinct(s["path"])).otherwise(s["path"]))
 
 

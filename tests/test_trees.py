@@ -130,3 +130,14 @@ def test_extraction(spark):
         ("C3", "dobj -> reduce:VB <- nsubj", "C1"): (["u2"], 1),
     }
     assert {r.src_semtypes for r in evidence.collect()} == {"phsu"}
+
+
+def test_chains_of_any_depth(spark):
+    df = spark.createDataFrame([(1, list(range(700))), (2, list(range(256))), (3, [0]), (4, []), (5, None), (6, [300, *range(1, 300)]), (7, [0, 1, 4, 3])], "id int, heads array<int>")
+    df = df.withColumn("paths", root_paths_of(F.col("heads")))
+    got = {r.id: r for r in df.select("id", "paths", has_cycle(F.col("heads"), F.col("paths")).alias("cycle")).collect()}
+    assert got[1].paths == [list(range(i, 0, -1)) for i in range(1, 701)] and not got[1].cycle
+    assert got[2].paths[-1] == list(range(256, 0, -1)) and not got[2].cycle
+    assert (got[3].paths, got[4].paths, got[5].paths) == ([[1]], [], None)
+    assert got[6].cycle and {len(path) for path in got[6].paths} == {300}
+    assert got[7].cycle and got[7].paths == [[1], [2, 1], [3, 4], [4, 3]]
