@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.heavy import frequent_items
 from spanloom.llm.mixing import mixture, reached_shares, token_sizes
-from spanloom.llm.seen import filter_errors, seen_before, trimmed
+from spanloom.llm.seen import filter_errors, passed_keys, seen_before, trimmed
 from spanloom.llm.sentences import sentences
 from spanloom.llm.together import pairs_together
 from spanloom.llm.toxicity import THRESHOLD, rates_by_source, score_documents
@@ -70,6 +70,11 @@ def p3_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_errors(incoming_keys(spark, sf_dir), known_keys(spark, sf_dir))
 
 
+def p3_passed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every key the filter let through, and whether it was disproved."""
+    return passed_keys(incoming_keys(spark, sf_dir), known_keys(spark, sf_dir))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = sentences(table(spark, sf_dir, "documents"), "doc_id").select(F.lit("documents").alias("tbl"), "*")
     utterances = sentences(table(spark, sf_dir, "utterances"), "row_id").select(F.lit("utterances").alias("tbl"), "*")
@@ -123,6 +128,7 @@ QUERIES = {
     "p1_frequent": p1_frequent,
     "p3_found": p3_found,
     "p3_errors": p3_errors,
+    "p3_passed": p3_passed,
     "p6_found": p6_found,
     "p7_found": p7_found,
     "p7_pairs": p7_pairs,

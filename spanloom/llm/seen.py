@@ -82,14 +82,24 @@ def seen_before(incoming: DataFrame, known: DataFrame, bits_per_key: int = 16) -
     return rows.join(new, ["kind", "incoming_id"], "left_anti")
 
 
+def passed_keys(incoming: DataFrame, known: DataFrame, bits_per_key: int = 16) -> DataFrame:
+    """``(kind, key, first_id, n_rows, disproved)`` of every key the filter let through: the log of its positives, with those
+    that the exact lookup disproved."""
+    firsts = first_occurrences(incoming, known, bits_per_key)
+    return firsts.where("maybe").select("kind", "key", "first_id", "n_rows", (~F.col("known")).alias("disproved"))
+
+
 def filter_errors(incoming: DataFrame, known: DataFrame, bits_per_key: int = 16) -> DataFrame:
     """Per kind: different keys and rows, keys the filter turned away, let through and let through wrongly, the rate of
-    wrong answers among keys that are not known, and the rate left after the exact lookup (none)."""
-    firsts = first_occurrences(incoming, known, bits_per_key)
+    wrong answers among keys that are not known, and the rate of wrong final answers among all keys, found by joining
+    every key, turned away or not, with the full keys."""
+    full = known.where("kind is not null and key is not null").select("kind", "key").distinct().withColumn("is_known", F.lit(True))
+    firsts = first_occurrences(incoming, known, bits_per_key).join(full, ["kind", "key"], "left")
     count = lambda condition, name: F.sum(F.expr(condition).cast("bigint")).alias(name)
     groups = firsts.groupBy("kind").agg(
         F.count("*").alias("n_keys"), F.sum("n_rows").alias("n_rows"), count("not maybe", "turned_away"),
-        count("maybe", "let_through"), count("maybe and not known", "disproved"), count("not known", "unknown"),
+        count("maybe", "let_through"), count("maybe and is_known is null", "disproved"), count("is_known is null", "unknown"),
+        count("known <> (is_known is not null)", "wrong"),
     )
     rate = F.when(F.col("unknown") > 0, F.col("disproved") / F.col("unknown")).otherwise(0.0)
-    return groups.withColumn("filter_error_rate", rate).withColumn("final_error_rate", F.lit(0.0))
+    return groups.withColumn("filter_error_rate", rate).withColumn("final_error_rate", F.col("wrong") / F.col("n_keys")).drop("wrong")

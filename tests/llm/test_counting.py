@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.llm.heavy import CountSketch, Shape, frequent_items
-from spanloom.llm.seen import filter_errors, first_occurrences, seen_before, trimmed
+from spanloom.llm.seen import MembershipFilter, filter_errors, first_occurrences, passed_keys, seen_before, trimmed
 from spanloom.llm.together import pairs_together
 
 VALUES = "field_name string, item string"
@@ -94,3 +94,15 @@ def test_pairs_against_brute_force(spark, ratio):
 def test_pairs_of_nothing(spark):
     df = spark.createDataFrame([("b", "i")], "basket string, item string")
     assert pairs_together(df).count() == 0 and pairs_together(df.limit(0)).count() == 0
+
+
+def test_disproved_keys_are_rows_and_wrong_answers_are_counted(spark, monkeypatch):
+    known = spark.createDataFrame([("a", f"k{i}") for i in range(8)], "kind string, key string")
+    incoming = spark.createDataFrame([("a", f"k{i}", i) for i in range(4, 16)], "kind string, key string, incoming_id long")
+    monkeypatch.setattr(MembershipFilter, "ask", lambda self, keys: keys.withColumn("maybe", F.lit(True)))
+    assert {(r.key, r.first_id, r.disproved) for r in passed_keys(incoming, known).collect()} == {(f"k{i}", i, i > 7) for i in range(4, 16)}
+    r = filter_errors(incoming, known).first()
+    assert (r.let_through, r.disproved, r.unknown, r.filter_error_rate, r.final_error_rate) == (12, 8, 8, 1.0, 0.0)
+    monkeypatch.setattr(MembershipFilter, "ask", lambda self, keys: keys.withColumn("maybe", F.lit(False)))
+    r = filter_errors(incoming, known).first()
+    assert (r.turned_away, r.unknown, r.final_error_rate) == (12, 8, 4 / 12)
