@@ -19,9 +19,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rejected records with where they came from, the reason and how far reading came."""
-    records = table(spark, sf_dir, "mmo_records")
-    origin = records.select(F.col("record_id").alias("record_key"), "source_file")
-    return rejected_records(records).join(origin, "record_key").withColumnRenamed("record_key", "record_id")
+    rejected = rejected_records(table(spark, sf_dir, "mmo_records"), keep=("source_file",))
+    return rejected.select(F.col("record_key").alias("record_id"), "source_file", "record_offset", "reason", "reason_offset")
 
 
 def p2_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:

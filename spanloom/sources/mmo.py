@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.utils import AnalysisException
+
+from spanloom.sources.files import Truncated, list_files, read_lines
 
 UTTERANCE_DDL = (
     "pmid string, section string, num int, utt_id string, text string, start_pos int, length int, "
@@ -213,44 +216,78 @@ UTTERANCE_FIELDS = [
 ]
 
 
-def _strict(with_rows: bool, with_mappings: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    fields = (UTTERANCE_FIELDS + [("mappings_reason", pa.string())] * with_mappings) * with_rows
+def _strict(with_mappings: bool, carried: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The conforming records of each batch: columns ``problem``, ``rec_text`` and ``carried`` others, which are passed on."""
+    fields = UTTERANCE_FIELDS + [("mappings_reason", pa.string())] * with_mappings
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, rows = [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                try:
-                    rows.append(parse_record(text, with_mappings))
-                    keys.append(key)
-                except Rejected:
-                    continue
-            columns = [pa.array(keys, batch.schema.field(0).type)]
+            places, rows = _conforming(batch, with_mappings)
+            columns = [batch.column(2 + i).take(pa.array(places, pa.int64())) for i in range(carried)]
             columns += [pa.array([row[name] for row in rows], kind) for name, kind in fields]
-            names = ["record_key", *(name for name, _ in fields)]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[2:], *(name for name, _ in fields)])
 
     return load
 
 
-def _explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys, reasons, offsets = [], [], []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            try:
-                parse_record(text)
-            except Rejected as why:
-                keys.append(key)
-                reasons.append(why.reason)
-                offsets.append(why.offset)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, batch.schema.field(0).type), pa.array(reasons, pa.string()), pa.array(offsets, pa.int32())],
-            names=["record_key", "reason", "reason_offset"],
-        )
+def _conforming(batch: pa.RecordBatch, with_mappings: bool = False) -> tuple[list[int], list[dict[str, Any]]]:
+    """The strict load: places in the batch of the records that conform, and what they hold."""
+    places, rows = [], []
+    for at, (problem, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+        try:
+            if problem is None:
+                rows.append(parse_record(text, with_mappings))
+                places.append(at)
+        except Rejected:
+            continue
+    return places, rows
+
 
+def _explain(carried: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Strict load, anti join by offset, diagnosis of the remainder; all within a batch, whose offsets nobody else has."""
 
-def _raw(records: DataFrame, key: str, text: str) -> DataFrame:
-    return records.select(F.col(key).cast("bigint").alias("record_key"), F.col(text).alias("rec_text"))
+    def diagnose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = ["record_file", "record_offset"]
+            raw = pa.table({"record_offset": batch.column(2), "record_file": batch.column(3), "place": pa.array(range(batch.num_rows), pa.int64())})
+            loaded = raw.select(own).take(pa.array(_conforming(batch)[0], pa.int64()))
+            rest = raw.join(loaded, own, join_type="left anti", use_threads=False).sort_by("place")
+            remainder = batch.take(rest.column("place").combine_chunks())
+            reasons, offsets = [], []
+            for problem, text in zip(remainder.column(0).to_pylist(), remainder.column(1).to_pylist()):
+                try:
+                    if problem is not None:
+                        raise Rejected(problem, 0)
+                    parse_record(text)
+                except Rejected as why:
+                    reasons.append(why.reason)
+                    offsets.append(why.offset)
+            columns = [remainder.column(2 + i) for i in range(carried)]
+            names = [*batch.schema.names[2:], "reason", "reason_offset"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(reasons, pa.string()), pa.array(offsets, pa.int32())], names=names)
+
+    return diagnose
+
+
+def with_offsets(records: DataFrame, key: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(problem, rec_text, record_offset, record_file, record_key, *keep)`` of raw records.
+
+    A record is told by its file and its offset there, not by its key: the byte offset where framing gave one
+    (:func:`read_machine_output`), else the row's number in its Parquet file, else a number given on reading. ``problem`` is
+    what framing found wrong with it, null where nothing was framed.
+    """
+    key_column, text_column = F.col(key), F.col(text).alias("rec_text")
+    rest = [key_column.cast("bigint").alias("record_key"), *[F.col(name) for name in keep]]
+    if "byte_offset" in records.columns:
+        return records.select(F.col("problem"), text_column, F.col("byte_offset").alias("record_offset"), F.col("source_file").alias("record_file"), *rest)
+    none = F.lit(None).cast("string").alias("problem")
+    try:
+        own = [F.col("_metadata.row_index").alias("record_offset"), F.col("_metadata.file_path").alias("record_file")]
+        found = records.select(none, text_column, *own, *rest)
+        found.schema  # noqa: B018: analysed here, where the source may turn out to have no metadata
+        return found
+    except AnalysisException:
+        return records.select(none, text_column, F.monotonically_increasing_id().alias("record_offset"), F.lit("").alias("record_file"), *rest)
 
 
 def load_records(records: DataFrame, key: str = "record_id", text: str = "rec_text", with_mappings: bool = False) -> DataFrame:
@@ -259,22 +296,24 @@ def load_records(records: DataFrame, key: str = "record_id", text: str = "rec_te
     ``with_mappings`` loads the same records and adds ``mappings_reason``, null where all mappings could be read.
     """
     ddl = MAPPINGS_DDL if with_mappings else UTTERANCE_DDL
-    return _raw(records, key, text).mapInArrow(_strict(True, with_mappings), f"record_key bigint, {ddl}")
+    raw = with_offsets(records, key, text).select("problem", "rec_text", "record_key")
+    return raw.mapInArrow(_strict(with_mappings, 1), f"record_key bigint, {ddl}")
 
 
-def rejected_records(records: DataFrame, key: str = "record_id", text: str = "rec_text") -> DataFrame:
-    """``(record_key, reason, reason_offset)`` of every record the strict load did not take.
+def rejected_records(records: DataFrame, key: str = "record_id", text: str = "rec_text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(record_offset, record_file, record_key, *keep, reason, reason_offset)`` of every record the strict load did not take.
 
-    The keys that loaded are subtracted from all keys with an anti join in which no text takes part; only what remains
-    is fetched again with its text and diagnosed. ``key`` must be unique and not null. A null or empty text is a
-    rejected record; records delivered twice under different keys are judged each; an empty table gives no rows; other
-    columns do not take part.
+    Every record has its file and offset (:func:`with_offsets`). Batch by batch the conforming records are loaded, their
+    offsets are subtracted from the batch's raw offsets by an anti join, and what remains is diagnosed. As a record's
+    offset lies in the batch that reads it, nothing is shuffled, no text leaves its task, and loaded and rejected
+    records together are all records. The key only comes along: it may be null or repeated. A null or empty text is a
+    rejected record, and so is one that framing found a fault with; records delivered twice are judged each; an empty
+    table gives no rows; of the other columns those named in ``keep`` come along.
     """
-    raw = _raw(records, key, text)
-    loaded = raw.mapInArrow(_strict(False, False), "record_key bigint")
-    missing = raw.select("record_key").join(loaded, "record_key", "left_anti")
-    remainder = raw.join(missing, "record_key", "left_semi")
-    return remainder.mapInArrow(_explain, "record_key bigint, reason string, reason_offset int")
+    raw = with_offsets(records, key, text, keep)
+    own = raw.select("record_offset", "record_file", "record_key", *keep).schema
+    ddl = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in own)
+    return raw.mapInArrow(_explain(3 + len(keep)), f"{ddl}, reason string, reason_offset int")
 
 
 def record_id(text: Column) -> Column:
@@ -288,46 +327,67 @@ class _Part(InputPartition):
         self.path = path
 
 
+def frame_records(path: str) -> Iterator[tuple[str, int, int, str, str | None]]:
+    """``(file, number, byte offset, text, problem)`` of the records of a file; each ends at a line that equals ``'EOU'.``.
+
+    Nothing is left out: lines behind the last end are an ``unfinished record`` (blank ones are none), a compressed file
+    that breaks off gives what could be read with the problem ``truncated file``, and a record that is no UTF-8 comes
+    with replacement characters and the problem ``encoding``.
+    """
+    lines: list[bytes] = []
+    number = start = end = 0
+
+    def record(problem: str | None) -> tuple[str, int, int, str, str | None]:
+        data = b"".join(lines)
+        try:
+            return path, number, start, data.decode("utf-8"), problem
+        except UnicodeDecodeError:
+            return path, number, start, data.decode("utf-8", "replace"), problem or "encoding"
+
+    try:
+        for at, line in read_lines(path):
+            start, end = start if lines else at, at + len(line)
+            lines.append(line)
+            if line.rstrip(b"\n") == END_OF_UTTERANCE.encode():
+                yield record(None)
+                lines, number = [], number + 1
+    except Truncated:
+        start = start if lines else end
+        yield record("truncated file")
+        return
+    if b"".join(lines).strip():
+        yield record("unfinished record")
+
+
 class MachineOutputReader(DataSourceReader):
-    """One partition per file; a record ends at a line that equals ``'EOU'.``, an unfinished tail is left out."""
+    """One partition per file."""
 
     def __init__(self, options: dict[str, str]) -> None:
         self.paths = options["path"]
 
     def partitions(self) -> list[InputPartition]:
-        import glob
-
-        return [_Part(path) for path in sorted(glob.glob(self.paths))]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple[str, int, int, str]]:
-        import gzip
+        return [_Part(path) for path in list_files(self.paths)]
 
-        opener = gzip.open if partition.path.endswith(".gz") else open
-        lines: list[str] = []
-        number = start = 0
-        with opener(partition.path, "rt", encoding="utf-8", newline="\n") as source:
-            for at, line in enumerate(source):
-                lines.append(line)
-                if line.rstrip("\n") == END_OF_UTTERANCE:
-                    yield partition.path, number, start, "".join(lines)
-                    lines, number, start = [], number + 1, at + 1
+    def read(self, partition: InputPartition | None) -> Iterator[tuple[str, int, int, str, str | None]]:
+        if partition is not None:  # as it is where no file matches
+            yield from frame_records(partition.path)
 
 
 class MachineOutputSource(DataSource):
-    """``spark.read.format("metamap").load(glob)``: raw records with file, number and first line."""
+    """``spark.read.format("metamap").load(glob)``: raw records with file, number, byte offset and what is wrong with their framing."""
 
     @classmethod
     def name(cls) -> str:
         return "metamap"
 
     def schema(self) -> str:
-        return "source_file string, rec_no bigint, first_line bigint, rec_text string"
+        return "source_file string, rec_no bigint, byte_offset bigint, rec_text string, problem string"
 
     def reader(self, schema: Any) -> DataSourceReader:
         return MachineOutputReader(self.options)
 
 
 def read_machine_output(spark: SparkSession, paths: str) -> DataFrame:
-    """Raw records of plain or gzip'd files that all executors can open."""
+    """Raw records of plain or gzip'd files on any file system of :mod:`spanloom.sources.files`."""
     spark.dataSource.register(MachineOutputSource)
     return spark.read.format("metamap").load(paths)

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from spanloom.sources.files import list_files, read_lines
+
 
 def read_relations(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
     """``(cui1, cui2, rel)`` of tab-separated lines; further tabs belong to ``rel``.
@@ -56,14 +58,14 @@ class BlankLineReader(DataSourceReader):
         self.paths = options["path"]
 
     def partitions(self) -> list[InputPartition]:
-        import glob
-
-        return [_File(path) for path in sorted(glob.glob(self.paths))]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple[str, int, str]]:
-        with open(partition.path, encoding="utf-8", newline="\n") as source:
-            for number, text in enumerate(frame_documents(line.rstrip("\n") for line in source)):
-                yield partition.path, number, text
+        return [_File(path) for path in list_files(self.paths)]
+
+    def read(self, partition: InputPartition | None) -> Iterator[tuple[str, int, str]]:
+        if partition is None:  # as it is where no file matches
+            return
+        lines = (line.decode("utf-8", "replace").rstrip("\n") for _, line in read_lines(partition.path))
+        for number, text in enumerate(frame_documents(lines)):
+            yield partition.path, number, text
 
 
 class BlankLineSource(DataSource):

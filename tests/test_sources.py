@@ -58,8 +58,44 @@ def test_load_and_rejects(spark, tmp_path):
     with gzip.open(tmp_path / "a.gz", "wt") as out:
         out.write(RECORD + RECORD + "unfinished\n")
     raw = read_machine_output(spark, str(tmp_path / "*.gz"))
-    assert [(r.rec_no, r.first_line) for r in raw.orderBy("rec_no").collect()] == [(0, 0), (1, 11)]
-    assert load_records(raw.withColumn("record_id", F.col("rec_no"))).count() == 2
+    size = len(RECORD)
+    assert [(r.rec_no, r.byte_offset, r.problem) for r in raw.orderBy("rec_no").collect()] == [(0, 0, None), (1, size, None), (2, 2 * size, "unfinished record")]
+    assert load_records(raw, "rec_no").count() == 2
+    assert [(r.record_offset, r.reason) for r in rejected_records(raw, "rec_no").collect()] == [(2 * size, "unfinished record")]
+
+
+def test_records_are_told_by_offset_and_not_by_key(spark, tmp_path):
+    bad = RECORD.replace("0/30", "x")
+    rows = [(1, RECORD), (1, bad), (None, bad), (None, RECORD), (2, RECORD), (2, RECORD), (None, None), (1, bad)]
+    df = spark.createDataFrame(rows, "record_id long, rec_text string")
+    for frame in (df, df.coalesce(1)):
+        got = rejected_records(frame).collect()
+        assert sorted(((r.record_key or 0), r.reason) for r in got) == [(0, "null record"), (0, "utterance position"), (1, "utterance position"), (1, "utterance position")]
+        assert load_records(frame).count() + len(got) == len(rows)
+    df.coalesce(1).write.parquet(str(tmp_path / "raw"))
+    df.coalesce(1).write.mode("append").parquet(str(tmp_path / "raw"))
+    table = spark.read.parquet(str(tmp_path / "raw")).coalesce(1)
+    got = rejected_records(spark.read.parquet(str(tmp_path / "raw"))).collect()
+    assert sorted(r.record_offset for r in got) == [1, 1, 2, 2, 6, 6, 7, 7] and len({r.record_file for r in got}) == 2
+    assert rejected_records(table).count() == 8  # two files in one task
+    assert "Exchange" not in rejected_records(table)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_damaged_bytes_come_out_with_a_reason(spark, tmp_path):
+    data = RECORD.encode()
+    (tmp_path / "bad.txt").write_bytes(data + data.replace(b"strongly", b"strong\xffy") + data + b"\n\n")
+    whole = gzip.compress(data) + gzip.compress(data * 40)
+    (tmp_path / "many.gz").write_bytes(whole)
+    (tmp_path / "cut.gz").write_bytes(whole[:-40])
+    (tmp_path / "noise.gz").write_bytes(b"no gzip at all")
+    by_file = {}
+    for r in rejected_records(read_machine_output(spark, f"{tmp_path}/*"), "rec_no").collect():
+        by_file.setdefault(r.record_file.rpartition("/")[2], []).append((r.record_offset, r.reason))
+    assert by_file.pop("bad.txt") == [(len(data), "encoding")] and by_file.pop("noise.gz") == [(0, "truncated file")]
+    assert [reason for _, reason in by_file.pop("cut.gz")] == ["truncated file"] and by_file == {}
+    loaded = load_records(read_machine_output(spark, f"file://{tmp_path}/*.*"), "rec_no")
+    assert loaded.count() >= 2 + 41 + 1
+    assert read_machine_output(spark, f"{tmp_path}/none*").count() == 0
 
 
 def test_records_with_damaged_mappings_load(spark):
