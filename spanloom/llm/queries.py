@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.heavy import frequent_items
 from spanloom.llm.mixing import mixture, reached_shares, token_sizes
-from spanloom.llm.seen import filter_errors, passed_keys, seen_before, trimmed
+from spanloom.llm.seen import KeyStore, filter_errors, known_store, passed_keys, seen_before, trimmed
 from spanloom.llm.sentences import sentences
 from spanloom.llm.together import pairs_together
 from spanloom.llm.toxicity import THRESHOLD, rates_by_source, score_documents
@@ -46,7 +46,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The frequent values with exact and estimated counts."""
+    """The frequent values with their counts."""
+    return frequent_items(packed_and_nested(spark, sf_dir)).select("field_name", "item", "n", "n_field")
+
+
+def p1_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frequent values with exact and estimated counts, and how likely one was missed at most."""
     return frequent_items(packed_and_nested(spark, sf_dir))
 
 
@@ -62,17 +67,38 @@ def known_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = seen_before(incoming_keys(spark, sf_dir), known_keys(spark, sf_dir))
+    seen = seen_before(incoming_keys(spark, sf_dir), known_store(known_keys(spark, sf_dir)))
+    return seen.select(F.col("kind").alias("key_kind"), "incoming_id")
+
+
+def p3_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p3_found with the incoming rows in three batches, each asked and then added to the store."""
+    incoming = stored(incoming_keys(spark, sf_dir), "incoming")
+    store = KeyStore(spark, room=2.0).append(known_keys(spark, sf_dir))
+    lowest, highest = incoming.agg(F.min("incoming_id"), F.max("incoming_id")).first()
+    bounds = [None, *((lowest or 0) + ((highest or 0) - (lowest or 0)) * i // 3 for i in (1, 2)), None]
+    found = []
+    for low, high in zip(bounds, bounds[1:]):
+        batch = incoming if low is None else incoming.where(F.col("incoming_id") > low)
+        batch = batch if high is None else batch.where(F.col("incoming_id") <= high)
+        found.append(stored(seen_before(batch, store), "seen"))
+        store.append(batch)
+    seen = found[0].unionByName(found[1]).unionByName(found[2])
     return seen.select(F.col("kind").alias("key_kind"), "incoming_id")
 
 
 def p3_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filter_errors(incoming_keys(spark, sf_dir), known_keys(spark, sf_dir))
+    return filter_errors(incoming_keys(spark, sf_dir), known_store(known_keys(spark, sf_dir)))
+
+
+def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What p3_errors counts without regard to the filter."""
+    return p3_errors(spark, sf_dir).select("kind", "n_keys", "n_rows", "unknown", "final_error_rate")
 
 
 def p3_passed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every key the filter let through, and whether it was disproved."""
-    return passed_keys(incoming_keys(spark, sf_dir), known_keys(spark, sf_dir))
+    return passed_keys(incoming_keys(spark, sf_dir), known_store(known_keys(spark, sf_dir)))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,8 +152,11 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_frequent": p1_frequent,
+    "p1_estimates": p1_estimates,
     "p3_found": p3_found,
+    "p3_batches": p3_batches,
     "p3_errors": p3_errors,
+    "p3_counts": p3_counts,
     "p3_passed": p3_passed,
     "p6_found": p6_found,
     "p7_found": p7_found,
@@ -150,17 +179,24 @@ PAIRS = f"""with {BASKETS}, n as (select count(distinct utt) as n from b), k as
     select cui_a, cui_b, n_ab, ka.c as n_a, kb.c as n_b, n.n, round(n_ab / ka.c * (n.n / kb.c), 6) as lift
     from p join k ka on ka.cui = cui_a join k kb on kb.cui = cui_b, n"""
 
-SQL = {
-    "p1_found": f"""with v as (select 'MMCandidate.cui' as field_name, cui as item from {CUIS} where cui is not null union all
-        select 'edge.uttIds', item from {EDGE_IDS}), n as (select field_name, count(*) as n from v group by 1)
-        select field_name, item from v join n using (field_name) group by field_name, item, n having count(*) * 100 >= n""",
-    "p3_found": rf"""with i as (select incoming_id, k.kind, k.key from (select incoming_id, unnest([
+KEYS = rf"""i as (select incoming_id, k.kind, k.key from (select incoming_id, unnest([
         {{'kind': 'pmid', 'key': nullif(regexp_replace(pmid, '^\s+|\s+$', '', 'g'), '')}},
         {{'kind': 'utt', 'key': nullif(regexp_replace(utt_id, '^\s+|\s+$', '', 'g'), '')}}]) as k from incoming_utterances) where k.key is not null),
         h as (select distinct 'pmid' as kind, pmid as key from utterances union select 'utt', item from {EDGE_IDS}),
-        f as (select kind, key, min(incoming_id) as first_id from i group by all)
-        select i.kind as key_kind, incoming_id from i join f using (kind, key) left join h using (kind, key)
-        where incoming_id > first_id or h.key is not null""",
+        f as (select kind, key, min(incoming_id) as first_id, count(*) as n from i group by all)"""
+SEEN = f"""with {KEYS} select i.kind as key_kind, incoming_id from i join f using (kind, key) left join h using (kind, key)
+        where incoming_id > first_id or h.key is not null"""
+VALUES = f"""v as (select 'MMCandidate.cui' as field_name, cui as item from {CUIS} where cui is not null union all
+        select 'edge.uttIds', item from {EDGE_IDS}), n as (select field_name, count(*) as n_field from v group by 1),
+        w as (select field_name, item, count(*) as n, n_field from v join n using (field_name) group by field_name, item, n_field having count(*) * 100 >= n_field)"""
+
+SQL = {
+    "p1_found": f"with {VALUES} select field_name, item from w",
+    "p1_frequent": f"with {VALUES} select field_name, item, n, n_field from w",
+    "p3_found": SEEN,
+    "p3_batches": SEEN,
+    "p3_counts": f"""with {KEYS} select f.kind, count(*) as n_keys, sum(n)::bigint as n_rows, sum((h.key is null)::int)::bigint as unknown, 0.0::double as final_error_rate
+        from f left join h using (kind, key) group by f.kind""",
     "p7_found": f"select cui_a, cui_b from ({PAIRS}) where n_ab >= 5 and n_ab * n >= 10 * n_a * n_b",
     "p7_pairs": PAIRS,
 }

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.llm.heavy import CountSketch, Shape, frequent_items
-from spanloom.llm.seen import MembershipFilter, filter_errors, first_occurrences, passed_keys, seen_before, trimmed
+from spanloom.llm import heavy, seen, together
+from spanloom.llm.seen import KeyStore, MembershipFilter, filter_errors, first_occurrences, known_store, passed_keys, seen_before, trimmed
 from spanloom.llm.together import pairs_together
 
 VALUES = "field_name string, item string"
@@ -41,23 +42,38 @@ KEYS = "kind string, key string, incoming_id long"
 
 def test_seen_before(spark):
     known = spark.createDataFrame([("p", "k1"), ("p", "k1"), ("p", None), ("u", "k2")], "kind string, key string")
-    rows = [("p", "k1", 1), ("p", "new", 2), ("p", "new", 3), ("u", "k1", 4), ("u", "k2", 5), ("p", None, 6), (None, "k1", 7), ("p", "x" * 20_000, 8), ("p", "new", 1)]
+    rows = [("p", "k1", 1), ("p", "new", 2), ("p", "new", 3), ("u", "k1", 4), ("u", "k2", 5), ("p", None, 6), (None, "k1", 7), ("p", "x" * 20_000, 8), ("p", "k1", 9), ("p", "new", None)]
     df = spark.createDataFrame(rows, KEYS).withColumn("block", F.lit("clash"))
-    got = sorted((r.kind, r.incoming_id) for r in seen_before(df, known).collect())
-    assert got == [("p", 1), ("p", 2), ("p", 3), ("u", 5)] or got == [("p", 1), ("p", 1), ("p", 2), ("p", 3), ("u", 5)] or got == [("p", 2), ("p", 3), ("u", 5)]
-    assert seen_before(df.limit(0), known).count() == 0
-    assert sorted(r.incoming_id for r in seen_before(df.where("incoming_id > 1"), known.limit(0)).collect()) == [3]
+    store = known_store(known)
+    assert sorted((r.kind, r.incoming_id) for r in seen_before(df, store).collect()) == [("p", 1), ("p", 3), ("p", 9), ("u", 5)]
+    assert seen_before(df.limit(0), store).count() == 0
+    assert sorted(r.incoming_id for r in seen_before(df.where("incoming_id > 1"), known_store(known.limit(0))).collect()) == [3]
 
 
-def test_filter_never_misses_and_errors_are_counted(spark):
+@pytest.mark.parametrize("most", [seen.MOST_FILTER_BYTES, 0])
+def test_filter_never_misses_and_errors_are_counted(spark, monkeypatch, most):
+    monkeypatch.setattr(seen, "MOST_FILTER_BYTES", most)
     known = spark.range(5_000).select(F.lit("p").alias("kind"), F.col("id").cast("string").alias("key"))
     incoming = spark.range(2_500, 12_500).select(F.lit("p").alias("kind"), F.col("id").cast("string").alias("key"), F.col("id").alias("incoming_id"))
-    firsts = first_occurrences(incoming, known, bits_per_key=6)
+    store = known_store(known, bits_per_key=6)
+    firsts = first_occurrences(incoming, store)
     assert firsts.where("known and not maybe").count() == 0 and firsts.where("known").count() == 2_500
-    r = filter_errors(incoming, known, bits_per_key=6).first()
+    r = filter_errors(incoming, store).first()
     assert r.n_keys == 10_000 and r.turned_away + r.let_through == 10_000 and r.unknown == 7_500
     assert 0 < r.disproved < 1_500 and r.filter_error_rate == r.disproved / 7_500 and r.final_error_rate == 0
-    assert sorted(x.incoming_id for x in seen_before(incoming, known, 6).collect()) == list(range(2_500, 5_000))
+    assert sorted(x.incoming_id for x in seen_before(incoming, store).collect()) == list(range(2_500, 5_000))
+
+
+def test_store_takes_batches(spark):
+    store = KeyStore(spark, room=3.0)
+    every = spark.range(0, 3_000).select(F.lit("p").alias("kind"), F.col("id").cast("string").alias("key"), F.col("id").alias("incoming_id"))
+    for low in (0, 1_000, 2_000):
+        store.append(every.where(F.col("incoming_id").between(low, low + 999)))
+        assert seen_before(every, store).count() == low + 1_000
+    assert store.keys.count() == 3_000
+    asked = every.withColumn("kind", F.when(F.col("incoming_id") >= 0, "p"))
+    plan = asked.join(store.keys.hint("merge"), ["kind", "key"], "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan  # keys on disk stay where they are
 
 
 def test_trimmed(spark):
@@ -97,12 +113,37 @@ def test_pairs_of_nothing(spark):
 
 
 def test_disproved_keys_are_rows_and_wrong_answers_are_counted(spark, monkeypatch):
-    known = spark.createDataFrame([("a", f"k{i}") for i in range(8)], "kind string, key string")
+    store = known_store(spark.createDataFrame([("a", f"k{i}") for i in range(8)], "kind string, key string"))
     incoming = spark.createDataFrame([("a", f"k{i}", i) for i in range(4, 16)], "kind string, key string, incoming_id long")
     monkeypatch.setattr(MembershipFilter, "ask", lambda self, keys: keys.withColumn("maybe", F.lit(True)))
-    assert {(r.key, r.first_id, r.disproved) for r in passed_keys(incoming, known).collect()} == {(f"k{i}", i, i > 7) for i in range(4, 16)}
-    r = filter_errors(incoming, known).first()
+    assert {(r.key, r.first_id, r.disproved) for r in passed_keys(incoming, store).collect()} == {(f"k{i}", i, i > 7) for i in range(4, 16)}
+    r = filter_errors(incoming, store).first()
     assert (r.let_through, r.disproved, r.unknown, r.filter_error_rate, r.final_error_rate) == (12, 8, 8, 1.0, 0.0)
     monkeypatch.setattr(MembershipFilter, "ask", lambda self, keys: keys.withColumn("maybe", F.lit(False)))
-    r = filter_errors(incoming, known).first()
+    r = filter_errors(incoming, store).first()
     assert (r.turned_away, r.unknown, r.final_error_rate) == (12, 8, 4 / 12)
+
+
+@pytest.mark.parametrize("most", [heavy.MOST_BROADCAST, 0])
+def test_hot_items_are_no_rows_of_an_exchange(spark, monkeypatch, most):
+    """A third of all rows is one item; with and without a broadcast the counts are right and values are combined first."""
+    monkeypatch.setattr(heavy, "MOST_BROADCAST", most)
+    df = spark.range(30_000).select(F.lit("f").alias("field_name"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("x"), "id")).alias("item"))
+    found = frequent_items(df)
+    assert [(r["item"], r.n, r.n_field) for r in found.collect()] == [("hot", 10_000, 30_000)] and 0 <= found.first().miss_bound < 1e-3
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Join") if most else plan.index("Join") < plan.rindex("Aggregate")
+
+
+def test_sketch_follows_the_support():
+    assert Shape.of(Fraction(1, 100)).width == 4096 and Shape.of(Fraction(1, 5_000)).width == 1 << 18 and Shape.of(Fraction(1, 2)).width == 1024
+    with pytest.raises(ValueError):
+        Shape.of(Fraction(1, 10_000_000))
+
+
+def test_pairs_when_hot_items_are_too_many_to_list(spark, monkeypatch):
+    rows = [(f"b{i}", f"i{j}") for i in range(40) for j in range(12) if j < 6 or i % 12 == j]
+    df = spark.createDataFrame(rows, "basket string, item string")
+    want = sorted(map(tuple, pairs_together(df, least_together=2, least_ratio=3).collect()))
+    monkeypatch.setattr(together, "MOST_HOT", 2)
+    assert sorted(map(tuple, pairs_together(df, least_together=2, least_ratio=3).collect())) == want
