@@ -104,6 +104,9 @@ def test_pairs_against_brute_force(spark, ratio):
     df = spark.createDataFrame(rows, "basket string, item string").withColumn("weight", F.lit("clash"))
     got = pairs_together(df, least_together=least, least_ratio=ratio).collect()
     assert {tuple(r)[:6] for r in got} == want and len(got) == len(want)
+    parts = df.withColumn("part", F.rand(3) < 0.5).groupBy("basket", "part").agg(F.collect_list("item").alias("item"))
+    parts = parts.unionByName(parts).unionByName(spark.createDataFrame([("b1", True, [None]), ("b2", True, []), ("b3", True, None)], "basket string, part boolean, item array<string>"))
+    assert sorted(map(tuple, pairs_together(parts, least_together=least, least_ratio=ratio).collect())) == sorted(map(tuple, got))
     assert all(abs(r.lift - r.n_ab * r.n / (r.n_a * r.n_b)) < 1e-9 and (r.conviction is None) == (r.n_ab == r.n_a) for r in got)
 
 

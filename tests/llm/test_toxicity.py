@@ -1,10 +1,9 @@
-import random
-
 import numpy as np
 import pytest
 
-from spanloom.llm.toxic_seeds import seed_sentences
-from spanloom.llm.toxicity import Chain, fit_tagger, labelled_sample, plain, rates_by_source, score_documents
+from spanloom.llm.toxic_seeds import BENIGN, TOXIC, seed_sentences
+from spanloom.llm.toxicity import Chain, Tagger, _fit, _seed_sample, fit_tagger, labelled_sample, passages_of, plain, rates_by_source, score_documents, seed_chain
+from tests.llm.held_out import HARMFUL, HARMLESS
 
 
 @pytest.fixture(scope="module")
@@ -70,14 +69,54 @@ def test_marginals_equal_enumeration():
     assert np.allclose(got, want) and np.allclose(pairs, moves) and starts.sum() == pytest.approx(len(lengths))
 
 
-def test_held_out_seeds(monkeypatch):
-    """Of sentences filled anew, with other words than those fitted on, at least nine in ten are told right."""
-    tagger = fit_tagger([])
-    fitted = set(seed_sentences())
-    fresh = [s for s in seed_sentences(seed=99, background=300) if s not in fitted]
-    random.Random(1).shuffle(fresh)
-    right = sum((best(tagger, s) >= 0.5) == toxic for s, toxic in fresh[:600])
-    assert len(fresh) >= 300 and right / len(fresh[:600]) >= 0.9
+def test_held_out_sentences(tagger):
+    """Of sentences by patterns that no seed has, in eleven languages, nine in ten of the harmful ones are found and three in four found are harmful."""
+    found = sum(best(tagger, s) >= 0.5 for s in HARMFUL)
+    wrong = sum(best(tagger, s) >= 0.5 for s in HARMLESS)
+    assert found / len(HARMFUL) >= 0.9 and found / (found + wrong) >= 0.7
+
+
+def test_held_out_patterns():
+    """Fitted on two thirds of the patterns, most passages by the others are found, and words found lie mostly in passages (measured: 0.74 of
+    passages, 0.43 of their words, 0.88 of words found)."""
+    part = lambda table, kept: {lang: "|".join(p for i, p in enumerate(lines.replace("\n", "|").split("|")) if (i % 3 != 0) == kept) for lang, lines in table.items()}
+    fitted = Tagger(Chain(np.zeros(1 << 18, np.float32), np.zeros((2, 2)), np.zeros(2)))
+    sample = _seed_sample(fitted, seed_sentences(toxic=part(TOXIC, True), benign=part(BENIGN, True)))
+    other = Tagger(_fit(sample, sample.ids(), 40))
+    fresh = seed_sentences(repeats=4, background=200, seed=8, toxic=part(TOXIC, False), benign=part(BENIGN, False))
+    inside, _ = other.probabilities([s for s, _, _ in fresh])
+    gold = _seed_sample(other, fresh).gold
+    hit = ((inside >= 0.5) & (gold > 0)).sum()
+    tagged = other.tag([s for s, b, e in fresh if e > b])
+    passages = np.mean([any(p >= 0.5 for _, _, p in words) for words in tagged])
+    assert passages >= 0.65 and hit / (gold > 0).sum() >= 0.4 and hit / (inside >= 0.5).sum() >= 0.8
+    assert sum(s in {x for x, _, _ in seed_sentences(toxic=part(TOXIC, True))} for s, b, e in fresh if e > b) == 0
+
+
+def test_passages_inside_a_sentence(tagger):
+    """Words around a passage in its own sentence are out of it, which the fitted transitions and not the sentence decide."""
+    text = "The parcel with the inhaler came on Tuesday, you filthy lying pig, and the clinic closes at five."
+    (passage,) = passages_of(tagger.tag([text])[0], 0.5)
+    own = text[passage["begin_pos"] : passage["end_pos"]]
+    assert "filthy lying pig" in own and "inhaler" not in own and "clinic" not in own
+    moves = seed_chain().moves
+    assert moves[1, 1] - moves[1, 0] > 0.3 and moves[0, 0] - moves[0, 1] > 0.3 and not np.allclose(moves, [[1, -1], [-1, 1]], atol=0.2)
+
+
+def test_sentences_left_out_have_no_passage(tagger):
+    """The first step loses nothing: with all sentences run through the chain the same texts are found."""
+    texts = HARMFUL + HARMLESS + ["Fever fell in 12 patients. " * 40]
+    slow = Tagger(Chain(tagger.chain.weights, tagger.chain.moves, tagger.chain.start, -1.0))
+    assert [best(slow, t) >= 0.5 for t in texts] == [best(tagger, t) >= 0.5 for t in texts]
+
+
+def test_chain_is_saved(spark, tagger, tmp_path):
+    tagger.chain.save(f"{tmp_path}/chain.npz")
+    chain = Chain.load(f"file://{tmp_path}/chain.npz")
+    assert np.array_equal(chain.weights, tagger.chain.weights) and chain.least == tagger.chain.least
+    docs = spark.createDataFrame([(1, "You are a stupid idiot.", "f"), (2, "zq" * 1_500_000, "f"), (3, "you are fine " * 30_000, "f")], "doc_id long, text string, source string")
+    got = {r.doc_id: r.score >= 0.5 for r in score_documents(docs, chain=chain).collect()}
+    assert got[1] and not got[2]
 
 
 def test_documents_scored(spark):
