@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import ceil, exp, log
+from math import ceil, exp, isqrt, log
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,8 +13,6 @@ from spanloom.session import stored
 
 #: Sources one mixture may have; their totals are handled by the driver.
 MOST_SOURCES = 10_000
-#: About so many documents make a block.
-BLOCK_DOCUMENTS = 10_000
 
 
 @dataclass(frozen=True)
@@ -48,18 +46,41 @@ def powered(bases: list[float], exponents: list[float], tilt: float) -> list[flo
     return [w / total for w in weights] if total else weights
 
 
-def temperature_shares(tokens: list[int], least_entropy: float) -> list[float]:
-    """Shares ``p ** a``, normalised, of the natural token shares ``p``, with the largest ``a`` in [0, 1] whose entropy
-    is ``least_entropy`` or more (0 gives the natural shares, a high one equal shares)."""
-    total = sum(tokens)
-    natural = [t / total for t in tokens] if total else [0.0] * len(tokens)
-    logs = [log(p) if p > 0 else 0.0 for p in natural]
-    at = lambda a: powered([1.0 if p > 0 else 0.0 for p in natural], logs, a)
-    return at(bisect(lambda a: entropy(at(a)) >= least_entropy - 1e-12, 0.0, 1.0))
+@dataclass(frozen=True)
+class Plan:
+    """What a mixture is to be: its exponent, its size, and tokens wanted of each source."""
+
+    exponent: float
+    size: float
+    wanted: dict[str, float]
 
 
-def plan_mixture(sources: list[Source], budget: int | None = None) -> tuple[float, dict[str, float]]:
-    """Exponent and tokens wanted of each source.
+def plan_temperature(sources: list[Source], budget: int, least_entropy: float) -> Plan:
+    """Shares ``p ** a``, normalised, of the natural token shares ``p``: natural at ``a = 1``, equal at ``a = 0``.
+
+    The exponent is the largest in [0, 1] whose entropy is ``least_entropy`` or more, found by bisection. If a source
+    would be used beyond its repetition limit for the ``budget``, it is the smallest above that at which none is, found by
+    bisection too; and if none is small enough, natural shares are used as far as the limits allow. Targets are not looked at.
+    """
+    usable = [s for s in sources if s.tokens > 0 and s.repeats > 0]
+    if not usable:
+        return Plan(1.0, 0.0, {s.name: 0.0 for s in sources})
+    total = sum(s.tokens for s in usable)
+    logs = [log(s.tokens / total) for s in usable]
+    most = [s.tokens * s.repeats for s in usable]
+    size = min(budget, sum(most))
+    at = lambda a: powered([1.0] * len(usable), logs, a)
+    within = lambda a: all(w * size <= m * (1 + 1e-9) for w, m in zip(at(a), most))
+    exponent = bisect(lambda a: entropy(at(a)) >= least_entropy - 1e-12, 0.0, 1.0)
+    if not within(exponent):
+        least = exponent
+        exponent = 1.0 - bisect(lambda down: within(1.0 - down), 0.0, 1.0 - least) if within(1.0) else 1.0
+    given = {s.name: min(w * size, m) for s, w, m in zip(usable, at(exponent), most)}
+    return Plan(exponent, size, {s.name: given.get(s.name, 0.0) for s in sources})
+
+
+def plan_mixture(sources: list[Source], budget: int | None = None) -> Plan:
+    """Shares between the natural and the target ones, as near to the targets as the repetition limits allow.
 
     Shares are ``p * (target / p) ** a`` of the natural token shares ``p``: natural at ``a = 0``, the targets at
     ``a = 1``. The largest ``a`` is taken at which no source is used beyond its repetition limit for the ``budget``.
@@ -68,7 +89,7 @@ def plan_mixture(sources: list[Source], budget: int | None = None) -> tuple[floa
     """
     usable = [s for s in sources if s.tokens > 0 and s.target > 0 and s.repeats > 0]
     if not usable:
-        return 1.0, {s.name: 0.0 for s in sources}
+        return Plan(1.0, 0.0, {s.name: 0.0 for s in sources})
     total, wanted = sum(s.tokens for s in usable), sum(s.target for s in usable)
     natural = [s.tokens / total for s in usable]
     tilts = [log(s.target / wanted / p) for s, p in zip(usable, natural)]
@@ -79,7 +100,7 @@ def plan_mixture(sources: list[Source], budget: int | None = None) -> tuple[floa
     tilt = bisect(within, 0.0, 1.0)
     shares = powered(natural, tilts, tilt)
     given = {s.name: min(w * size, m) for s, w, m in zip(usable, shares, most)}
-    return tilt, {s.name: given.get(s.name, 0.0) for s in sources}
+    return Plan(tilt, size, {s.name: given.get(s.name, 0.0) for s in sources})
 
 
 def token_sizes(documents: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -93,31 +114,45 @@ def _order(seed: int) -> Column:
     return F.xxhash64(F.lit(seed), "doc_id")
 
 
+def stored_sizes(sizes: DataFrame) -> DataFrame:
+    """Documents that can be used, in a table of their own, as planning and mixing read them several times."""
+    return stored(sizes.select("doc_id", "source", "n_tokens").where("doc_id is not null and source is not null and n_tokens > 0"), "sizes")
+
+
 def mixture(sizes: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 17) -> DataFrame:
     """``(doc_id, source, use_no, n_tokens, place)``: each use of a document in the mixture; sort by ``place`` to shuffle.
 
     ``sizes`` as :func:`token_sizes` gives it, ``targets`` with ``source``, ``target_share`` and ``max_repeats`` (at most
     ``MOST_SOURCES`` rows; null or negative counts as none, a null ``max_repeats`` as 1, of a source listed more than
-    once the row with the largest share). A source is used whole as often as its budget allows; of the last, partial
-    pass it gives blocks of about ``BLOCK_DOCUMENTS`` documents in the order of a hash, whole ones until the budget
-    falls inside a block, and from that block documents in hash order up to half a document of the budget. So every
-    source meets its share to within one document, only blocks' sums and one block per source are ever put in order,
-    and a source with a third of all rows is many tasks' work. Null sources and keys, and documents without tokens,
-    are not used; an empty table gives no rows; other columns do not take part.
+    once the row with the largest share). Planned by :func:`plan_mixture` and realised by :func:`realised`. Null sources
+    and keys, and documents without tokens, are not used; an empty table gives no rows; other columns do not take part.
     """
-    spark = sizes.sparkSession
-    sizes = stored(sizes.select("doc_id", "source", "n_tokens").where("doc_id is not null and source is not null and n_tokens > 0"), "sizes")
+    sizes = stored_sizes(sizes)
     sources = listed_sources(sizes, targets)
-    _, wanted = plan_mixture(sources, budget)
-    plan = []
+    return realised(sizes, sources, plan_mixture(sources, budget), seed)
+
+
+def realised(sizes: DataFrame, sources: list[Source], plan: Plan, seed: int = 17) -> DataFrame:
+    """The uses of documents that a plan asks for, by budgeted block permutations.
+
+    A source is used whole as often as its budget allows. For the last, partial pass its documents are parted by a hash
+    into as many blocks as a block has documents, the root of their number, and the blocks are permuted: whole blocks
+    are taken until the budget falls inside one, and from that documents in hash order up to half a document of the
+    budget. So every source meets its share to within one document, no more than the root of a source's documents is
+    ever put in order in one task, and a source with a third of all rows is many tasks' work.
+    """
+    spark = sizes.sparkSession
+    rows = []
     for s in sources:
-        full = min(int(wanted[s.name] / s.tokens + 1e-9), s.repeats) if s.tokens else 0
-        rest = max(0.0, wanted[s.name] - full * s.tokens) if full < s.repeats else 0.0
-        plan.append((s.name, full, rest, max(1, ceil(s.documents / BLOCK_DOCUMENTS))))
-    planned = spark.createDataFrame(plan, "source string, passes int, rest double, n_blocks int")
+        wanted = plan.wanted[s.name]
+        full = min(int(wanted / s.tokens + 1e-9), s.repeats) if s.tokens else 0
+        rest = max(0.0, wanted - full * s.tokens) if full < s.repeats else 0.0
+        rows.append((s.name, full, rest, max(1, isqrt(s.documents))))
+    planned = F.broadcast(spark.createDataFrame(rows, "source string, passes int, rest double, n_blocks int"))  # MOST_SOURCES rows at most
     docs = sizes.join(planned, "source").withColumn("hash", _order(seed)).withColumn("block", F.pmod("hash", "n_blocks"))
     sums = docs.where("rest > 0").groupBy("source", "block").agg(F.sum("n_tokens").alias("block_tokens"))
-    until = F.sum("block_tokens").over(Window.partitionBy("source").orderBy("block"))
+    permuted = F.xxhash64(F.lit(seed + 2), "source", "block")
+    until = F.sum("block_tokens").over(Window.partitionBy("source").orderBy(permuted, "block"))
     blocks = sums.withColumn("block_end", until).withColumn("block_start", F.col("block_end") - F.col("block_tokens"))
     partial = docs.where("rest > 0").join(blocks, ["source", "block"]).where("block_start < rest")
     whole = partial.where("block_end <= rest")
@@ -129,6 +164,14 @@ def mixture(sizes: DataFrame, targets: DataFrame, budget: int | None = None, see
     return often.unionByName(last).withColumn("place", F.xxhash64(F.lit(seed + 1), "doc_id", "use_no"))
 
 
+def planned_shares(mixed: DataFrame, targets: DataFrame, sources: list[Source], plan: Plan) -> DataFrame:
+    """:func:`reached_shares` with the exponent, the natural shares and those that were planned."""
+    total, size = sum(s.tokens for s in sources) or 1, sum(plan.wanted.values()) or 1.0
+    rows = [(s.name, s.tokens / total, plan.wanted[s.name] / size, plan.exponent) for s in sources]
+    planned = mixed.sparkSession.createDataFrame(rows, "source string, natural_share double, planned_share double, exponent double")
+    return reached_shares(mixed, targets).join(F.broadcast(planned), "source", "left")  # MOST_SOURCES rows at most
+
+
 def listed_sources(sizes: DataFrame, targets: DataFrame) -> list[Source]:
     rows = targets.where("source is not null").select("source", "target_share", "max_repeats").limit(MOST_SOURCES + 1).collect()
     if len(rows) > MOST_SOURCES:

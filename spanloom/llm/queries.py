@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.heavy import frequent_items
-from spanloom.llm.mixing import mixture, reached_shares, token_sizes
+from spanloom.llm.mixing import listed_sources, mixture, plan_mixture, plan_temperature, planned_shares, reached_shares, realised, stored_sizes, token_sizes
 from spanloom.llm.seen import KeyStore, filter_errors, known_store, passed_keys, seen_before, trimmed
 from spanloom.llm.sentences import sentences
 from spanloom.llm.together import pairs_together
@@ -109,7 +111,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def utterance_cuis(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.coalesce(F.concat(F.lit("utt:"), "utt_id"), F.concat(F.lit("row:"), F.col("row_id").cast("string")))
-    return candidate_cuis(utterances_with_cuis(spark, sf_dir), own.alias("utt"))
+    cuis = F.flatten(F.transform("phrases.candidates", lambda candidates: F.coalesce(candidates["cui"], F.array().cast("array<string>"))))
+    return utterances_with_cuis(spark, sf_dir).select(own.alias("utt"), cuis.alias("cui"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,6 +139,25 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reached_shares(stored(p9_mixture(spark, sf_dir), "mixture"), table(spark, sf_dir, "mix_targets"))
 
 
+def p9_budgeted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares for twice the tokens that the targets allow: the exponent is bisected to what the repetition limits allow."""
+    targets = table(spark, sf_dir, "mix_targets")
+    sizes = stored_sizes(token_sizes(table(spark, sf_dir, "documents"), targets))
+    sources = listed_sources(sizes, targets)
+    plan = plan_mixture(sources, int(2 * plan_mixture(sources).size))
+    return planned_shares(stored(realised(sizes, sources, plan), "mixture"), targets, sources, plan)
+
+
+def p9_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of natural ones made more equal: as many tokens as there are, at 95 % of the entropy of equal shares at least."""
+    targets = table(spark, sf_dir, "mix_targets")
+    sizes = stored_sizes(token_sizes(table(spark, sf_dir, "documents"), targets))
+    sources = listed_sources(sizes, targets)
+    there = [s for s in sources if s.tokens]
+    plan = plan_temperature(sources, sum(s.tokens for s in there), 0.95 * log(max(1, len(there))))
+    return planned_shares(stored(realised(sizes, sources, plan), "mixture"), targets, sources, plan)
+
+
 def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's score and passages."""
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "content_labels"))
@@ -164,6 +186,8 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_mixture": p9_mixture,
     "p9_shares": p9_shares,
+    "p9_budgeted": p9_budgeted,
+    "p9_tempered": p9_tempered,
     "p10_found": p10_found,
     "p10_scores": p10_scores,
     "p10_rates": p10_rates,

@@ -8,6 +8,7 @@ a dictionary gives the words on both sides, and final particles and opening word
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
@@ -77,20 +78,22 @@ BRACKETED, INSIDE = '(（["“„«', "「『“（(《"
 SMILEY_ONLY = regex.compile(SMILEY)
 CLOSING = regex.compile(rf"(?:[{regex.escape(CLOSERS)}]|\s*[»›](?=[\s,.;:!?)]|$))+")
 WORD_BEFORE = regex.compile(r"(?r)[\p{L}\p{M}\p{N}](?:[\p{L}\p{M}\p{N}'’-]|(?<=\p{L}\p{M}*)\.\s?(?=\p{L}))*")
-ENUMERATOR = regex.compile(r"\(?(?:\p{N}{1,3}|\p{L}|[ivxIVX]{1,5})[.)]?")
+WORD_END = regex.compile(r"(?r)[\p{L}\p{M}\p{N}]")
+#: Longer than any abbreviation, kind or ordinal's word.
+LONGEST = 2 * max(map(len, ALWAYS | NUMBERED | SOMETIMES | KINDS)) + 6
 GENE = regex.compile(r"(?:\p{Ll}{1,4}\p{Lu}[\p{L}\p{N}]*|\p{Ll}{1,4}-?\p{N}[\p{L}\p{N}]*)(?![\p{L}\p{N}])")
 CENSORED = regex.compile(r"\p{L}{1,2}[*#@]{2,}")
-TURNS_CASELESS = regex.compile(r"(?:[\p{Latin}\p{N}-]+[ ]?){1,5}(?![\p{Latin}])[\p{Lo}]")
+TURNS_CASELESS = regex.compile(r"(?:[\p{Latin}\p{N}-]++[ ]?+){1,5}+(?![\p{Latin}])[\p{Lo}]")
 NEXT_WORD = regex.compile(r"[\p{L}\p{M}\p{N}][\p{L}\p{M}\p{N}'’-]*")
 CASELESS = regex.compile(r"[\p{Lo}\p{Lm}\p{M}]")
 CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]")
-GREEK, GREEK_WORD = regex.compile(r"\p{Greek}"), regex.compile(r"\p{Greek}{2}")
+GREEK_WORD = regex.compile(r"\p{Greek}{2}")
 FULL_STOPS = regex.compile(r"[。！？｡．‼⁇⁈⁉।॥]|……")
 # What goes on behind a quotation or bracket in Japanese, and who speaks behind one in Chinese.
 GOES_ON = regex.compile(r"(?:と|って|という|は|が|を|に|の|も|で|へ|や|から|まで|など|、|，|；|：|的|等)")
-# An attribution is near, in the first clause, or ends the sentence with a plain verb of speaking.
+# An attribution is in the first or second clause, or ends the sentence with a plain verb of speaking.
 SPEAKS = regex.compile(
-    r"[^。！？…；：“”「」\n]{0,24}?(?:说|說|问|問|道|答|表示|指出|写道)[。，！,]"
+    r"(?:[^。！？…；：“”「」，,\n]*+[，,])?+[^。！？…；：“”「」，,\n]*?(?:说|說|问|問|道|答|表示|指出|写道)[。，！,]"
     r"|[^。！？…；：“”「」，,\n]*?(?:说|說|问道|問道|答道|表示|指出|写道)[。，！,]|[^。！？…；：“”「」\n]*?(?:说|說|问道|問道|答道|写道)[。！]"
 )
 ORDINAL_BEFORE = frozenset("der die das dem den des am im vom zum zur beim ab bis seit nach jeder jede jeden ihrer seiner".split())
@@ -124,19 +127,35 @@ class Lattice:
         self.longest = max(map(len, self.words))
 
     @lru_cache(1 << 12)  # noqa: B019: lattices are never let go
+    def _short(self, run: str) -> list[str]:
+        return self._cut(run)
+
     def cut(self, run: str) -> list[str]:
+        return self._short(run) if len(run) <= 200 else self._cut(run)
+
+    def _cut(self, run: str) -> list[str]:
+        """The best path; three numbers a character, whatever the length of the run."""
         known, size = word_list(self.dictionary), len(run)
-        best: list[tuple[int, int, int]] = [(0, 0, 0)] + [(1 << 30, 0, 0)] * size
+        far = 1 << 40
+        unknown, count, back = array("q", [far]) * (size + 1), array("q", [0]) * (size + 1), array("q", [0]) * (size + 1)
+        unknown[0] = 0
+
+        def reach(stop: int, cost: int, words: int, at: int) -> None:
+            if (cost, words, at) < (unknown[stop], count[stop], back[stop]):
+                unknown[stop], count[stop], back[stop] = cost, words, at
+
         for at in range(size):
-            unknown, count, _ = best[at]
-            best[at + 1] = min(best[at + 1], (unknown + 1, count + 1, at))
-            own = (stop for stop in range(at + 1, min(size, at + self.longest) + 1) if run[at:stop] in self.words)
-            for stop in (*own, *known.stops(run, at)):
-                best[stop] = min(best[stop], (unknown, count + 1, at))
+            cost, words = unknown[at], count[at] + 1
+            reach(at + 1, cost + 1, words, at)
+            for stop in range(at + 1, min(size, at + self.longest) + 1):
+                if run[at:stop] in self.words:
+                    reach(stop, cost, words, at)
+            for stop in known.stops(run, at):
+                reach(stop, cost, words, at)
         pieces, at = [], size
         while at:
-            pieces.append(run[best[at][2] : at])
-            at = best[at][2]
+            pieces.append(run[back[at] : at])
+            at = back[at]
         return pieces[::-1]
 
 
@@ -159,10 +178,8 @@ OPENING, GOING_ON, FINAL, JOINING, CLOSING_WORDS = (
     )
 )
 SPACELESS = r"\p{Thai}+|\p{Lao}+|\p{Khmer}+|\p{Myanmar}+|[\p{Han}\p{Hiragana}\p{Katakana}ー]+"
-RUN_BEFORE = regex.compile(rf"(?r){SPACELESS}")
+RUN_BEFORE = regex.compile(rf"(?r)(?:{SPACELESS})")
 RUN_AFTER = regex.compile(SPACELESS)
-#: As much of a run beside a gap as the lattice needs; the run itself stays whole.
-NEAR = 40
 
 
 def _words(run: str) -> list[str]:
@@ -173,10 +190,10 @@ def _words(run: str) -> list[str]:
 
 def _gap_ends(text: str, start: int, at: int, stop: int, limit: int) -> bool:
     """Whether white space beside a script without terminators ends the sentence that began at ``start``."""
-    left = RUN_BEFORE.search(text, max(start, at - NEAR), at)
-    left_words = _words(left.group()) if left and left.end() == at else []
+    left = RUN_BEFORE.match(text, start, at)
+    left_words = _words(left.group()) if left else []
     closed = bool(left_words) and left_words[-1] in CLOSING_WORDS
-    right = RUN_AFTER.match(text, stop, min(limit, stop + NEAR))
+    right = RUN_AFTER.match(text, stop, limit)
     if right:
         first = _words(right.group())[0]
         if closed and first not in JOINING and first not in CLOSING_WORDS - OPENING:
@@ -208,17 +225,30 @@ def _opens(text: str, at: int, limit: int, before: str) -> bool:
     if char.islower():
         if GENE.match(text, at, limit) or CENSORED.match(text, at, limit) or before and CASELESS.match(before[-1:]):
             return True
-        return TURNS_CASELESS.match(text, at, min(limit, at + 60)) is not None
+        return TURNS_CASELESS.match(text, at, limit) is not None
     if char in "-–—•*·#@→":
         follow = _skip(text, skipped + 1, limit)
         return char in "•*#@→" and follow < limit
     return bool(SMILEY_ONLY.match(text, at)) or char.isalnum()
 
 
+def _word_before(text: str, start: int, at: int) -> regex.Match | None:
+    """The word that ends at ``at``, or the last ``LONGEST`` characters of a longer one: no list holds it, and what else is
+    asked of a word only its last two characters tell. So chains of initials are not read anew at each of their full stops."""
+    return WORD_BEFORE.match(text, max(start, at - LONGEST), at)
+
+
+def _earlier(text: str, start: int, word: int) -> str:
+    """The word before the one that begins at ``word``, in lower case, whatever stands between; empty if there is none."""
+    last = WORD_END.search(text, start, word)
+    found = _word_before(text, start, last.end()) if last else None
+    return found.group().lower() if found else ""
+
+
 def _abbreviation(text: str, start: int, at: int, after: int, limit: int, spaced: bool) -> bool | None:
     """For a single full stop at ``at``: False if it ends no sentence, True if it does, None if nothing is known."""
-    found = WORD_BEFORE.search(text, max(start, at - 24), at)
-    if not found or found.end() != at:
+    found = _word_before(text, start, at)
+    if not found:
         return None
     raw = found.group()
     word = raw.lower().replace(" ", "").replace("\n", "").replace(" ", "").replace(" ", "").replace("’", "'")
@@ -228,8 +258,7 @@ def _abbreviation(text: str, start: int, at: int, after: int, limit: int, spaced
     lower = nxt.islower() and not _opens(text, after, limit, "")
     initial = raw[-1].isupper() and (len(raw) == 1 or raw[-2] in ".  \n")
     if initial and not (word in ALWAYS or raw.lower() in SOMETIMES):
-        earlier = WORD_BEFORE.search(text, max(start, at - 40), found.start())
-        if earlier and earlier.group().lower() in KINDS:
+        if _earlier(text, start, found.start()) in KINDS:
             return None
         return False if nxt.isalpha() or not spaced else None
     if word in SOMETIMES and (raw.lower() == word or not initial) or last in SOMETIMES and "." not in word:
@@ -253,8 +282,7 @@ def _abbreviation(text: str, start: int, at: int, after: int, limit: int, spaced
     if raw.isdigit():
         if not text[start : found.start()].strip(" \t\n([") and len(raw) <= 3:
             return False  # an enumerator
-        earlier = WORD_BEFORE.search(text, max(start, at - 24), found.start())
-        if spaced and nxt.isupper() and earlier and earlier.group().lower() in ORDINAL_BEFORE and len(raw) <= 2:
+        if spaced and nxt.isupper() and len(raw) <= 2 and _earlier(text, start, found.start()) in ORDINAL_BEFORE:
             return False
         if lower:
             return False
@@ -375,7 +403,7 @@ def _block(text: str, begin: int, limit: int, gaps: bool) -> Iterator[tuple[int,
             if greek is None:
                 greek = [word.start() for word in GREEK_WORD.finditer(text, begin, limit)]
             own = bisect_left(greek, start) < bisect_left(greek, first)
-            ends = (own or bool(GREEK.search(text, max(start, first - 200), first))) and spaced and (nxt.isupper() or nxt in OPENERS or nxt.isdigit() or CASELESS.match(nxt) is not None)
+            ends = own and spaced and (nxt.isupper() or nxt in OPENERS or nxt.isdigit() or CASELESS.match(nxt) is not None)
         elif face:
             ends = spaced and _opens(text, after, limit, "") and (nxt.isupper() or nxt.isdigit() or nxt in OPENERS or CASELESS.match(nxt) is not None)
         elif FULL_STOPS.search(mark) or (mark[0] in "…?!" and CJK.match(last)) or closed and CJK.match(text[first - 1 : first]):

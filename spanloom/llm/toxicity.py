@@ -28,6 +28,10 @@ BUCKETS = 1 << 18
 THRESHOLD = 0.5
 #: A sentence of a document labelled harmful that is less likely a passage than this is not taken for the one that was meant.
 LIKELY = 0.1
+#: Of the quadratic penalty on weights.
+PENALTY = 0.2
+#: How often a sentence of a document labelled harmless counts: harmful ones are far more frequent among labelled documents than among all.
+HARMLESS_WEIGHT = 3.0
 #: Documents tagged side by side, and words remembered by a worker.
 SIDE_BY_SIDE, REMEMBERED = 2_048, 300_000
 
@@ -307,7 +311,7 @@ def _fit(sample: Sample, ids: np.ndarray, rounds: int, begun: Chain | None = Non
     for _ in range(rounds):
         inside, pairs, starts = chain.marginals(chain.unary(ids), lengths, sample.weight)
         error = (gold - inside) * weight
-        gradient = np.bincount(flat, weights=np.repeat(error, ids.shape[1]), minlength=BUCKETS).astype(np.float32) - 0.02 * chain.weights
+        gradient = np.bincount(flat, weights=np.repeat(error, ids.shape[1]), minlength=BUCKETS).astype(np.float32) - PENALTY * chain.weights
         squares += gradient * gradient
         chain.weights += 0.35 * gradient / np.sqrt(squares)
         for values, total, step in ((chain.moves, move_squares, seen - pairs), (chain.start, start_squares, began - starts)):
@@ -469,7 +473,7 @@ def fit_chain(labelled: list[tuple[str, bool]], rounds: int = 2) -> Chain:
         gold = ((inside >= 0.5) & found[owner]).astype(float)
         likeliest = harmful & (of_text[text_of] < 0.5) & (best == of_text[text_of]) & (best > LIKELY)
         gold[likeliest[owner]] = 1.0
-        weight = np.where(harmful, np.where(found, 1.0, np.where(likeliest, 0.5, np.where(best < 0.1, 0.5, 0.0))), np.where(best > 0.9, 0.5, 1.0))
+        weight = np.where(harmful, np.where(found, 1.0, np.where(likeliest, 0.5, np.where(best < 0.1, 0.5, 0.0))), np.where(best > 0.9, 0.5 * HARMLESS_WEIGHT, HARMLESS_WEIGHT))
         sample = Sample(both_rows, both_lengths, np.concatenate([base.gold, gold]), np.concatenate([base.weight, weight]))
         chain = _least(_fit(sample, ids, 15, chain), sample)
     return chain
