@@ -3,12 +3,24 @@
 from __future__ import annotations
 
 import json
+import re
+import uuid
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
+from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
-from spanloom.session import remove, shared_path, stored
+from spanloom.session import remove, stored
+from spanloom.sources.files import locate
+
+NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"
+#: A file of a table, its size, and the value of the partition it lies in.
+FILES = "data_file string, bytes bigint, plan_partition string"
 
 
 class ConflictError(RuntimeError):
@@ -26,12 +38,20 @@ class Policy:
 
 
 class Snapshots:
-    """Numbered snapshots of a table, one file each in ``_snapshots`` below it."""
+    """Numbered snapshots of a table of Parquet files, as files ``_snapshots/vN.json`` below it.
+
+    A snapshot names two lists, tables themselves: ``live``, files below ``_data`` that belong to the table, and ``retired``,
+    other files below the table that do not any more. All other files below the table belong to it, so writers that know
+    nothing of snapshots can add some. A snapshot is written aside and renamed to its number, which fails if there is
+    one already, as the log of a stream does it; so it is there whole or not at all, and of two writers one wins.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
         self._jvm = spark.sparkContext._jvm
-        self.folder = f"{path}/_snapshots"
-        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self.folder = f"{self.path}/_snapshots"
+        self._fs = self._path(self.folder).getFileSystem(self._conf)
 
     def _path(self, path: str):
         return self._jvm.org.apache.hadoop.fs.Path(path)
@@ -47,23 +67,130 @@ class Snapshots:
         if self.latest() != base:
             raise ConflictError(f"snapshot {self.latest()} was committed after {base}")
 
-    def delete(self, file: str) -> None:
-        """Delete a file of the table, named as ``_metadata.file_path`` does."""
-        if not self._fs.delete(self._jvm.org.apache.hadoop.fs.Path(self._jvm.java.net.URI(file)), False):
-            raise ConflictError(f"{file} was deleted by another writer")
+    def _manifest(self, version: int) -> dict:
+        if not version:
+            return {}
+        source = self._fs.open(self._path(f"{self.folder}/v{version}.json"))
+        try:
+            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8"))
+        finally:
+            source.close()
 
-    def commit(self, base: int, manifest: dict) -> int:
-        """Make the snapshot after ``base``; the file is created only if nobody else did so first."""
+    def files(self, version: int, kind: str) -> DataFrame | None:
+        """``(data_file, bytes, plan_partition)`` of the ``live`` or ``retired`` files of a snapshot."""
+        folder = self._manifest(version).get(kind)
+        return self.spark.read.schema(FILES).parquet(folder) if folder else None
+
+    def commit(self, base: int, live: DataFrame | None = None, retired: DataFrame | None = None, **facts: object) -> int:
+        """Make the snapshot after ``base``; :class:`ConflictError` if somebody else did so first."""
         self.check(base)
-        target = self._path(f"{self.folder}/v{base + 1}.json")
+        manifest: dict[str, object] = {"version": base + 1, **facts}
+        for kind, files in (("live", live), ("retired", retired)):
+            if files is not None:
+                manifest[kind] = f"{self.folder}/{kind}-{uuid.uuid4().hex}"
+                files.write.parquet(manifest[kind])
+        aside, target = (self._path(f"{self.folder}/{name}") for name in (f".{uuid.uuid4().hex}", f"v{base + 1}.json"))
+        out = self._fs.create(aside, False)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self._conf)
+        no_overwrite = self.spark.sparkContext._gateway.new_array(getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
         try:
-            out = self._fs.create(target, False)
-        except Exception as error:  # the file exists
+            context.rename(self._fs.makeQualified(aside), self._fs.makeQualified(target), no_overwrite)
+        except Exception as error:  # the number is taken
+            self._fs.delete(aside, False)
             raise ConflictError(f"snapshot {base + 1} was committed by another writer") from error
-        out.write(bytearray(json.dumps(manifest | {"version": base + 1}).encode()))
-        out.close()
         return base + 1
 
+    def _below(self, folder: str = "") -> DataFrame | None:
+        """The rows of the files that lie below the table now, and of no others that may come; None if there is none."""
+        where = self._path(f"{self.path}{folder}")
+        if not self._fs.exists(where) or not any(not s.getPath().getName().startswith(("_", ".")) for s in self._fs.listStatus(where)):
+            return None
+        self.spark.catalog.refreshByPath(f"{self.path}{folder}")
+        try:
+            return self.spark.read.parquet(f"{self.path}{folder}")
+        except AnalysisException as error:
+            if error.getCondition() == "UNABLE_TO_INFER_SCHEMA":  # folders that hold no file any more
+                return None
+            raise
+
+    def listed(self, folder: str = "", partition: str | None = None) -> DataFrame:
+        """``(data_file, bytes, plan_partition)`` of the Parquet files that lie below the table now."""
+        return self._measured(self._below(folder), partition)
+
+    def _measured(self, rows: DataFrame | None, partition: str | None) -> DataFrame:
+        """The files that ``rows`` read. Their names come from the planner's own listing, their sizes are asked by the executors;
+        the partition's value is that in the path as the column has it."""
+        if rows is None:
+            return self.spark.createDataFrame([], FILES)
+
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sizes, values = [], []
+                for file in batch.column(0).to_pylist():
+                    system, inner = locate(file)
+                    sizes.append(system.get_file_info(inner).size)
+                    found = re.findall(rf"/{re.escape(partition)}=([^/]*)/", unquote(file)) if partition else []
+                    values.append(unquote(found[-1]) if found and found[-1] != NULL_FOLDER else None)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(values, pa.string())], names=["data_file", "bytes", "plan_partition"])
+
+        names = self.spark.createDataFrame([(name,) for name in rows.inputFiles()], "data_file string")
+        kind = rows.schema[partition].dataType.simpleString() if partition else "string"
+        return names.mapInArrow(measure, FILES).withColumn("plan_partition", F.col("plan_partition").cast(kind).cast("string"))
+
+    def table(self, version: int | None = None) -> DataFrame | None:
+        """The table as a snapshot has it (the newest unless told), None if no file belongs to it."""
+        version = self.latest() if version is None else version
+        parts = [part for part in (self.others(version)[0], self.read(self.files(version, "live"))) if part is not None]
+        return reduce(lambda a, b: a.unionByName(b.select(*[F.col(c).cast(t) for c, t in a.dtypes])), parts) if parts else None
+
+    def others(self, version: int, partition: str | None = None) -> tuple[DataFrame | None, DataFrame]:
+        """The rows of the files that are not below ``_data`` and belong to the table, and these files. The rows stay those of the
+        files listed here, whatever comes later."""
+        rows, retired = self._below(), self.files(version, "retired")
+        files = self._measured(rows, partition)
+        if retired is None or rows is None:
+            return rows, stored(files, "listed-files")
+        files = stored(files.join(retired.select("data_file"), "data_file", "left_anti"), "listed-files")
+        return self.read(files, self.path), files
+
+    def read(self, files: DataFrame | None, base: str | None = None) -> DataFrame | None:
+        """The rows of some files, whose names are collected, as the planner of any scan does; None if there is none."""
+        names = [self._plain(row[0]) for row in files.select("data_file").collect()] if files is not None else []
+        if not names:
+            return None
+        rows = self.spark.read.option("basePath", base or f"{self.path}/_data").parquet(*names)
+        return rows if base else rows.drop("gen")
+
+    def _plain(self, file: str) -> str:
+        """A file's name as readers take it: of the URI in ``_metadata.file_path`` the path itself, glob signs escaped."""
+        name = self._jvm.org.apache.hadoop.fs.Path(self._jvm.java.net.URI(file)).toString()
+        return re.sub(r"([\[\]{}*?\\])", r"\\\1", name)
+
+    def vacuum(self) -> int:
+        """Delete the files that the newest snapshot retired, and generations below ``_data`` of which it has no file, as a
+        compaction that broke off leaves them. Files are deleted by the executors. Readers of older snapshots must be done,
+        and no compaction may be running."""
+        version = self.latest()
+        retired, live = self.files(version, "retired"), self.files(version, "live")
+        gone = self.listed("/_data") if live is None else self.listed("/_data").join(live, "data_file", "left_anti")
+        gone = gone if retired is None else gone.unionByName(retired)
+
+        def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for file in batch.column(0).to_pylist():
+                    system, inner = locate(file)
+                    if system.get_file_info(inner).type.name == "File":
+                        system.delete_file(inner)
+                yield batch
+
+        n = gone.select("data_file").mapInArrow(delete, "data_file string").count()
+        self.spark.catalog.refreshByPath(self.path)
+        if retired is not None:
+            self.commit(version, live)
+        return n
+
 
 def small_file_partitions(records: DataFrame, policy: Policy, partition: str, file: str, size: str) -> DataFrame:
     """``(partition, n_files, n_small, n_bytes, n_out)`` of the partitions that hold too many small files.
@@ -107,18 +234,18 @@ def compact_records(
     ``records`` are a table in which each row names its ``partition``, ``file`` and ``size``. Only partitions that
     :func:`small_file_partitions` finds are rewritten, by dynamic partition overwrite; the others are passed on as they
     lie. With ``keep`` (keys of the records to keep, unique) all other records are left out of either. A rewritten
-    partition is spread over its files by a hash of the key, so one that holds a third of all rows is many tasks'
-    work. Folders are named after a digest of the value (``null`` for null) and the value itself is stored in the files:
-    a folder named after the value would be read back as null for an empty one. The next snapshot
-    is reserved before data are put in place; if another writer has made it since the start, :class:`ConflictError` is
-    raised and nothing is written. Null and empty partitions, files and sizes are values like others; an empty table gives
-    an empty result; other columns are carried along.
+    partition is spread over the files planned for it by a hash of the key, each of them one task's work, so one that holds a
+    third of all rows is many tasks' work. Folders are named after a digest of the value (``null`` for null) and the value
+    itself is stored in the files: a folder named after the value would be read back as null for an empty one. New files
+    lie below ``_data`` and belong to the table once a snapshot says so; if another writer has made one since the start,
+    :class:`ConflictError` is raised and nothing has changed. Null and empty partitions, files and sizes are values like
+    others; an empty table gives an empty result; other columns are carried along.
     """
     spark = records.sparkSession
     snapshots = Snapshots(spark, target)
     base = snapshots.latest()
     plan = stored(small_file_partitions(records, policy, partition, file, size), "compaction-plan")
-    planned = plan.select(F.col(partition).alias("plan_partition"), "n_out")
+    planned = numbered(plan.select(F.col(partition).alias("plan_partition"), "n_out"))
     same = F.col(partition).eqNullSafe(F.col("plan_partition"))
 
     def kept(part: DataFrame) -> DataFrame:
@@ -128,73 +255,91 @@ def compact_records(
         match = [F.col(name).eqNullSafe(F.col(f"keep_{name}")) for name in key]
         return part.join(keys, match, "left_semi")
 
-    spread = F.pmod(F.xxhash64(*[F.col(name) for name in (key or (file,))]), F.col("n_out"))
+    if not plan.limit(1).count():
+        return kept(records)
     folder = F.coalesce(F.sha2(F.col(partition).cast("string"), 256), F.lit("null"))
-    rewritten = kept(records.join(planned, same).withColumn("out_file", spread).drop("plan_partition", "n_out"))
-    snapshots.commit(base, {"policy": asdict(policy), "partition": partition})
-    (
-        rewritten.repartition(partition, "out_file")
-        .drop("out_file")
-        .withColumn("plan_folder", folder)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("plan_folder")
-        .parquet(target)
-    )
-    compacted = spark.read.schema(records.schema).parquet(target).select(*records.columns)
-    compacted = compacted.join(planned.select("plan_partition"), same, "left_semi")
-    return compacted.unionByName(kept(records.join(planned, same, "left_anti")))
+    rewritten = kept(records.join(planned, same).drop("plan_partition").withColumn("plan_folder", folder))
+    generation = write_generation(rewritten, target, "plan_folder", list(key or (file,)), plan)
+    new = stored(snapshots.listed(f"/_data/{generation.rpartition('/')[2]}", "plan_folder"), "new-files")
+    older = snapshots.files(base, "live")
+    live = new if older is None else new.unionByName(older.join(new.select("plan_partition").distinct(), "plan_partition", "left_anti"))
+    try:
+        snapshots.commit(base, live, policy=asdict(policy), partition=partition)
+    except ConflictError:
+        remove(spark, generation)
+        raise
+    fresh = spark.read.schema(records.schema).parquet(generation).select(*records.columns)
+    return fresh.unionByName(kept(records.join(planned.select("plan_partition"), same, "left_anti")))
+
+
+def numbered(plan: DataFrame) -> DataFrame:
+    """``plan`` with ``before``, the files that the partitions in front of each have. One row a partition that is rewritten, which
+    the listing of a table's folders holds as well, so the sum over all of them is one task's work."""
+    return plan.withColumn("before", F.sum("n_out").over(Window.orderBy("plan_partition")) - F.col("n_out"))
+
+
+def write_generation(rows: DataFrame, path: str, folder: str, spread: list[str], plan: DataFrame) -> str:
+    """Write ``rows`` (with ``n_out`` and ``before`` of their partition) below ``_data`` in a folder of their own and return that.
+
+    Each file that was planned is one task's work, told by its number among all, so there are as many files as planned
+    however many that are; a row's file in its partition is a hash of its ``spread`` columns. Partitions are overwritten
+    dynamically, so that a job run again after a failure leaves its files once.
+    """
+    generation = f"{path.rstrip('/')}/_data/gen={uuid.uuid4().hex}"
+    total = plan.agg(F.coalesce(F.sum("n_out"), F.lit(0))).first()[0]
+    number = F.col("before") + F.pmod(F.xxhash64(*[F.col(name) for name in spread]), F.col("n_out"))
+    writer = rows.repartitionById(max(1, int(total)), number.cast("int")).drop("n_out", "before").write.mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy(folder).parquet(generation)
+    return generation
 
 
 def compact_directory(spark: SparkSession, path: str, partition: str, policy: Policy = Policy()) -> dict:
-    """Compact a Parquet directory partitioned by ``partition`` in place; returns what was done.
-
-    Finds partitions with too many small files from the files' own sizes, stages their rows in the shared folder,
-    checks that neither the snapshot nor the files of those partitions have changed meanwhile and reserves the next
-    snapshot, so that of two compactors one fails before data are touched. Then the new files are added and the files
-    that were listed at first are deleted, one by one: a file that comes later stays. Until they are deleted, readers see
-    rows twice. Other partitions are not touched. Rows, repeated ones too, stay as they are. With nothing to do no
-    snapshot is made.
+    """Compact a Parquet directory partitioned by ``partition``; returns what was done, file sizes as measured afterwards.
+
+    Finds partitions with too many small files from the files' own names and sizes, reads exactly the files listed, and
+    writes their rows into new files below ``_data``, which nobody sees. Then one snapshot makes the new files live and
+    retires the old ones, both at once: readers by :func:`read_table` see the table before or after it and nothing in
+    between, a run that breaks off has changed nothing, files that others add meanwhile stay, and of two compactors one
+    fails with :class:`ConflictError` and leaves no files. Old files are deleted by :func:`vacuum`. Other partitions are not
+    touched. Rows, repeated ones too, stay as they are. With nothing to do no snapshot is made.
     """
     snapshots = Snapshots(spark, path)
     base = snapshots.latest()
-
-    def listing() -> DataFrame:
-        spark.catalog.refreshByPath(path)
-        files = spark.read.parquet(path).select(
-            F.col(partition), F.col("_metadata.file_path").alias("data_file"), F.col("_metadata.file_size").alias("bytes")
-        )
-        return files.groupBy(partition, "data_file").agg(F.max("bytes").alias("bytes"))
-
-    before = stored(listing(), "compaction-files")
-    plan = stored(small_file_partitions(before, policy, partition, "data_file", "bytes"), "compaction-plan")
-    todo = plan.agg(F.count("*"), F.sum("n_files"), F.sum("n_out")).first()
+    rows, files = snapshots.others(base, partition)
+    live, retired = snapshots.files(base, "live"), snapshots.files(base, "retired")
+    every = files if live is None else files.unionByName(live)
+    plan = stored(small_file_partitions(every, policy, "plan_partition", "data_file", "bytes"), "compaction-plan")
+    todo = plan.agg(F.count("*"), F.sum("n_files")).first()
     if not todo[0]:
-        return {"version": base, "partitions": 0, "files_before": 0, "files_after": 0}
-    planned = plan.select(F.col(partition).alias("plan_partition"), "n_out")
-    same = F.col(partition).eqNullSafe(F.col("plan_partition"))
-    chosen = lambda files: files.join(planned, same, "left_semi")
-    read = spark.read.parquet(path)
-    columns = read.columns
-    spread = F.pmod(F.xxhash64(*[F.col(name) for name in columns]), F.col("n_out"))
-    rows = read.withColumn("data_file", F.col("_metadata.file_path")).join(before.select("data_file"), "data_file", "left_semi")
-    staged = rows.join(planned, same).withColumn("out_file", spread).select(*columns, "out_file")
-    staging = shared_path(spark, "compaction-staging")
-    staged.write.parquet(staging)
-    snapshots.check(base)
-    if chosen(listing()).exceptAll(chosen(before)).limit(1).count() or chosen(before).exceptAll(chosen(listing())).limit(1).count():
-        raise ConflictError(f"files below {path} changed during the compaction")
-    version = snapshots.commit(base, {"policy": asdict(policy), "partitions": todo[0]})
-    (
-        spark.read.schema(staged.schema).parquet(staging)
-        .repartition(partition, "out_file")
-        .drop("out_file")
-        .write.mode("append")
-        .partitionBy(partition)
-        .parquet(path)
-    )
-    for file in chosen(before).select("data_file").toLocalIterator():
-        snapshots.delete(file[0])
-    spark.catalog.refreshByPath(path)
-    remove(spark, staging)
-    return {"version": version, "partitions": todo[0], "files_before": todo[1], "files_after": todo[2]}
+        return {"version": base, "partitions": 0, "files_before": 0, "files_after": 0, "largest_bytes": 0}
+    chosen = plan.select(F.col("plan_partition").alias("chosen"))
+    of_plan = F.col("plan_partition").eqNullSafe(F.col("chosen"))
+    replaced = stored(files.join(chosen, of_plan, "left_semi"), "compaction-files")
+    lives = live.join(chosen, of_plan, "left_semi") if live is not None else None
+    planned = numbered(plan.select("plan_partition", "n_out"))
+    same = F.col(partition).cast("string").eqNullSafe(F.col("plan_partition"))
+    parts = [part for part in (rows, snapshots.read(lives)) if part is not None]
+    both = reduce(lambda a, b: a.unionByName(b.select(*[F.col(c).cast(t) for c, t in a.dtypes])), parts)
+    generation = write_generation(both.join(planned, same).drop("plan_partition"), path, partition, both.columns, plan)
+    new = stored(snapshots.listed(f"/_data/{generation.rpartition('/')[2]}", partition), "new-files")
+    kept = new if live is None else new.unionByName(live.join(chosen, of_plan, "left_anti"))
+    gone = replaced if retired is None else replaced.unionByName(retired)
+    try:
+        if replaced.join(snapshots.listed("", partition), "data_file", "left_anti").limit(1).count():
+            raise ConflictError(f"files below {path} were deleted during the compaction")
+        version = snapshots.commit(base, kept, gone, policy=asdict(policy), partitions=todo[0])
+    except ConflictError:
+        remove(spark, generation)
+        raise
+    after = new.agg(F.count("*"), F.max("bytes")).first()
+    return {"version": version, "partitions": todo[0], "files_before": todo[1], "files_after": after[0], "largest_bytes": after[1]}
+
+
+def read_table(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
+    """A table that :func:`compact_directory` looks after, as its newest snapshot or an earlier one has it."""
+    return Snapshots(spark, path).table(version)
+
+
+def vacuum(spark: SparkSession, path: str) -> int:
+    """Delete files that no longer belong to a table; returns how many there were."""
+    return Snapshots(spark, path).vacuum()

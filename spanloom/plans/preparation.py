@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import clean_text
-from spanloom.operators.compact import Policy, compact_directory, compact_records, first_deliveries, small_file_partitions
+from spanloom.operators.compact import Policy, compact_directory, compact_records, first_deliveries, read_table, small_file_partitions, vacuum
 from spanloom.operators.packed import explode_packed
 from spanloom.session import shared_path, table
 from spanloom.sources.mmo import load_records, rejected_records
@@ -65,7 +65,8 @@ def p5_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.substring(F.sha2(F.coalesce("folder", F.lit("")), 256), 1, 1)
     records.withColumn("part", part).repartition(24, "file_path").write.partitionBy("part").parquet(path)
     compact_directory(spark, path, "part")
-    return spark.read.parquet(path).select("file_path", "rec_no")
+    vacuum(spark, path)
+    return read_table(spark, path).select("file_path", "rec_no")
 
 
 QUERIES = {

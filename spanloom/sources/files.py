@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from fnmatch import fnmatchcase
+from urllib.parse import quote
 
 from pyarrow import fs
 
@@ -14,7 +15,7 @@ BLOCK = 4 << 20
 def locate(path: str) -> tuple[fs.FileSystem, str]:
     """The file system and the path in it of a URI or a local path."""
     if "://" in path or path.startswith("file:"):
-        return fs.FileSystem.from_uri(path)
+        return fs.FileSystem.from_uri(quote(path, safe="%/:?#[]@!$&'()*+,;=~"))
     return fs.LocalFileSystem(), path
 
 

@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import clean_text
-from spanloom.operators.compact import ConflictError, Policy, Snapshots, compact_directory, compact_records, first_deliveries, small_file_partitions
+from spanloom.operators.compact import ConflictError, Policy, Snapshots, compact_directory, compact_records, first_deliveries, read_table, small_file_partitions, vacuum
 from spanloom.operators.packed import explode_packed
 from spanloom.plans.preparation import p5_found
 
@@ -106,42 +106,74 @@ def test_compaction_of_nothing(spark, tmp_path):
     assert small_file_partitions(df, Policy(), "folder", "file_path", "n_bytes").count() == 0
 
 
+def sums(df):
+    return df.agg(F.count("*"), F.sum("id"), F.countDistinct("id")).first()[:]
+
+
 def test_directory_compaction_and_conflict(spark, tmp_path):
     path = f"file://{tmp_path}/t"
     rows = spark.range(300).withColumn("p", F.when(F.col("id") < 200, "a").otherwise("b"))
     rows.where("p = 'a'").repartition(20).write.partitionBy("p").parquet(path)
     rows.where("p = 'b'").coalesce(1).write.mode("append").partitionBy("p").parquet(path)
     done = compact_directory(spark, path, "p")
-    assert (done["version"], done["partitions"], done["files_after"]) == (1, 1, 1)
-    assert spark.read.parquet(path).agg(F.count("*"), F.sum("id")).first()[:] == (300, 44850)
+    assert (done["version"], done["partitions"], done["files_before"], done["files_after"]) == (1, 1, 20, 1) and done["largest_bytes"] > 0
+    assert sums(read_table(spark, path)) == sums(read_table(spark, path, 0)) == (300, 44850, 300)
     assert compact_directory(spark, path, "p")["partitions"] == 0
     with pytest.raises(ConflictError):
-        Snapshots(spark, path).commit(0, {})
+        Snapshots(spark, path).commit(0)
+    assert vacuum(spark, path) == 20 and vacuum(spark, path) == 0
+    assert sums(read_table(spark, path)) == (300, 44850, 300) and len(list(tmp_path.rglob("*.parquet"))) < 12
+    more = spark.range(300, 420).withColumn("p", F.lit("a"))
+    more.repartition(12).write.mode("append").partitionBy("p").parquet(path)
+    assert sums(read_table(spark, path))[0] == 420
+    again = compact_directory(spark, path, "p")  # files of the first compaction and new ones
+    assert (again["files_before"], again["files_after"]) == (13, 1) and sums(read_table(spark, path)) == (420, 420 * 419 // 2, 420)
+    vacuum(spark, path)
+    assert sums(read_table(spark, path)) == (420, 420 * 419 // 2, 420)
+
+
+def test_directory_of_which_all_files_are_replaced(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    spark.range(100).withColumn("p", F.lit(7)).repartition(10).write.partitionBy("p").parquet(path)
+    compact_directory(spark, path, "p")
+    assert vacuum(spark, path) == 10 and sums(read_table(spark, path)) == (100, 4950, 100)
+    assert compact_directory(spark, path, "p")["partitions"] == 0 and read_table(spark, f"{tmp_path}/none") is None
 
 
-@pytest.mark.parametrize("late", [False, True])
-def test_directory_compaction_beside_other_writers(spark, tmp_path, monkeypatch, late):
+@pytest.mark.parametrize("event", ["late", "other", "crash"])
+def test_directory_compaction_beside_other_writers(spark, tmp_path, monkeypatch, event):
     path = f"file://{tmp_path}/t"
     rows = spark.range(200).withColumn("p", F.lit("a/b c%é"))
     rows.repartition(20).write.partitionBy("p").parquet(path)
-    files = lambda: sorted(str(x) for x in tmp_path.rglob("*.parquet"))
+    files = lambda: sorted(str(x) for x in tmp_path.rglob("p=*/*.parquet"))
     before, commit = files(), Snapshots.commit
 
-    def meanwhile(self, base, manifest):
-        if late:  # a writer that knows nothing of snapshots
+    def meanwhile(self, base, *args, **facts):
+        if event == "late":  # a writer that knows nothing of snapshots
             spark.range(200, 210).withColumn("p", F.lit("a/b c%é")).write.mode("append").partitionBy("p").parquet(path)
-        else:  # another compactor
-            commit(self, base, {})
-        return commit(self, base, manifest)
+        elif event == "other":  # another compactor
+            commit(self, base)
+        else:
+            raise MemoryError("the driver dies")
+        return commit(self, base, *args, **facts)
 
     monkeypatch.setattr(Snapshots, "commit", meanwhile)
-    if late:
+    if event == "late":
         compact_directory(spark, path, "p")
     else:
-        with pytest.raises(ConflictError):
+        with pytest.raises(ConflictError if event == "other" else MemoryError):
             compact_directory(spark, path, "p")
-        assert files() == before
-    got = spark.read.parquet(path).agg(F.count("*"), F.sum("id"), F.countDistinct("id")).first()
-    n = 210 if late else 200
-    assert got[:] == (n, n * (n - 1) // 2, n)
-    assert len(files()) < 10 or not late
+        assert sums(spark.read.parquet(path))[0] == 200 and (files() == before or event == "crash")
+    monkeypatch.undo()
+    n = 210 if event == "late" else 200
+    assert sums(read_table(spark, path)) == (n, n * (n - 1) // 2, n)
+    vacuum(spark, path)
+    assert sums(read_table(spark, path)) == (n, n * (n - 1) // 2, n) and (files() == before or event == "late")
+
+
+def test_files_are_as_many_as_planned(spark, tmp_path):
+    """More files of one partition than there are shuffle partitions, one a task."""
+    df = spark.range(6_000).select(F.lit("d").alias("folder"), F.concat(F.lit("f"), F.col("id") % 600).alias("file_path"), F.col("id").cast("int").alias("rec_no"), F.lit(10).cast("bigint").alias("n_bytes"))
+    out = compact_records(df, f"file://{tmp_path}/t", "folder", "file_path", "n_bytes", None, ("rec_no",), Policy(target_bytes=1_000))
+    assert int(spark.conf.get("spark.sql.shuffle.partitions")) < 60 == len(list(tmp_path.rglob("_data/gen=*/plan_folder=*/*.parquet")))
+    assert sorted(r.rec_no for r in out.collect()) == list(range(6_000))
