@@ -6,26 +6,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.constants import NOUN, whole
-from spanloom.operators.candidates import mention_pairs
+from spanloom.functions.let import let
 from spanloom.operators.graph import vertex_semtypes
 from spanloom.operators.relations import clean_path, path_nodes, print_path
 from spanloom.operators.trees import dependency_path, root_paths, shallowest
 
 
-def place_mentions(mentions: DataFrame, sentences: DataFrame, key: str) -> DataFrame:
-    """Mentions with the sentence's ``tokens``, its root ``paths`` and the ``positions`` of their own tokens; only those with a noun.
+def placed(mentions: Column, tokens: Column, paths: Column) -> Column:
+    """Of a sentence's ``mentions`` those with a noun inside, with the ``positions`` of their own tokens and their shallowest one, ``top``.
 
-    ``sentences`` has ``key``, ``sent_no`` and ``tokens`` (position, begin, end, covered_text, lemma, pos_tag, dep_tag, depends_on). Tokens inside
-    the mention count, or if there are none the tokens around it.
+    Tokens inside the mention count, or if there are none the tokens around it.
     """
-    trees = sentences.withColumn("paths", root_paths(F.col("tokens")))
-    both = mentions.join(trees.select(key, "sent_no", "tokens", "paths"), key)
-    inside = F.filter("tokens", lambda t: (t["begin"] >= F.col("begin")) & (t["end"] <= F.col("end")))
-    around = F.filter("tokens", lambda t: (t["begin"] <= F.col("begin")) & (t["end"] >= F.col("end")))
-    both = both.withColumn("inside", inside).withColumn("own", F.when(F.size("inside") > 0, F.col("inside")).otherwise(around))
-    noun = F.exists("inside", lambda t: t["pos_tag"].rlike(whole(NOUN)))
-    both = both.where(noun & (F.size("own") > 0)).withColumn("positions", F.transform("own", lambda t: t["position"].cast("int")))
-    return both.withColumn("top", shallowest(F.col("positions"), F.col("paths"))).drop("inside", "own")
+    def place(m: Column) -> Column:
+        inside = F.filter(tokens, lambda t: (t["begin"] >= m["begin"]) & (t["end"] <= m["end"]))
+        around = F.filter(tokens, lambda t: (t["begin"] <= m["begin"]) & (t["end"] >= m["end"]))
+
+        def own(within: Column) -> Column:
+            noun = F.exists(within, lambda t: t["pos_tag"].rlike(whole(NOUN)))
+            chosen = F.transform(F.when(F.size(within) > 0, within).otherwise(around), lambda t: t["position"].cast("int"))
+            known = lambda p: F.struct(m["begin"].alias("begin"), p.alias("positions"), shallowest(p, paths).alias("top"), m["concepts"].alias("concepts"))
+            return F.when(noun, let(chosen, lambda p: F.when(F.size(p) > 0, known(p))))
+
+        return let(inside, own)
+
+    return F.filter(F.transform(mentions, place), lambda m: m.isNotNull())
+
+
+def labelled_pairs(mentions: Column, tokens: Column, paths: Column) -> Column:
+    """``(rel, one, two)`` of every two mentions, the first of which begins before the second, that a labelled path joins; ``one``
+    and ``two`` are their concepts."""
+    def label(one: Column, two: Column) -> Column:
+        path = dependency_path(paths, one["top"], two["top"], one["positions"], two["positions"])
+        nodes = let(path, lambda p: F.when(p.isNotNull(), path_nodes(tokens, paths, p)))
+        return let(clean_path(nodes), lambda done: F.when(done.isNotNull(), print_path(done, tokens)))
+
+    def pairs(known: Column) -> Column:
+        behind = lambda one: F.filter(known, lambda two: one["begin"] < two["begin"])
+        both = lambda one: F.transform(behind(one), lambda two: F.struct(label(one, two).alias("rel"), one["concepts"].alias("one"), two["concepts"].alias("two")))
+        return F.filter(F.flatten(F.transform(known, both)), lambda x: x["rel"].isNotNull())
+
+    return let(placed(mentions, tokens, paths), pairs)
 
 
 def only(df: DataFrame, value: Column, name: str) -> DataFrame:
@@ -35,17 +55,17 @@ def only(df: DataFrame, value: Column, name: str) -> DataFrame:
 
 
 def relation_evidence(mentions: DataFrame, sentences: DataFrame, key: str) -> DataFrame:
-    """``(src, rel, dst, utt_id, src_semtypes, dst_semtypes)`` of every pair of concepts whose mentions a labelled path joins."""
-    placed = place_mentions(mentions, sentences, key)
-    pairs = mention_pairs(placed.withColumn("sentence", F.struct(key, "sent_no")), "sentence", "begin", ("positions", "top", "concepts"))
-    trees = sentences.select(F.struct(key, "sent_no").alias("sentence"), "tokens", root_paths(F.col("tokens")).alias("paths"))
-    full = pairs.join(trees, "sentence")
-    path = dependency_path(F.col("paths"), F.col("top_1"), F.col("top_2"), F.col("positions_1"), F.col("positions_2"))
-    full = only(full, path, "path")
-    full = full.withColumn("nodes", path_nodes(F.col("tokens"), F.col("paths"), F.col("path")))
-    full = only(full, clean_path(F.col("nodes")), "done").withColumn("rel", print_path(F.col("done"), F.col("tokens")))
-    one = full.select(F.col(f"sentence.{key}").alias("utt_id"), "rel", F.explode("concepts_1").alias("c1"), "concepts_2")
-    two = one.select("utt_id", "rel", "c1", F.explode("concepts_2").alias("c2"))
+    """``(src, rel, dst, utt_id, src_semtypes, dst_semtypes)`` of every pair of concepts whose mentions a labelled path joins.
+
+    ``sentences`` has ``key``, ``sent_no`` and ``tokens`` (position, begin, end, covered_text, lemma, pos_tag, dep_tag, depends_on). A
+    document's mentions, which it bounds, meet its sentences in one join; pairs, paths and labels are worked out within the
+    sentence's own row, root paths once for all its pairs, and only what is labelled is unfolded.
+    """
+    own = mentions.groupBy(key).agg(F.collect_list(F.struct("begin", "end", "concepts")).alias("mentions"))
+    both = sentences.select(key, "sent_no", "tokens").join(own, key)
+    found = let(root_paths(F.col("tokens")), lambda paths: labelled_pairs(F.col("mentions"), F.col("tokens"), paths))
+    each = both.select(F.col(key).alias("utt_id"), F.explode(found).alias("x")).select("utt_id", "x.rel", F.explode("x.one").alias("c1"), "x.two")
+    two = each.select("utt_id", "rel", "c1", F.explode("two").alias("c2"))
     return two.select(
         F.col("c1.concept_id").alias("src"), "rel", F.col("c2.concept_id").alias("dst"), "utt_id",
         vertex_semtypes(F.col("c1.semtypes")).alias("src_semtypes"), vertex_semtypes(F.col("c2.semtypes")).alias("dst_semtypes"),

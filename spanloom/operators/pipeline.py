@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from abc import ABC, abstractmethod
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from spanloom.functions.constants import ACRONYM, NOUN, whole
 from spanloom.functions.let import let
 from spanloom.functions.spans import piece, split_spans
 from spanloom.functions.text import clean_text
+from spanloom.session import stored
+from spanloom.sources.files import read_bytes
 
+#: The id of a document without one.
+NO_ID = "NO_ID"
 TOKENS = "array<struct<sent_no:int,position:int,begin:int,end:int,covered_text:string,lemma:string,pos_tag:string>>"
 CHUNKS = "array<struct<begin:int,end:int,chunk_type:string>>"
 CONCEPTS = "array<struct<source:string,concept_id:string,preferred_label:string,synonyms:array<string>,score:double>>"
@@ -165,22 +170,29 @@ class Pipeline:
         return documents
 
     def append(self, documents: DataFrame, path: str) -> DataFrame:
-        """Annotate the documents whose ids are not yet in the table at ``path``, append them to it and return them all."""
+        """Annotate the documents that are not yet in the table at ``path``, append them to it and return them all.
+
+        A document is told by its id, or where that is ``NO_ID`` by its text too; ids and digests of texts are compared, never
+        texts, and of what is there only the ids are read.
+        """
         spark = documents.sparkSession
-        try:
-            done = spark.read.parquet(path).select("id")
-            documents = documents.join(done, "id", "left_anti")
-        except AnalysisException:  # no table yet
-            pass
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+            done = spark.read.parquet(path).select(_identity().alias("done")).distinct()
+            documents = documents.join(done, _identity() == F.col("done"), "left_anti")
         self.run(documents).write.mode("append").parquet(path)
         return spark.read.parquet(path)
 
 
+def _identity() -> Column:
+    return F.when(F.col("id") == NO_ID, F.concat(F.lit("text:"), F.coalesce(F.sha2("text", 256), F.lit("null")))).otherwise(F.concat(F.lit("id:"), F.col("id")))
+
+
 def as_documents(rows: DataFrame, key: str, text: str) -> DataFrame:
     """Rows as documents without annotations: text cleaned once, a null key called ``NO_ID``."""
     layers = [F.lit(None).cast(kind).alias(name) for name, kind in LAYERS.items()]
     return rows.select(
-        F.coalesce(F.col(key).cast("string"), F.lit("NO_ID")).alias("id"), clean_text(F.col(text)).alias("text"), F.array().cast("array<string>").alias("enhanced_by"), *layers
+        F.coalesce(F.col(key).cast("string"), F.lit(NO_ID)).alias("id"), clean_text(F.col(text)).alias("text"), F.array().cast("array<string>").alias("enhanced_by"), *layers
     )
 
 
@@ -190,6 +202,56 @@ def full_pipeline(threshold: float = 0.1) -> Pipeline:
 
 
 def batches(documents: DataFrame, size: int, order: str = "id") -> DataFrame:
-    """Documents with a ``batch`` number of about ``size`` rows each: by the hash of ``order``, as no global order is needed to part them."""
-    count = documents.count()
-    return documents.withColumn("batch", F.pmod(F.xxhash64(order), F.lit(max(1, -(-count // size)))))
+    """Documents with a ``batch`` number: runs of ``size`` documents in the order of ``order``, the last one maybe shorter.
+
+    The rows are parted by ranges of ``order`` and numbered within their part; only the parts' sizes, one number each, are
+    added up in order, so no task sees all rows.
+    """
+    parts = stored(documents.repartitionByRange(order).sortWithinPartitions(order).withColumn("part_no", F.spark_partition_id()).withColumn("row_no", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "ranges")
+    sizes = parts.groupBy("part_no").agg(F.count("*").alias("n"))
+    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("part_no")) - F.col("n")).select("part_no", "before")  # a row for each part
+    numbered = parts.join(F.broadcast(before), "part_no").withColumn("batch", F.floor((F.col("before") + F.col("row_no")) / size))
+    return numbered.drop("part_no", "row_no", "before")
+
+
+def counted(rows: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, Observation]:
+    """``rows`` with counters beside them: how many rows passed (``rows``) and what ``counts`` add up, to be read from the
+    observation once a job over them has ended. Nothing is computed twice."""
+    observation = Observation(name)
+    return rows.observe(observation, F.count(F.lit(1)).alias("rows"), *[value.alias(key) for key, value in counts.items()]), observation
+
+
+class ModelAnnotator(FrameAnnotator):
+    """An annotator around a model in a file that all executors reach.
+
+    ``load`` turns the file's bytes into a function from a Pandas frame of documents to one with the same columns. Each Python worker
+    loads the file once, when its first batch comes.
+    """
+
+    def __init__(self, path: str, load: Callable[[bytes], Callable], name: str = "") -> None:
+        self.path, self.load, self._name = path, load, name
+
+    @property
+    def name(self) -> str:
+        return self._name or type(self).__name__
+
+    def annotate_frame(self, documents: DataFrame) -> DataFrame:
+        path, load = self.path, self.load
+
+        def run(frames: Iterator) -> Iterator:
+            model = None
+            for frame in frames:
+                model = model or loaded(path, load)
+                yield model(frame)
+
+        return documents.mapInPandas(run, documents.schema)
+
+
+_MODELS: dict[str, Callable] = {}
+
+
+def loaded(path: str, load: Callable[[bytes], Callable]) -> Callable:
+    """The model of a file, loaded once in a process."""
+    if path not in _MODELS:
+        _MODELS[path] = load(b"".join(read_bytes(path)))
+    return _MODELS[path]

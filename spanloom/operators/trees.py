@@ -5,6 +5,9 @@ All operators are expressions over the array, so a sentence is handled where it
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,12 +110,53 @@ def shallowest(positions: Column, paths: Column) -> Column:
     return F.array_min(F.transform(positions, lambda p: F.struct(depth(F.get(paths, p - 1)).alias("d"), p.alias("p"))))["p"]
 
 
+def find(tokens: Column, test: Callable[[Column], Column]) -> Column:
+    """The first token, in order of position, that passes; null if none does."""
+    return F.get(F.filter(F.array_sort(tokens, lambda a, b: a["position"] - b["position"]), lambda t: F.coalesce(test(t), F.lit(False))), F.lit(0))
+
+
+def node_of(tokens: Column, position: Column | int) -> Column:
+    """The token at a position; null if there is none."""
+    return find(tokens, lambda t: t["position"] == position)
+
+
+@dataclass(frozen=True)
+class Template:
+    """A tree to match: the pattern for its topmost node, and for each branch the pattern for the edge and what hangs on it."""
+
+    node: str = ".*"
+    branches: tuple[tuple[str, Template], ...] = ()
+
+
+def match_tree(edges: DataFrame, key: list[str], template: Template, label: str = "lemma") -> DataFrame:
+    """All matches of a tree template, as ``p_0 .. p_n`` in the order of its nodes from the top, branch by branch.
+
+    ``edges`` as for :func:`match_template`. Every combination of what the branches match is a match of its own; two branches
+    may match the same node. One join by sentence and head for each edge of the template.
+    """
+    found = edges.where(F.col(label).rlike(whole(template.node))).select(*key, F.col("position").alias("p_0"))
+    used = 0
+
+    def grow(found: DataFrame, top: int, branches: tuple[tuple[str, Template], ...]) -> DataFrame:
+        nonlocal used
+        for tag, below in branches:
+            used += 1
+            own = used
+            step = edges.where(F.col("dep_tag").rlike(whole(tag)) & F.col(label).rlike(whole(below.node)))
+            found = found.join(step.select(*key, F.col("head").alias(f"p_{top}"), F.col("position").alias(f"p_{own}")), [*key, f"p_{top}"])
+            found = grow(found, own, below.branches)
+        return found
+
+    found = grow(found, 0, template.branches)
+    return found.select(*key, *[f"p_{i}" for i in range(used + 1)])
+
+
 def match_template(edges: DataFrame, key: list[str], steps: list[tuple[str, str]], root: str = ".*", label: str = "lemma") -> DataFrame:
     """All matches of a linear template, as ``p_0 .. p_n``.
 
     ``edges`` has ``key``, ``position``, ``head``, ``dep_tag`` and the node's ``label``; ``steps`` are pairs of patterns for the edge's tag
     and the lower node's label, each to match whole, ``root`` the pattern for the topmost node. One join by sentence and head
-    for each step. Branching templates: match the branches and join them on the shared node.
+    for each step. For branching templates see :func:`match_tree`.
     """
     found = edges.where(F.col(label).rlike(whole(root))).select(*key, F.col("position").alias("p_0"))
     for at, (tag, node) in enumerate(steps, 1):
@@ -174,6 +218,12 @@ def tree_checks(sentences: DataFrame, key: str, tokens: str = "tokens") -> DataF
     )
 
 
+def zip_nodes(words: Column, nodes: Column) -> Column:
+    """Token strings and parse nodes by place, as ``word`` and ``node``; what one of both has more is left out."""
+    size = F.least(F.size(words), F.size(nodes))
+    return F.transform(F.arrays_zip(F.slice(words, F.lit(1), size).alias("word"), F.slice(nodes, F.lit(1), size).alias("node")), lambda z: F.struct(z["word"].alias("word"), z["node"].alias("node")))
+
+
 def number_tokens(tokens: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Positions from 1 within each sentence."""
     return tokens.withColumn("position", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))

@@ -9,8 +9,11 @@ from spanloom.functions.spans import begin_of, covered_text, contains, end_of, r
 from spanloom.functions.text import clean_text
 from spanloom.operators import annotations as A
 from spanloom.operators import candidates as C
-from spanloom.operators.pipeline import as_documents, full_pipeline
-from spanloom.session import shared_path, spread, table
+from spanloom.functions.constants import ACRONYM
+from spanloom.operators import store as S
+from spanloom.operators.pipeline import as_documents, batches, full_pipeline
+from spanloom.session import shared_path, spread, stored, table
+from spanloom.sources.annotation_xml import documents_xml, read_documents_xml
 
 
 def clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,8 +47,9 @@ def candidate_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def acronyms_uncovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Acronyms that no candidate of at least twelve characters covers."""
     spans = candidate_spans(spark, sf_dir).select("row_id", F.explode("spans").alias("s")).select("row_id", "s.begin", "s.end")
-    found = A.acronym_mentions(utterance_tokens(spark, sf_dir), spans, "row_id")
+    found = A.acronym_mentions(utterance_tokens(spark, sf_dir), spans.where(F.col("end") - F.col("begin") >= 12), "row_id")
     return found.select("row_id", "begin", "end", "concept_id")
 
 
@@ -98,8 +102,9 @@ def chunk_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def containment_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = candidate_spans(spark, sf_dir).select("row_id", "phrase_no", "cand_no", F.posexplode("spans").alias("span_no", "s"))
-    seq = F.col("phrase_no") * 1_000_000 + F.col("cand_no") * 1_000 + F.col("span_no")
-    return A.suppress_contained(spans.select("row_id", seq.cast("bigint").alias("seq"), "s.begin", "s.end"), "row_id", "seq")
+    seq = F.struct("phrase_no", "cand_no", "span_no")
+    kept = A.suppress_contained(spans.select("row_id", seq.alias("seq"), "s.begin", "s.end"), "row_id", "seq")
+    return kept.select("row_id", "seq.*", "begin", "end")
 
 
 def score_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,13 +186,57 @@ def pipeline_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.col("id").cast("bigint").alias("doc_id"), F.greatest(count("tokens"), F.lit(0)).alias("n_tokens"), F.greatest(count("mentions"), F.lit(0)).alias("n_mentions"))
 
 
+#: Supertypes of the annotations that the store queries make.
+PARENTS = {"Acronym": "Mention", "Mention": "Entity"}
+
+
+def annotation_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections and acronyms of documents in one store."""
+    docs = table(spark, sf_dir, "documents")
+    spans = F.array(F.struct("begin", "end"))
+    lines = S.as_annotations(A.sections(docs), "Section", "doc_id", spans, "sec_no")
+    acronyms = S.as_annotations(A.acronym_mentions(A.tokens(docs)), "Acronym", "doc_id", spans, "begin", ("concept_id",), PARENTS)
+    return S.insert(lines, acronyms)
+
+
+def annotation_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many annotations a document has under each type, supertypes too, within its first 200 characters."""
+    return S.listings_between(annotation_store(spark, sf_dir), 0, 200).groupBy("doc_id", "listed_as").agg(F.count("*").alias("n"))
+
+
+def mentions_of_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is listed as a mention once the list of acronyms is removed, by document."""
+    found = S.of_type(S.remove_type(annotation_store(spark, sf_dir), "Acronym"), "Mention")
+    return found.select("doc_id", begin_of(F.col("spans")).alias("begin"), F.col("fields")["concept_id"].alias("concept_id"), F.array_join("listed_under", ",").alias("listed_under"))
+
+
+def section_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents, as sentences, by the section they lie in."""
+    docs = table(spark, sf_dir, "documents")
+    words = A.tokens(docs).withColumn("sent_no", F.col("sent_no") * 1_000_000 + F.col("position"))
+    return S.sentences_of_sections(A.sections(docs), words).groupBy("doc_id", "sec_no").agg(F.count("*").alias("n"), F.min("begin").alias("first"), F.max("end").alias("last"))
+
+
+def document_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return batches(table(spark, sf_dir, "documents").select("doc_id"), 64, "doc_id")
+
+
+def annotation_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections and acronyms written as XML, one text a document, and read back: how many there are and what they cover."""
+    store = stored(annotation_store(spark, sf_dir), "annotations")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", F.array(F.lit("A")).alias("enhanced_by"))
+    types = ["Section", "Acronym"]
+    _, back = read_documents_xml(stored(documents_xml(docs, store, types), "xml"), types, parents=PARENTS)
+    return S.listings(back).groupBy("doc_id", "listed_as").agg(F.count("*").alias("n"), F.sum(end_of(F.col("spans")) - begin_of(F.col("spans"))).alias("n_chars"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         clean_texts, sections, tokens, acronym_tokens, acronyms_uncovered, covered_texts, containing_candidates, token_containment, noun_gate,
         dedup_annotations, mention_merge, chunk_islands, containment_suppression, score_threshold, span_violations, best_candidates,
         last_phrase_wins, overlap_resolution, bounds_filter, candidate_filter, selected_spans, mentions_placed, multi_span_utterances,
-        mention_pairs, concept_cross, pipeline_resume,
+        mention_pairs, concept_cross, pipeline_resume, annotation_listings, mentions_of_type, section_sentences, document_batches, annotation_xml,
     )
 }
 
@@ -206,7 +255,6 @@ CANDS = """c as (select row_id, text, start_pos, length, phrase_no, i - 1 as can
     select row_id, text, start_pos, length, i - 1 as phrase_no, p.candidates as cs from (select row_id, text, start_pos, length, unnest(phrases) as p, unnest(range(1, len(phrases) + 1))::int as i from utterances)))),
     s as (select row_id, text, start_pos, length, phrase_no, cand_no, cui, score, semtypes, i - 1 as span_no, q.start_pos as abs_pos, q.length as size, q.start_pos - start_pos as b, q.start_pos - start_pos + q.length as e from (
     select *, unnest(positions) as q, unnest(range(1, len(positions) + 1))::int as i from c))"""
-ACRONYM = r"([A-Z][A-Z0-9\-\&/]+)|([b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ][b-df-hj-np-tv-xzB-DF-HJ-NP-TV-Z0-9\-\&/]{3,})"
 COVERED = "array_to_string(list_transform(positions, lambda q: substring(text, q.start_pos - start_pos + 1, q.length)), ' ')"
 TEXTUAL = "text is not null and len(positions) > 0"
 BEST = f"""{CANDS}, best as (select * from (select *, min(score) over (partition by row_id, phrase_no, abs_pos, size) as m from s) where score = m),
@@ -221,13 +269,38 @@ SPANS = f"""{BEST}, spots as (select row_id, abs_pos as b, size as z, count(*) a
     chosen as (select k.row_id, k.b - u.start_pos as "begin", k.b - u.start_pos + k.z as "end", n, cuis from kept k join spots using (row_id, b, z) join utterances u using (row_id)
     where k.b >= u.start_pos and k.z > 0 and k.b - u.start_pos + k.z < u.length)"""
 
+KINDS = SPANS.replace("list(cui) as cuis", "list(cui) as cuis, list(semtypes) as kinds").replace("n, cuis from kept", "n, kinds, text from kept")
+ALLOWED = f"""len(list_filter(kinds, lambda s: len(list_intersect(s, {C.SELECTED_SEMTYPES!r})) > 0 and len(wanted) >= 2 and case when list_contains(s, 'gngm')
+    then not regexp_full_match(wanted, '[A-Z]?[a-z]+') and lower(wanted) <> 'ii' else not starts_with(wanted, 'level') end)) > 0"""
+PLACED = f"""with recursive {KINDS}, r as (select *, replace(text, '""', '"') || '.' as raw, row_number() over (partition by row_id order by "begin") as i,
+    count(*) over (partition by row_id) as k from chosen where text is not null),
+    w as (select row_id, i, n, kinds, {CLEAN.format("raw")} as clean, {CLEAN.format('substring(raw, "begin" + 1, "end" - "begin")')} as wanted from r where k > 1),
+    pl as (select row_id, i, instr(clean, wanted) - 1 as place from w where i = 1 union all select w.row_id, w.i, case when wanted = '' then 0
+    when instr(substring(clean, place + 2), wanted) = 0 then -1 else place + instr(substring(clean, place + 2), wanted) end from pl join w on w.row_id = pl.row_id and w.i = pl.i + 1),
+    m as (select w.*, place, min(place) over (partition by w.row_id) as least from w join pl using (row_id, i) where {ALLOWED})
+    select row_id, (i - 1)::int as m_no, place::int as "begin", (place + len(wanted))::int as "end", wanted as covered_text, n::int as n from m where least >= 0"""
+NOT_NOUN = ["^[0-9.,%]+$", "(?:ed|ing|izes|uces)$", "(?:ous|al|ive|ic)$", "^(?i:the|a|an|of|in|by|with|for|to)$"]
+
 SQL = {
+    "mentions_placed": PLACED,
+    "pipeline_resume": TOKENS.format(key="doc_id", table=f"(select doc_id, {CLEAN.format('text')} as text from documents)")
+    + f""", c as (select doc_id, count(*) as n_tokens, sum((regexp_full_match(covered_text, '{ACRONYM}') and not regexp_matches(covered_text, '{"|".join(NOT_NOUN)}'))::int) as n_mentions
+        from t where covered_text <> '' group by 1) select doc_id, coalesce(n_tokens, 0)::int as n_tokens, coalesce(n_mentions, 0)::int as n_mentions from documents left join c using (doc_id)""",
+    "annotation_listings": DOCS + f""", x as (select doc_id, 'Section' as listed_as, "begin", "end" from l union all
+        select doc_id, unnest(['Acronym', 'Mention', 'Entity']), "begin", "end" from t where regexp_full_match(covered_text, '{ACRONYM}'))
+        select doc_id::varchar as doc_id, listed_as, count(*) as n from x where "begin" >= 0 and "end" <= 200 group by 1, 2""",
+    "mentions_of_type": DOCS + f""" select doc_id::varchar as doc_id, "begin"::int as "begin", upper(covered_text) as concept_id, 'Mention,Entity' as listed_under from t where regexp_full_match(covered_text, '{ACRONYM}')""",
+    "section_sentences": DOCS + """ select doc_id, sent_no as sec_no, count(*) as n, min("begin") as first, max("end") as last from t where covered_text <> '' group by 1, 2""",
+    "document_batches": "select doc_id, (row_number() over (order by doc_id) - 1) // 64 as batch from documents",
+    "annotation_xml": DOCS + f""", x as (select doc_id, 'Section' as listed_as, "begin", "end" from l union all
+        select doc_id, unnest(['Acronym', 'Mention', 'Entity']), "begin", "end" from t where regexp_full_match(covered_text, '{ACRONYM}'))
+        select doc_id::varchar as doc_id, listed_as, count(*) as n, sum("end" - "begin")::bigint as n_chars from x group by 1, 2""",
     "clean_texts": f"select file_path, rec_no, {CLEAN.format('text')} as text from annotated_texts",
     "sections": "with " + LINES.format(key="doc_id", table="documents") + ' select doc_id, sec_no, "begin", "end" from l',
     "tokens": DOCS + """ select doc_id, sent_no, row_number() over (partition by doc_id, sent_no order by i)::int as position, "begin", "end", covered_text from t where covered_text <> ''""",
     "acronym_tokens": DOCS + f""" select doc_id, "begin", "end", upper(covered_text) as concept_id, 0.5::double as score from t where regexp_full_match(covered_text, '{ACRONYM}')""",
     "acronyms_uncovered": UTTS + f""", {CANDS} select row_id, "begin", "end", upper(covered_text) as concept_id from t where regexp_full_match(covered_text, '{ACRONYM}')
-        and not exists (select 1 from s where s.row_id = t.row_id and s.b <= t."begin" and s.e >= t."end")""",
+        and not exists (select 1 from s where s.row_id = t.row_id and s.b <= t."begin" and s.e >= t."end" and s.e - s.b >= 12)""",
     "covered_texts": f"""with {CANDS} select row_id, phrase_no, cand_no, positions[1].start_pos - start_pos as "begin", positions[-1].start_pos - start_pos + positions[-1].length as "end",
         case when text is null then null else {COVERED} end as covered from c where len(positions) > 0""",
     "containing_candidates": f"with {CANDS} select distinct row_id, phrase_no, cand_no, cui from s where b <= 0 and e >= 5",
@@ -242,9 +315,8 @@ SQL = {
         q as (select *, case when event_type is not distinct from lag(event_type) over (partition by user_id order by i) and i > 1 then 0 else 1 end as starts from p),
         r as (select *, sum(starts) over (partition by user_id order by i) as run from q)
         select user_id, min(i)::int as "begin", (max(i) + 1)::int as "end", any_value(event_type) as chunk_type from r group by user_id, run""",
-    "containment_suppression": f"""with {CANDS}, m as (select row_id, phrase_no::bigint * 1000000 + cand_no * 1000 + span_no as seq, b, e from s)
-        select row_id, seq, b as "begin", e as "end" from m where not exists (select 1 from m o where o.row_id = m.row_id and o.b <= m.b and o.e >= m.e
-        and (o.e - o.b > m.e - m.b or (o.e - o.b = m.e - m.b and o.seq < m.seq)))""",
+    "containment_suppression": f"""with {CANDS} select row_id, phrase_no, cand_no, span_no, b as "begin", e as "end" from s m where not exists (select 1 from s o where o.row_id = m.row_id
+        and o.b <= m.b and o.e >= m.e and (o.e - o.b > m.e - m.b or (o.e - o.b = m.e - m.b and (o.phrase_no, o.cand_no, o.span_no) < (m.phrase_no, m.cand_no, m.span_no))))""",
     "score_threshold": f"""with {CANDS} select row_id, phrase_no, count(*)::int as n, string_agg(coalesce(cui, '-'), ',' order by cand_no) as concepts from c where -score / 1000.0 > 0.9 group by 1, 2""",
     "span_violations": f"""with {CANDS}, o as (select row_id, phrase_no, cand_no, bool_or(size < 0 or abs_pos < p) as bad from (select *, lag(abs_pos + size) over (partition by row_id, phrase_no, cand_no order by span_no) as p from s) group by 1, 2, 3)
         select c.row_id, c.phrase_no, c.cand_no, case when coalesce(len(positions), 0) = 0 then 'no spans' when bad then 'spans out of order' else 'more than one span' end as reason

@@ -5,14 +5,17 @@ Trees for the queries are made of each user's events: the event in place ``p`` h
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanloom.functions.let import let
 from spanloom.functions.packed import packed_items
 from spanloom.operators import graph as G
 from spanloom.operators import trees as T
-from spanloom.operators.candidates import mention_pairs, select_spans
-from spanloom.operators.extract import only, relation_evidence
+from spanloom.operators.candidates import concept_pairs, mention_pairs, select_spans
+from spanloom.operators.extract import relation_evidence
 from spanloom.operators.candidates import mentions as placed_mentions
 from spanloom.operators.relations import clean_path, collapse, path_nodes, passive_to_active, print_path, resolve_agent
 from spanloom.session import shared_path, spread, stored, table
@@ -25,18 +28,18 @@ SOME_RELATIONS = ["diagnoses", "treats", "isa", "causes", "part_of", "location_o
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Concepts of neighbouring mentions as evidence, the semantic type of the first as relation."""
+    """All concepts of neighbouring mentions as evidence, the semantic types of the first as relation."""
     u = table(spark, sf_dir, "utterances")
     spans = select_spans(u).join(u.select("row_id", "utt_id"), "row_id").where("utt_id is not null")
-    best = F.get("candidates", F.lit(0))
-    spans = spans.select("row_id", "utt_id", "begin", best["cui"].alias("cui"), F.coalesce(F.get(best["semtypes"], F.lit(0)), F.lit("none")).alias("kind"))
-    pairs = mention_pairs(spans, "row_id", "begin", ("utt_id", "cui", "kind")).where("cui_1 is not null and cui_2 is not null")
-    return pairs.select(F.col("cui_1").alias("src"), F.col("kind_1").alias("rel"), F.col("cui_2").alias("dst"), F.col("utt_id_1").alias("utt_id"))
+    pairs = concept_pairs(mention_pairs(spans, "row_id", "begin", ("utt_id", "candidates")), "candidates_1", "candidates_2")
+    kind = F.coalesce(F.array_join("concept_1.semtypes", ","), F.lit("none"))
+    rows = pairs.select(F.col("concept_1.cui").alias("src"), kind.alias("rel"), F.col("concept_2.cui").alias("dst"), F.col("utt_id_1").alias("utt_id"))
+    return rows.where("src is not null and dst is not null")
 
 
 def edge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = G.upsert_edges(evidence(spark, sf_dir))
-    return edges.withColumn("utt_ids", F.array_join("utt_ids", ","))
+    return edges.withColumn("utt_ids", F.array_join("utt_ids", ",")).drop("part")
 
 
 def edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +52,7 @@ def edge_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = evidence(spark, sf_dir)
     rows.write.parquet(source)
     stream_evidence(spark.readStream.schema(rows.schema).parquet(source), out, state).awaitTermination()
-    return current_edges(spark.read.parquet(out)).drop("utt_ids")
+    return current_edges(spark.read.parquet(out)).where("part = 0").drop("utt_ids", "part")
 
 
 def vertex_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,13 +69,20 @@ def relation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_relations(lines, "line", "DROPMALFORMED")
 
 
+def listed_relations(spark: SparkSession) -> DataFrame:
+    """The names of a whitelist file; a user's own is a parameter of ``G.whitelist``."""
+    path = shared_path(spark, "whitelist")
+    spark.createDataFrame([(r,) for r in SOME_RELATIONS], "rel string").write.text(path)
+    return G.whitelist(spark, path)
+
+
 def whitelist_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, _ = G.load_relations(relation_lines(spark, sf_dir), SOME_RELATIONS)
+    edges, _ = G.load_relations(relation_lines(spark, sf_dir), listed_relations(spark))
     return edges.select("src", "rel", "dst", F.array_join("utt_ids", ",").alias("utt_ids"), "edge_count")
 
 
 def whitelist_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.load_relations(relation_lines(spark, sf_dir), SOME_RELATIONS)[1].select("cui")
+    return G.load_relations(relation_lines(spark, sf_dir), listed_relations(spark))[1].select("cui")
 
 
 def unpacked_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +92,7 @@ def unpacked_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merge_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     merged = G.merge_edges(unpacked_edges(spark, sf_dir))
-    return merged.withColumn("utt_ids", F.array_join("utt_ids", ","))
+    return merged.withColumn("utt_ids", F.array_join("utt_ids", ",")).drop("part")
 
 
 def processed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,22 +141,29 @@ def subtree_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return above.groupBy("user_id", "position").agg(F.count("*").alias("n"))
 
 
-def pairs_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event with the one three places on, and the path between them."""
+def subtree_of_second(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per user the positions below the event in place 2."""
+    below = T.subtree(F.col("paths"), F.lit(2))
+    trees = event_trees(spark, sf_dir).select("user_id", F.array_join(F.transform(below, lambda p: p.cast("string")), ",").alias("positions"))
+    return trees.where("positions <> ''")
+
+
+def of_pairs(spark: SparkSession, sf_dir: str, value: Callable[[Column, Column], Column], name: str) -> DataFrame:
+    """``(user_id, a, name)``: ``value`` of the user's tokens and of the nodes on the path from every event ``a`` to the one three
+    places on. Worked out within the user's row, so tokens and root paths are not copied to the pairs."""
     trees = event_trees(spark, sf_dir).where(F.size("tokens") > 3)
-    pairs = trees.select("user_id", "tokens", "paths", F.explode(F.sequence(F.lit(1), F.size("tokens") - 3)).alias("a"))
-    one, two = F.col("a"), F.col("a") + 3
-    path = T.dependency_path(F.col("paths"), one, two, F.array(one), F.array(two))
-    return pairs.withColumn("path", path)
 
+    def pair(a: Column) -> Column:
+        path = T.dependency_path(F.col("paths"), a, a + 3, F.array(a), F.array(a + 3))
+        nodes = let(path, lambda p: path_nodes(F.col("tokens"), F.col("paths"), p))
+        return F.struct(a.alias("a"), let(nodes, lambda n: value(F.col("tokens"), n)).alias(name))
 
-def dep_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs_of_events(spark, sf_dir).select("user_id", "a", F.array_join(F.transform("path", lambda p: p.cast("string")), ",").alias("path"))
+    found = F.transform(F.sequence(F.lit(1), F.size("tokens") - 3), pair)
+    return trees.select("user_id", F.explode(found).alias("x")).select("user_id", "x.*")
 
 
-def event_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = pairs_of_events(spark, sf_dir)
-    return pairs.withColumn("nodes", path_nodes(F.col("tokens"), F.col("paths"), F.col("path")))
+def dep_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return of_pairs(spark, sf_dir, lambda _, nodes: F.array_join(F.transform(nodes, lambda n: n["position"].cast("string")), ","), "path")
 
 
 def show(nodes: Column) -> Column:
@@ -154,20 +171,23 @@ def show(nodes: Column) -> Column:
 
 
 def passive_active(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_paths(spark, sf_dir).select("user_id", "a", show(passive_to_active(F.col("nodes"))).alias("nodes"))
+    return of_pairs(spark, sf_dir, lambda _, nodes: show(passive_to_active(nodes)), "nodes")
 
 
 def agents_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_paths(spark, sf_dir).select("user_id", "a", show(resolve_agent(F.col("nodes"))).alias("nodes"))
+    return of_pairs(spark, sf_dir, lambda _, nodes: show(resolve_agent(nodes)), "nodes")
 
 
 def sequences_collapsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_paths(spark, sf_dir).select("user_id", "a", show(collapse(F.col("nodes"), "conj")).alias("nodes"))
+    return of_pairs(spark, sf_dir, lambda _, nodes: show(collapse(nodes, "conj")), "nodes")
 
 
 def relation_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = only(event_paths(spark, sf_dir), clean_path(F.col("nodes")), "done")
-    return done.select("user_id", "a", F.size("done").alias("n"), print_path(F.col("done"), F.col("tokens")).alias("rel"))
+    def label(tokens: Column, nodes: Column) -> Column:
+        said = lambda done: F.struct(F.size(done).alias("n"), print_path(done, tokens).alias("rel"))
+        return let(clean_path(nodes), lambda done: F.when(done.isNotNull(), said(done)))
+
+    return of_pairs(spark, sf_dir, label, "label").where("label is not null").select("user_id", "a", "label.n", "label.rel")
 
 
 def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +196,13 @@ def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nominal_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.nominal_relations(event_edges(spark, sf_dir), ["user_id"], subject="nsubj|.obj", preposition="prep|conj", object_="pobj|amod|appos", of="click")
+    return T.nominal_relations(event_edges(spark, sf_dir), ["user_id"], subject="nsubj|.obj", preposition="prep|conj", object_="conj|nsubjpass", of="click")
+
+
+def branching_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with a subject and an object below them, one of each for a match."""
+    template = T.Template("click|view|.*", (("nsubj", T.Template()), ("dobj", T.Template("[a-z].*"))))
+    return T.match_tree(event_edges(spark, sf_dir), ["user_id"], template)
 
 
 def tree_print(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,36 +235,37 @@ def extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     sentences = stored(texts.select("row_id", F.lit(0).alias("sent_no"), F.transform("words", token).alias("tokens")), "sentences")
     edges = G.upsert_edges(relation_evidence(found, sentences, "row_id"))
-    return edges.select("src", "rel", "dst", "edge_count")
+    return edges.where("part = 0").select("src", "rel", "dst", "edge_count")
 
 
 def xml_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "annotated_texts").select(F.concat_ws("#", "file_path", "rec_no").alias("_id"), "enhanced_by")
+    rows = table(spark, sf_dir, "annotated_texts").select(F.concat_ws("#", "file_path", "rec_no").alias("_id"), "text", "enhanced_by")
     path = shared_path(spark, "xml")
     write_xml(rows, path)
-    back = read_xml(spark, path, "_id string, enhanced_by array<string>")
-    return back.select(F.col("_id").alias("id"), F.coalesce(F.array_join("enhanced_by", ","), F.lit("")).alias("enhanced_by"))
+    back = read_xml(spark, path, "_id string, text string, enhanced_by array<string>")
+    return back.select(F.col("_id").alias("id"), "text", F.coalesce(F.array_join("enhanced_by", ","), F.lit("")).alias("enhanced_by"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         edge_upsert, edge_counts, edge_stream, vertex_first_wins, semtype_projection, whitelist_load, whitelist_vertices, merge_graphs, processed_ids,
-        unprocessed, vertex_lookup, out_neighbours, dep_depth, tree_roots, subtree_sizes, dep_path, passive_active, agents_resolved,
+        unprocessed, vertex_lookup, out_neighbours, dep_depth, tree_roots, subtree_sizes, subtree_of_second, branching_matches, dep_path, passive_active, agents_resolved,
         sequences_collapsed, relation_label, nominal_relations, tree_print, extraction, xml_roundtrip,
     )
 }
 
 
 def _sql() -> dict[str, str]:
-    from spanloom.functions.constants import SELECTED_SEMTYPES
+    from spanloom.functions.constants import LABEL_SEMTYPES, SELECTED_SEMTYPES
     from spanloom.plans.annotation import SPANS
     from spanloom.plans.preparation import ITEMS, PLAIN
 
     items = lambda name: f"list_filter(list_transform({ITEMS.format(name)}, lambda x: {PLAIN}), lambda x: x <> '')"
     listed = ", ".join(f"'{r}'" for r in SOME_RELATIONS)
     first = SPANS.replace("list(cui) as cuis", "list(cui order by cand_no) as cuis, list(semtypes order by cand_no) as kinds").replace("n, cuis from kept", "n, cuis, kinds, utt_id from kept")
-    evidence_sql = f"""with recursive {first}, m as (select row_id, utt_id, "begin", cuis[1] as cui, coalesce(kinds[1][1], 'none') as kind from chosen where utt_id is not null),
+    evidence_sql = f"""with recursive {first}, m as (select row_id, utt_id, "begin", c.cui as cui, coalesce(array_to_string(c.kind, ','), 'none') as kind from (
+            select row_id, utt_id, "begin", unnest(list_transform(range(1, len(cuis) + 1), lambda i: {{'cui': cuis[i], 'kind': kinds[i]}})) as c from chosen where utt_id is not null)),
         ev as (select distinct x.cui as src, x.kind as rel, y.cui as dst, x.utt_id from m x join m y on x.row_id = y.row_id and x."begin" < y."begin" where x.cui is not null and y.cui is not null)"""
     unpacked = f"u as (select src, rel, dst, edge_count, coalesce({items('utt_ids')}, []) as ids from edges)"
     tags = "['nsubj', 'dobj', 'prep', 'pobj', 'nsubjpass', 'conj', 'amod', 'agent', 'punct', 'appos']"
@@ -251,6 +278,29 @@ def _sql() -> dict[str, str]:
         union all select l.user_id, a, b, c, x.v, 1000 - x.d from lca l join up x on x.user_id = l.user_id and x.p = b and x.v >= c and (x.v = c or x.v <> a))"""
     nodes = f"""{path}, nd as (select pa.user_id, a, k, v, t.tag, t.head, row_number() over (partition by pa.user_id, a order by k) as i,
         min(case when t.tag = 'nsubjpass' then k end) over (partition by pa.user_id, a) as first from pa join t on t.user_id = pa.user_id and t.p = pa.v)"""
+
+    def agent_steps(source: str) -> str:
+        """The first agent of every path resolved, as ``agd``."""
+        return f"""ag as (select user_id, a, arg_min(v, k) as ag_by, arg_min(head, k) as verb_at from {source} where tag = 'agent' group by 1, 2),
+            fx as (select user_id, a, ag_by, verb_at, bool_or(v = verb_at) as verb, min(case when head = ag_by then k end) as obj, min(case when head = verb_at and tag = 'nsubj' then k end) as subj
+                from ag join {source} using (user_id, a) group by 1, 2, 3, 4),
+            agd as (select user_id, a, k, v, case when k = obj and verb then 'nsubj' when k = subj and verb then 'dobj' else tag end as tag, case when k = obj and verb then verb_at else head end as head,
+                row_number() over (partition by user_id, a order by k) as i from {source} left join fx using (user_id, a) where ag_by is null or v <> ag_by or obj is null)"""
+
+    def collapsed(name: str, source: str, label: str) -> str:
+        """Runs of ``label`` collapsed in the nodes of ``source`` (numbered by ``i``), as ``name``."""
+        node = "{'v': s.v, 'tag': s.tag, 'head': s.head, 'd': length(bin(s.v)) - 1}"
+        last, rest = "f.done[-1]", "f.done[1:len(f.done) - 1]"
+        inherited = "{'v': s.v, 'tag': f.done[-1].tag, 'head': f.done[-1].head, 'd': length(bin(s.v)) - 1}"
+        given = "{'v': f.done[-1].v, 'tag': s.tag, 'head': s.head, 'd': f.done[-1].d}"
+        return f"""{name}_f as (select user_id, a, i, [{node}] as done from {source} s where i = 1 union all select s.user_id, s.a, s.i,
+            case when s.tag = '{label}' then case when length(bin(s.v)) - 1 > {last}.d then list_append({rest}, {inherited}) when {last}.tag = '{label}' then f.done else list_append(f.done, {node}) end
+            when {last}.tag = '{label}' then list_append({rest}, {given}) else list_append(f.done, {node}) end
+            from {name}_f f join {source} s on s.user_id = f.user_id and s.a = f.a and s.i = f.i + 1),
+            {name} as (select user_id, a, generate_subscripts(done, 1) as i, unnest(done, recursive := true) from (select user_id, a, arg_max(done, i) as done from {name}_f group by 1, 2))"""
+
+    agents = f"{nodes}, {agent_steps('nd')}"
+    labels = "(" + ", ".join(f"'{s}'" for s in LABEL_SEMTYPES) + ")"
     return {
         "edge_upsert": evidence_sql + " select src, rel, dst, string_agg(utt_id, ',' order by utt_id) as utt_ids, count(*) as edge_count from ev group by 1, 2, 3",
         "edge_counts": evidence_sql + " select src, rel, dst, count(*) as edge_count from ev group by 1, 2, 3",
@@ -268,15 +318,33 @@ def _sql() -> dict[str, str]:
         "out_neighbours": f"select rel, dst, edge_id from edges where src = '{SOME_CUI}'",
         "dep_depth": f"with recursive {trees} select user_id, p as position, max(d)::int as depth from up group by 1, 2",
         "tree_roots": f"with recursive {trees} select user_id, count(*)::int as n_tokens, sum((head = 0)::int)::int as roots, 0::int as missing_heads, false as cycle from t group by 1",
+        "subtree_of_second": f"with recursive {trees} select user_id, string_agg(p::varchar, ',' order by p) as positions from up where v = 2 group by 1",
+        "branching_matches": f"""with recursive {trees} select n.user_id, n.p as p_0, x.p as p_1, y.p as p_2 from t n join t x on x.user_id = n.user_id and x.head = n.p and x.tag = 'nsubj'
+            join t y on y.user_id = n.user_id and y.head = n.p and y.tag = 'dobj'""",
+        "agents_resolved": f"{agents} select user_id, a, string_agg(v || ':' || tag || ':' || head, ' ' order by k) as nodes from agd group by 1, 2",
+        "sequences_collapsed": f"""{nodes}, {collapsed('cj', 'nd', 'conj')} select user_id, a, string_agg(v || ':' || tag || ':' || head, ' ' order by i) as nodes from cj group by 1, 2""",
+        "relation_label": f"""{nodes}, pas as (select user_id, a, k, v, head, case when k = first then 'dobj' else tag end as tag from nd), {agent_steps('pas')},
+            verb as (select user_id, a from nd where v % 7 in (1, 5) group by 1, 2), ok as (select agd.* from agd join verb using (user_id, a)),
+            {collapsed('cj', 'ok', 'conj')}, {collapsed('ap', 'cj', 'appos')},
+            kept as (select *, row_number() over (partition by user_id, a order by i) as j, count(*) over (partition by user_id, a) as n from ap where tag not in ('punct', 'hyph')),
+            ends as (select user_id, a, arg_min(v, k) as v1, arg_max(v, k) as v2 from ok group by 1, 2),
+            fine as (select k.* from kept k join ends using (user_id, a) join (select user_id, a from kept group by 1, 2 having max(n) <= 6 and bool_or(v % 7 in (1, 5))) using (user_id, a)
+                join (select user_id, a, arg_min(v, j) as f1, arg_max(v, j) as f2 from kept group by 1, 2) using (user_id, a) where v1 = f1 and v2 = f2),
+            near as (select f.user_id, f.a, f.v, '(' || string_agg(t.lemma, ' ' order by t.p) || ')' as words from fine f join t on t.user_id = f.user_id and t.head = f.v and t.tag in ('amod', 'nn', 'neg')
+                and t.p % 7 in (0, 1, 3, 4, 5, 6) and t.lemma not in {labels} where not exists (select 1 from fine g where g.user_id = f.user_id and g.a = f.a and g.v = t.p) group by 1, 2, 3),
+            said as (select f.*, t.lemma, case when lag(d) over (partition by f.user_id, f.a order by j) < d then ' <- ' else ' -> ' end as arrow, coalesce(words, '') as words
+                from fine f join t on t.user_id = f.user_id and t.p = f.v left join near on near.user_id = f.user_id and near.a = f.a and near.v = f.v)
+            select user_id, a, max(n)::int as n, string_agg(case when j = 1 then tag when j = n then arrow || tag else arrow || lemma || case when v % 7 in (1, 5) then ':VB' else '' end
+                || case when v % 7 in (0, 3, 6) then ':' || tag || words else '' end end, '' order by j) || case when max(n) = 1 then ' -> ' || any_value(tag) else '' end as rel from said group by 1, 2""",
         "subtree_sizes": f"with recursive {trees} select user_id, v as position, count(*) as n from up where v > 0 group by 1, 2",
         "dep_path": f"{path} select user_id, a, string_agg(v::varchar, ',' order by k) as path from pa group by 1, 2",
         "passive_active": f"""{nodes} select user_id, a, string_agg(v || ':' || case when k = first then 'dobj' else tag end || ':' || head, ' ' order by k) as nodes from nd group by 1, 2""",
         "nominal_relations": f"""with recursive {trees} select n.user_id, case when p.lemma = 'click' then o.p else p.p end as position, n.p as head, case when p.lemma = 'click' then 'A1' else 'AM' end as label
             from t n join t p on p.user_id = n.user_id and p.head = n.p join t o on o.user_id = p.user_id and o.head = p.p
-            where n.head > 0 and regexp_full_match(n.tag, 'nsubj|.obj') and p.tag in ('prep', 'conj') and o.tag in ('pobj', 'amod', 'appos')""",
+            where n.head > 0 and regexp_full_match(n.tag, 'nsubj|.obj') and p.tag in ('prep', 'conj') and o.tag in ('conj', 'nsubjpass')""",
         "tree_print": f"""with recursive {trees}, d as (select user_id, p, max(d) as d from up group by 1, 2)
             select user_id, string_agg(repeat(chr(9), (2 * d)::int) || head || ':' || tag || ':' || lemma || ':' || p, chr(10) order by p) as text from t join d using (user_id, p) group by 1""",
-        "xml_roundtrip": "select concat_ws('#', file_path, rec_no) as id, coalesce(array_to_string(enhanced_by, ','), '') as enhanced_by from annotated_texts",
+        "xml_roundtrip": "select concat_ws('#', file_path, rec_no) as id, text, coalesce(array_to_string(enhanced_by, ','), '') as enhanced_by from annotated_texts",
     }
 
 

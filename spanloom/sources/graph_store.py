@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERTICES = "cui string, semtypes string"
-EDGES = "src string, rel string, dst string, utt_ids array<string>, edge_count long"
+EDGES = "src string, rel string, dst string, part int, utt_ids array<string>, edge_count long"
 
 
 def _as(df: DataFrame, schema: str) -> DataFrame:
@@ -17,6 +17,7 @@ def write_graph(vertices: DataFrame, edges: DataFrame, path: str, override: bool
     """Write a graph; with ``override`` in place of one that is there, else it must not exist."""
     mode = "overwrite" if override else "errorifexists"
     _as(vertices, VERTICES).write.mode(mode).parquet(f"{path}/vertices")
+    edges = edges if "part" in edges.columns else edges.withColumn("part", F.lit(0))
     _as(edges, EDGES).write.mode(mode).parquet(f"{path}/edges")
 
 

@@ -130,3 +130,21 @@ def test_violations(spark):
     df = spark.createDataFrame(rows, "id int, spans array<struct<begin:int,end:int>>, w string")
     got = {r.id: r.reason for r in A.violations(df, single=True, word="w").collect()}
     assert got == {2: "no spans", 3: "spans out of order", 4: "more than one span", 5: "blank in token"}
+
+
+def test_hub_edges_are_parted(spark):
+    """An edge with a third of all evidence: no row holds more than about the bound, the parts together hold all ids once."""
+    ev = spark.range(3_000).select(F.when(F.col("id") % 3 == 0, "hub").otherwise(F.concat(F.lit("c"), F.col("id") % 50)).alias("src"), F.lit("r").alias("rel"), F.lit("x").alias("dst"), F.col("id").cast("string").alias("utt_id"))
+    ev = ev.unionByName(ev.limit(500))
+    rows = G.upsert_edges(ev, most_ids=100).collect()
+    hub = [r for r in rows if r.src == "hub"]
+    assert len(hub) == 10 and {r.part for r in hub} == set(range(10)) and all(r.edge_count == 1_000 and len(r.utt_ids) < 150 for r in hub)
+    assert sorted(i for r in hub for i in r.utt_ids) == sorted(str(i) for i in range(0, 3_000, 3)) and all(r.part == 0 for r in rows if r.src != "hub")
+    edges = G.upsert_edges(ev, most_ids=100)
+    merged = [r for r in G.merge_edges(edges.unionByName(edges), most_ids=100).collect() if r.src == "hub"]
+    assert len(merged) == 20 and all(r.edge_count == 2_000 for r in merged) and sorted(i for r in merged for i in r.utt_ids) == sorted(2 * [str(i) for i in range(0, 3_000, 3)])
+
+
+def test_whitelist(spark, tmp_path):
+    (tmp_path / "w.txt").write_text("treats\n\n isa \ntreats\n")
+    assert sorted(r.rel for r in G.whitelist(spark, str(tmp_path / "w.txt")).collect()) == ["isa", "treats"]

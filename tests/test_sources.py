@@ -178,7 +178,7 @@ def test_graph_store(spark, tmp_path):
     assert [d.count() for d in read_graph(spark, f"{tmp_path}/s1")] == [1, 1]
     vertices, edges = read_shards(spark, str(tmp_path))
     assert sorted((r.cui, r.shard) for r in vertices.collect()) == [("A", "s1"), ("A", "s2"), ("B", "s2")]
-    assert [tuple(r) for r in merge_edges(edges).collect()] == [("A", "r", "B", 2, ["u1", "u1"])]
+    assert [tuple(r) for r in merge_edges(edges).collect()] == [("A", "r", "B", 0, 2, ["u1", "u1"])]
 
 
 def test_stream(spark, tmp_path):
