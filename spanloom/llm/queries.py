@@ -140,21 +140,21 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_budgeted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares for twice the tokens that the targets allow: the exponent is bisected to what the repetition limits allow."""
+    """Shares for a tenth more tokens than the targets allow: the exponent is bisected to what the repetition limits allow."""
     targets = table(spark, sf_dir, "mix_targets")
     sizes = stored_sizes(token_sizes(table(spark, sf_dir, "documents"), targets))
     sources = listed_sources(sizes, targets)
-    plan = plan_mixture(sources, int(2 * plan_mixture(sources).size))
+    plan = plan_mixture(sources, int(1.1 * plan_mixture(sources).size))
     return planned_shares(stored(realised(sizes, sources, plan), "mixture"), targets, sources, plan)
 
 
 def p9_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shares of natural ones made more equal: as many tokens as there are, at 95 % of the entropy of equal shares at least."""
+    """Shares of natural ones made more equal: half as many tokens as there are, at 95 % of the entropy of equal shares at least."""
     targets = table(spark, sf_dir, "mix_targets")
     sizes = stored_sizes(token_sizes(table(spark, sf_dir, "documents"), targets))
     sources = listed_sources(sizes, targets)
     there = [s for s in sources if s.tokens]
-    plan = plan_temperature(sources, sum(s.tokens for s in there), 0.95 * log(max(1, len(there))))
+    plan = plan_temperature(sources, sum(s.tokens for s in there) // 2, 0.95 * log(max(1, len(there))))
     return planned_shares(stored(realised(sizes, sources, plan), "mixture"), targets, sources, plan)
 
 

@@ -4,7 +4,7 @@ from math import log
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.llm.mixing import Source, entropy, mixture, plan_mixture, reached_shares, temperature_shares, token_sizes
+from spanloom.llm.mixing import Source, entropy, listed_sources, mixture, plan_mixture, plan_temperature, planned_shares, reached_shares, realised, stored_sizes, token_sizes
 from spanloom.llm.sentences import sentences, split_sentences
 from spanloom.llm.tokenizer import PATTERN, VOCABULARY, Encoder, PerfectHash, encode_documents, merge_bytes, read_ranks
 from spanloom.llm.wordlists import word_list
@@ -95,6 +95,22 @@ def test_sentence_blocks_and_edges(spark):
     assert len(got) == 1 + 2 * len(split_sentences("A. B? C!")) and sentences(df.limit(0), "k").count() == 0
 
 
+@pytest.mark.parametrize("size", [5, 50, 500, 5_000])
+def test_nothing_depends_on_distance(size):
+    """The same ends however far apart what decides is: brackets, quotations, runs, kinds, attributions, Latin words."""
+    words = " ".join(f"w{i}" for i in range(size))
+    cut = lambda text: [text[a:b] for a, b in split_sentences(text)]
+    assert len(cut(f"He said (no. Really {words}) and left. Fine.")) == 2
+    assert len(cut(f"He said “no. Really {words}” and left. Fine.")) == 2
+    assert len(cut(f"Vitamin {' ' * size}A. Next one.")) == 2 and len(cut(f"{words} Mr. A. Next one.")) == 1
+    run = "กินข้าวแล้ว" * size
+    assert cut(f"{run}ครับ พรุ่งนี้{run}") == [f"{run}ครับ", f"พรุ่งนี้{run}"]
+    assert len(cut(f"他说：“{'很' * size}好。”医生说。")) == 1
+    assert len(cut("一二三。" + "x" * size + "的人来了。")) == 2
+    assert len(cut(f"Dose {words}; Next α {words}; Then.")) == 1
+    assert len(cut("A. " * size + "b")) == 1
+
+
 def test_sentences_lose_nothing():
     rng = random.Random(3)
     bits = ["word", "Dr.", "3.5", "etc.", "“", "”", "(", ")", ".", "!", "?", "。", "「", "」", "ไม่พบ", " ", " ", "\n", "\n\n", ":)", "😀", "...", "A.", "z."]
@@ -107,20 +123,38 @@ def test_sentences_lose_nothing():
 
 
 def test_temperature():
-    tokens = [900, 90, 10]
-    assert entropy(temperature_shares(tokens, 0.0)) == pytest.approx(entropy([0.9, 0.09, 0.01]))
-    assert entropy(temperature_shares(tokens, 0.8)) == pytest.approx(0.8, abs=1e-6)
-    assert temperature_shares(tokens, 2.0) == pytest.approx([1 / 3] * 3)
-    assert entropy([0.5, 0.5]) == pytest.approx(log(2)) and temperature_shares([], 1.0) == []
+    sources = [Source(name, tokens, 10, 0.1, 100) for name, tokens in zip("abc", (900, 90, 10))]
+    shares = lambda plan: [w / sum(plan.wanted.values()) for w in plan.wanted.values()]
+    assert shares(plan_temperature(sources, 1_000, 0.0)) == pytest.approx([0.9, 0.09, 0.01])
+    bisected = plan_temperature(sources, 1_000, 0.8)
+    assert entropy(shares(bisected)) == pytest.approx(0.8, abs=1e-6) and 0 < bisected.exponent < 1
+    assert shares(plan_temperature(sources, 1_000, 2.0)) == pytest.approx([1 / 3] * 3)
+    limited = [Source(s.name, s.tokens, 10, 0.1, 2) for s in sources]
+    plan = plan_temperature(limited, 1_000, 2.0)  # equal shares would use c more than twice
+    assert plan.exponent > 0 and plan.wanted["c"] == pytest.approx(20, rel=1e-6) and sum(plan.wanted.values()) == pytest.approx(1_000)
+    assert entropy([0.5, 0.5]) == pytest.approx(log(2)) and plan_temperature([], 1_000, 1.0).wanted == {}
 
 
 def test_plan():
     sources = [Source("a", 1000, 10, 0.5, 1), Source("b", 100, 10, 0.3, 2), Source("c", 0, 0, 0.2, 4)]
-    tilt, wanted = plan_mixture(sources)
-    assert tilt == 1.0 and wanted["b"] == pytest.approx(200) and wanted["a"] == pytest.approx(200 * 5 / 3) and wanted["c"] == 0
-    tilt, wanted = plan_mixture(sources, 1_000)
-    assert 0 < tilt < 1 and wanted["b"] <= 200 + 1e-6 and sum(wanted.values()) == pytest.approx(1_000)
-    assert plan_mixture([])[1] == {}
+    plan = plan_mixture(sources)
+    assert plan.exponent == 1.0 and plan.wanted["b"] == pytest.approx(200) and plan.wanted["a"] == pytest.approx(200 * 5 / 3) and plan.wanted["c"] == 0
+    plan = plan_mixture(sources, 1_000)
+    assert 0 < plan.exponent < 1 and plan.wanted["b"] <= 200 + 1e-6 and sum(plan.wanted.values()) == pytest.approx(1_000)
+    assert plan_mixture([]).wanted == {}
+
+
+def test_planned_and_reached_shares(spark):
+    """With a budget that the targets do not allow, shares reached are those of the bisected exponent, block by block."""
+    rng = random.Random(6)
+    sizes = spark.createDataFrame([(i, "abc"[min(2, i % 10)], rng.randint(1, 50)) for i in range(4_000)], "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("a", 0.4, 1), ("b", 0.4, 2), ("c", 0.2, 1)], "source string, target_share double, max_repeats int")
+    sizes = stored_sizes(sizes)
+    sources = listed_sources(sizes, targets)
+    for plan in (plan_mixture(sources, int(1.5 * plan_mixture(sources).size)), plan_temperature(sources, 40_000, 1.05)):
+        mixed = realised(sizes, sources, plan)
+        rows = {r.source: r for r in planned_shares(mixed, targets, sources, plan).collect()}
+        assert 0 < plan.exponent < 1 and all(r.exponent == plan.exponent and abs(r.reached_share - r.planned_share) < 3e-3 and r.most_uses <= r.max_repeats for r in rows.values())
 
 
 def test_mixture(spark):
