@@ -6,10 +6,11 @@ SELECTED_SEMTYPES = (
     "ffas gngm tisu clnd sbst aapp antb bacs bodm bdsu carb chvf chvs chem eico elii enzy food hops horm imft irda inch lipd nsba nnon "
     "orch opco phsu rcpt strd vita sosy amas blor bsoj crbs mosq nusq patf comd dsyn emod mobd neop inpo"
 ).split()
-# What the set for relation labels leaves out of the selected one and adds to it.
-LABEL_SEMTYPES = sorted(
-    set(SELECTED_SEMTYPES) - set("comd emod inpo mobd neop patf".split()) | set("anst drdd geoa medd mnob orgm phob resd spco".split())
-)
+# Semantic types that are no words of a relation label.
+LABEL_SEMTYPES = (
+    "aapp acab amas amph anab anim anst antb arch bacs bact bdsu bird blor bodm bpoc bsoj carb celc cell cgab chem chvf chvs clnd crbs drdd dsyn eico elii emst enzy euka ffas "
+    "fish fngs food geoa gngm hops horm humn imft inch irda lipd mamm medd mnob mosq nnon nsba nusq opco orch orgm phob phsu plnt rcpt rept resd sbst sosy spco strd tisu virs vita vtbt"
+).split()
 # Tag patterns, to be matched whole.
 VERB, NOUN, ADJECTIVE = "VB.*", "NN.*", "JJ.*"
 # Fixed value: an acronym, to be matched whole.

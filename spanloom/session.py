@@ -41,9 +41,19 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def application_dir(spark: SparkSession) -> str:
+    """The application's own folder in the shared one."""
+    return f"{shared_dir(spark)}/spanloom-{spark.sparkContext.applicationId}"
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the application's folder."""
+    return f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete everything the application has stored in the shared folder, once no result that reads it is needed any more."""
+    remove(spark, application_dir(spark))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -57,14 +67,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Splits of a table that is spread at most: what is shuffled for it is bounded, whatever the number of cores.
+MOST_SPREAD = 256
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many partitions as there are cores.
+    """``df`` over at least as many partitions as there are cores, if it has few.
 
-    For steps that cost much CPU per row: a table of few splits would leave cores idle. Large tables have more splits than
-    cores and pass unchanged, so what is shuffled here is at most one split per core.
+    For steps that cost much CPU per row: a table of few splits would leave cores idle. A table of more than ``MOST_SPREAD``
+    splits passes unchanged, so what is shuffled here is at most that many splits. Results are the same either way.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, MOST_SPREAD + 1) else df
 
 
 def remove(spark: SparkSession, path: str) -> None:
