@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.constants import SELECTED_SEMTYPES
+from spanloom.functions.let import let
 from spanloom.functions.spans import piece, relocate, resolve_overlaps
 from spanloom.functions.text import clean_text
 
@@ -45,23 +46,60 @@ def mention_text(text: Column) -> Column:
     return F.concat(F.replace(text, F.lit('""'), F.lit('"')), F.lit("."))
 
 
-def select_spans(utterances: DataFrame, key: str = "row_id") -> DataFrame:
-    """``(key, begin, end, candidates)`` of the spans chosen in each utterance, relative to its start.
+def chosen_spans(phrases: Column, start: Column, length: Column) -> Column:
+    """``(begin, end, candidates)`` of the spans chosen in an utterance, relative to its start, in order.
 
     Within a phrase the lowest score wins a position (ties stay), over phrases the last one, overlapping or adjacent
-    positions are resolved, and a position has to lie inside the utterance and to end before its end. One shuffle, by
-    utterance and position; the rest are folds over an utterance's own arrays. Utterances without phrases give nothing.
+    positions are resolved, and a position has to lie inside the utterance and to end before its end. Candidates without a
+    score do not count. An expression over the utterance's own arrays. Null phrases give null.
     """
-    best = last_phrase(best_in_phrase(candidate_positions(utterances, key), key), key)
-    cand = F.struct("cand_no", "score", "cui", "semtypes")
-    spots = best.groupBy(key, "begin", "size").agg(F.array_sort(F.collect_list(cand)).alias("candidates"))
-    grouped = spots.groupBy(key).agg(F.collect_list(F.struct("begin", "size", "candidates")).alias("spots"))
-    kept = grouped.withColumn("keys", resolve_overlaps(F.col("spots")))
-    chosen = F.filter("spots", lambda s: F.array_contains(F.col("keys"), F.struct(s["begin"].cast("int").alias("begin"), s["size"].cast("int").alias("size"))))
-    rows = kept.select(key, F.explode(chosen).alias("s")).join(utterances.select(key, "start_pos", "length"), key)
-    begin = F.col("s.begin") - F.col("start_pos")
-    rows = rows.select(key, begin.alias("begin"), (begin + F.col("s.size")).alias("end"), "length", F.col("s.candidates").alias("candidates"))
-    return rows.where("begin >= 0 and end > begin and end < length").drop("length")
+    def of_phrase(p: Column, phrase_no: Column) -> Column:
+        each = F.transform(p["candidates"], lambda c, cand_no: F.transform(c["positions"], lambda q: F.struct(
+            q["start_pos"].alias("begin"), q["length"].alias("size"), phrase_no.alias("phrase_no"),
+            F.struct(cand_no.alias("cand_no"), c["score"].alias("score"), c["cui"].alias("cui"), c["semtypes"].alias("semtypes")).alias("c"),
+        )))
+        return F.flatten(F.filter(each, lambda x: x.isNotNull()))
+
+    def best(spots: Column) -> Column:
+        last = F.array_max(F.transform(spots, lambda x: x["phrase_no"]))
+        own = let(last, lambda at: F.filter(spots, lambda x: x["phrase_no"] == at))
+        return let(own, lambda of: let(F.array_min(F.transform(of, lambda x: x["c"]["score"])), lambda least: F.transform(F.filter(of, lambda x: x["c"]["score"] == least), lambda x: x["c"])))
+
+    def span(key: Column, spots: Column) -> Column:
+        own = F.filter(spots, lambda x: (x["begin"] == key["begin"]) & (x["size"] == key["size"]))
+        begin = key["begin"] - start
+        return F.struct(begin.alias("begin"), (begin + key["size"]).alias("end"), F.array_sort(let(own, best)).alias("candidates"))
+
+    def chosen(spots: Column) -> Column:
+        keys = F.array_distinct(F.transform(spots, lambda x: F.struct(x["begin"].alias("begin"), x["size"].alias("size"))))
+        spans = F.transform(resolve_overlaps(keys), lambda key: span(key, spots))
+        return F.filter(spans, lambda s: (s["begin"] >= 0) & (s["end"] > s["begin"]) & (s["end"] < length))
+
+    spots = F.flatten(F.filter(F.transform(phrases, of_phrase), lambda x: x.isNotNull()))
+    return let(F.filter(spots, lambda x: x["c"]["score"].isNotNull() & x["begin"].isNotNull() & x["size"].isNotNull()), chosen)
+
+
+def once(df: DataFrame, value: Column, name: str, keep: list[Column | str]) -> DataFrame:
+    """``keep`` and ``value`` as ``name``, worked out once for each row: unfolded from an array of one, as the planner would put a
+    projection into every place that uses it."""
+    return df.select(*keep, F.explode(F.array(value)).alias(name))
+
+
+def with_chosen_spans(utterances: DataFrame, keep: list[Column | str]) -> DataFrame:
+    """``keep`` and ``spans``, the chosen ones of every utterance (an empty array if there are none)."""
+    none = F.expr("cast(array() as array<struct<begin:int,end:int,candidates:array<struct<cand_no:int,score:int,cui:string,semtypes:array<string>>>>>)")
+    return once(utterances, F.coalesce(chosen_spans(F.col("phrases"), F.col("start_pos"), F.col("length")), none), "spans", keep)
+
+
+def select_spans(utterances: DataFrame, key: str = "row_id") -> DataFrame:
+    """``(key, begin, end, candidates)`` of :func:`chosen_spans`, a row each. Narrow: nothing is shuffled."""
+    return with_chosen_spans(utterances, [key]).select(key, F.explode("spans").alias("s")).select(key, "s.*")
+
+
+def pairs_within(spans: Column) -> Column:
+    """``(one, two)`` of every two spans of an array the first of which begins before the second."""
+    behind = lambda x: F.filter(spans, lambda y: x["begin"] < y["begin"])
+    return F.flatten(F.transform(spans, lambda x: F.transform(behind(x), lambda y: F.struct(x.alias("one"), y.alias("two")))))
 
 
 def mentions(utterances: DataFrame, key: str = "row_id", strict: bool = False, on_miss: str = "drop_utterance") -> DataFrame:
@@ -69,27 +107,33 @@ def mentions(utterances: DataFrame, key: str = "row_id", strict: bool = False, o
 
     Utterances with one span only are left out. Spans are looked up in the cleaned text in order, each behind the start of
     the one before. A span stays if one of its candidates is allowed, with all its candidates (``strict``: with the allowed ones).
-    If one is not found, its utterance is left out (``on_miss="drop_utterance"``) or only the span (``"drop_mention"``).
+    If one is not found, its utterance is left out (``on_miss="drop_utterance"``) or only the span (``"drop_mention"``). Narrow:
+    an utterance is worked out within its row.
     """
-    spans = select_spans(utterances, key)
-    per = spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("begin", "end", "candidates"))).alias("spans")).where(F.size("spans") > 1)
-    both = per.join(utterances.select(key, mention_text(F.col("text")).alias("raw")), key).withColumn("text", clean_text(F.col("raw")))
-    wanted = F.transform("spans", lambda s: clean_text(piece(F.col("raw"), s["begin"], s["end"])))
-    both = both.withColumn("wanted", wanted).withColumn("places", relocate(F.col("text"), F.col("wanted")))
-    rows = both.select(key, "text", "places", F.posexplode(F.arrays_zip("spans", "wanted", "places")).alias("m_no", "m"))
-    keep = F.filter("m.spans.candidates", lambda c: allowed(c["semtypes"], F.col("m.wanted")))
-    rows = rows.withColumn("admitted", keep).where(F.size("admitted") > 0)
-    if on_miss == "drop_utterance":
-        rows = rows.withColumn("miss", F.min("m.places").over(Window.partitionBy(key)) < 0).where("not miss")
-    else:
-        rows = rows.where("m.places >= 0")
-    concepts = F.transform(F.col("admitted") if strict else F.col("m.spans.candidates"), lambda c: F.struct(
+    raw = mention_text(F.col("text"))
+    rows = with_chosen_spans(utterances, [key, raw.alias("raw")]).where(F.size("spans") > 1)
+    rows = once(rows, F.struct(F.col("raw"), clean_text(F.col("raw")).alias("text"), F.col("spans")), "u", [key])
+    wanted = F.transform("u.spans", lambda s: clean_text(piece(F.col("u.raw"), s["begin"], s["end"])))
+
+    def placed(words: Column, places: Column) -> Column:
+        def mention(s: Column, i: Column) -> Column:
+            admitted = F.filter(s["candidates"], lambda c: allowed(c["semtypes"], F.get(words, i)))
+            return F.struct(i.alias("m_no"), F.get(words, i).alias("wanted"), F.get(places, i).alias("place"), s["candidates"].alias("candidates"), admitted.alias("admitted"))
+
+        found = F.filter(F.transform("u.spans", mention), lambda m: F.size(m["admitted"]) > 0)
+        if on_miss == "drop_utterance":
+            return let(found, lambda known: F.when(~F.exists(known, lambda m: m["place"] < 0), known))
+        return F.filter(found, lambda m: m["place"] >= 0)
+
+    both = let(wanted, lambda words: let(relocate(F.col("u.text"), words), lambda places: placed(words, places)))
+    rows = rows.select(key, F.col("u.text").alias("text"), F.explode(both).alias("m"))
+    concepts = F.transform("m.admitted" if strict else "m.candidates", lambda c: F.struct(
         F.lit("UMLS").alias("source"), c["cui"].alias("concept_id"), F.col("m.wanted").alias("preferred_label"),
         F.array(F.col("m.wanted")).alias("synonyms"), c["semtypes"].alias("semtypes"), c["score"].cast("double").alias("score"),
     ))
-    begin = F.col("m.places")
+    begin = F.col("m.place")
     return rows.select(
-        key, "text", "m_no", begin.alias("begin"), (begin + F.length("m.wanted")).alias("end"), F.col("m.wanted").alias("covered_text"), concepts.alias("concepts")
+        key, "text", "m.m_no", begin.alias("begin"), (begin + F.length("m.wanted")).alias("end"), F.col("m.wanted").alias("covered_text"), concepts.alias("concepts")
     )
 
 

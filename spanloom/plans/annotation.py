@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.functions.spans import begin_of, covered_text, contains, end_of, resolve_overlaps
+from spanloom.functions import render as R
+from spanloom.functions.spans import all_within, begin_of, between, contains, covered_text, end_of, resolve_overlaps
 from spanloom.functions.text import clean_text
 from spanloom.operators import annotations as A
 from spanloom.operators import candidates as C
 from spanloom.functions.constants import ACRONYM
 from spanloom.operators import store as S
-from spanloom.operators.pipeline import as_documents, batches, full_pipeline
+from spanloom.operators.pipeline import as_documents, batches, counted, full_pipeline
 from spanloom.session import shared_path, spread, stored, table
-from spanloom.sources.annotation_xml import documents_xml, read_documents_xml
+from spanloom.sources.annotation_xml import documents_xml, read_documents_xml, write_document_files, written_ids
+from spanloom.sources.text import document_xml, read_blank_line_documents, read_xml
 
 
 def clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,18 +163,24 @@ def mentions_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def multi_span_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.select_spans(table(spark, sf_dir, "utterances")).groupBy("row_id").agg(F.count("*").alias("n")).where("n > 1")
+    spans = C.with_chosen_spans(table(spark, sf_dir, "utterances"), ["row_id"])
+    return spans.select("row_id", F.size("spans").cast("bigint").alias("n")).where("n > 1")
+
+
+def span_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two chosen spans of an utterance in order, made within its row."""
+    spans = C.with_chosen_spans(table(spark, sf_dir, "utterances"), ["row_id", "utt_id"])
+    return spans.select("row_id", "utt_id", F.explode(C.pairs_within(F.col("spans"))).alias("p"))
 
 
 def mention_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = C.select_spans(table(spark, sf_dir, "utterances"))
-    return C.mention_pairs(spans, "row_id", "begin", ("end",))
+    ends = [F.col(f"p.{x}.{c}").alias(f"{c}_{i}") for i, x in ((1, "one"), (2, "two")) for c in ("begin", "end")]
+    return span_pairs(spark, sf_dir).select("row_id", *ends)
 
 
 def concept_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = C.select_spans(table(spark, sf_dir, "utterances")).withColumn("concepts", F.transform("candidates", lambda c: c["cui"]))
-    pairs = C.concept_pairs(C.mention_pairs(spans, "row_id", "begin", ("concepts",)))
-    return pairs.groupBy("concept_1", "concept_2").agg(F.count("*").alias("n"))
+    cuis = span_pairs(spark, sf_dir).select(F.col("p.one.candidates.cui").alias("concepts_1"), F.col("p.two.candidates.cui").alias("concepts_2"))
+    return C.concept_pairs(cuis).groupBy("concept_1", "concept_2").agg(F.count("*").alias("n"))
 
 
 def pipeline_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,6 +194,34 @@ def pipeline_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.col("id").cast("bigint").alias("doc_id"), F.greatest(count("tokens"), F.lit(0)).alias("n_tokens"), F.greatest(count("mentions"), F.lit(0)).alias("n_mentions"))
 
 
+def mention_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The selector: concepts above a score, mentions of one span that still have one, and of those no one inside another."""
+    score = (-F.col("score") / 1000.0).alias("score")
+    concept = F.struct(F.col("cui").alias("concept_id"), F.lit("UMLS").alias("source"), score)
+    seq = F.struct("phrase_no", "cand_no").alias("seq")
+    m = candidate_spans(spark, sf_dir).select("row_id", seq, "spans", F.array(concept).alias("concepts"))
+    kept = A.select_concepts(m, 0.85).select("row_id", "seq", "concepts", begin_of(F.col("spans")).alias("begin"), end_of(F.col("spans")).alias("end"))
+    return A.suppress_contained(kept, "row_id", "seq").select("row_id", "seq.*", "begin", "end")
+
+
+def candidates_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that begin and end within the first forty characters, and whether all their spans lie there."""
+    c = candidate_spans(spark, sf_dir).where(F.size("spans") > 0)
+    spans = F.col("spans")
+    inside = c.where(between(begin_of(spans), end_of(spans), F.lit(0), F.lit(40)))
+    return inside.select("row_id", "phrase_no", "cand_no", all_within(spans, F.lit(0), F.lit(40)).alias("all_inside"))
+
+
+def shown_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates as they are printed: their text, their first span, their concept."""
+    c = candidate_spans(spark, sf_dir).where((F.size("spans") > 0) & F.col("text").isNotNull() & F.col("cui").isNotNull())
+    concept = F.struct(F.col("cui").alias("concept_id"), F.col("cui").alias("preferred_label"), F.lit("UMLS").alias("source"))
+    return c.select(
+        "row_id", "phrase_no", "cand_no", R.show_annotation("Mention", covered_text(F.col("text"), F.col("spans"))).alias("shown"),
+        R.show_span(F.get("spans", F.lit(0))).alias("span"), R.show_concept(concept).alias("concept"),
+    )
+
+
 #: Supertypes of the annotations that the store queries make.
 PARENTS = {"Acronym": "Mention", "Mention": "Entity"}
 
@@ -230,13 +266,38 @@ def annotation_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.listings(back).groupBy("doc_id", "listed_as").agg(F.count("*").alias("n"), F.sum(end_of(F.col("spans")) - begin_of(F.col("spans"))).alias("n_chars"))
 
 
+def blank_line_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of nations by region, written as documents parted by blank lines and read back."""
+    n = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list("n_name")), "\n").alias("text"))
+    path = shared_path(spark, "blank-lines")
+    n.select(F.concat("text", F.lit("\n"))).write.text(path)
+    return read_blank_line_documents(spark, f"{path}/*.txt").select("text")
+
+
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as one XML file each, read back; only those whose file is listed."""
+    folder = shared_path(spark, "document-files")
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"))
+    write_document_files(rows.select("id", document_xml({"_id": F.col("id"), "name": F.col("name")}).alias("xml")), folder)
+    back = read_xml(spark, f"{folder}/*.xml", "_id string, name string").withColumnRenamed("_id", "id")
+    return back.join(written_ids(spark, folder), "id", "left_semi")
+
+
+def counted_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters kept beside a job over all orders."""
+    rows, seen = counted(table(spark, sf_dir, "orders"), "orders", urgent=F.sum((F.col("o_orderpriority") == "1-URGENT").cast("bigint")))
+    rows.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["rows"], seen.get["urgent"])], "rows bigint, urgent bigint")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         clean_texts, sections, tokens, acronym_tokens, acronyms_uncovered, covered_texts, containing_candidates, token_containment, noun_gate,
         dedup_annotations, mention_merge, chunk_islands, containment_suppression, score_threshold, span_violations, best_candidates,
         last_phrase_wins, overlap_resolution, bounds_filter, candidate_filter, selected_spans, mentions_placed, multi_span_utterances,
-        mention_pairs, concept_cross, pipeline_resume, annotation_listings, mentions_of_type, section_sentences, document_batches, annotation_xml,
+        mention_pairs, concept_cross, pipeline_resume, mention_selection, candidates_within, shown_annotations, annotation_listings, mentions_of_type, section_sentences, document_batches, annotation_xml, blank_line_documents,
+        document_files, counted_rows,
     )
 }
 
@@ -269,23 +330,33 @@ SPANS = f"""{BEST}, spots as (select row_id, abs_pos as b, size as z, count(*) a
     chosen as (select k.row_id, k.b - u.start_pos as "begin", k.b - u.start_pos + k.z as "end", n, cuis from kept k join spots using (row_id, b, z) join utterances u using (row_id)
     where k.b >= u.start_pos and k.z > 0 and k.b - u.start_pos + k.z < u.length)"""
 
-KINDS = SPANS.replace("list(cui) as cuis", "list(cui) as cuis, list(semtypes) as kinds").replace("n, cuis from kept", "n, kinds, text from kept")
+KINDS = SPANS.replace("list(cui) as cuis", "list(cui) as cuis, list(semtypes) as kinds").replace("n, cuis from kept", "n, cuis, kinds, text from kept")
 ALLOWED = f"""len(list_filter(kinds, lambda s: len(list_intersect(s, {C.SELECTED_SEMTYPES!r})) > 0 and len(wanted) >= 2 and case when list_contains(s, 'gngm')
     then not regexp_full_match(wanted, '[A-Z]?[a-z]+') and lower(wanted) <> 'ii' else not starts_with(wanted, 'level') end)) > 0"""
 PLACED = f"""with recursive {KINDS}, r as (select *, replace(text, '""', '"') || '.' as raw, row_number() over (partition by row_id order by "begin") as i,
     count(*) over (partition by row_id) as k from chosen where text is not null),
-    w as (select row_id, i, n, kinds, {CLEAN.format("raw")} as clean, {CLEAN.format('substring(raw, "begin" + 1, "end" - "begin")')} as wanted from r where k > 1),
+    w as (select row_id, i, n, cuis, kinds, {CLEAN.format("raw")} as clean, {CLEAN.format('substring(raw, "begin" + 1, "end" - "begin")')} as wanted from r where k > 1),
     pl as (select row_id, i, instr(clean, wanted) - 1 as place from w where i = 1 union all select w.row_id, w.i, case when wanted = '' then 0
     when instr(substring(clean, place + 2), wanted) = 0 then -1 else place + instr(substring(clean, place + 2), wanted) end from pl join w on w.row_id = pl.row_id and w.i = pl.i + 1),
-    m as (select w.*, place, min(place) over (partition by w.row_id) as least from w join pl using (row_id, i) where {ALLOWED})
-    select row_id, (i - 1)::int as m_no, place::int as "begin", (place + len(wanted))::int as "end", wanted as covered_text, n::int as n from m where least >= 0"""
+    m as (select w.*, place, min(place) over (partition by w.row_id) as least from w join pl using (row_id, i) where {ALLOWED})"""
 NOT_NOUN = ["^[0-9.,%]+$", "(?:ed|ing|izes|uces)$", "(?:ous|al|ive|ic)$", "^(?i:the|a|an|of|in|by|with|for|to)$"]
 
 SQL = {
-    "mentions_placed": PLACED,
+    "mentions_placed": PLACED + """ select row_id, (i - 1)::int as m_no, place::int as "begin", (place + len(wanted))::int as "end", wanted as covered_text, n::int as n from m where least >= 0""",
     "pipeline_resume": TOKENS.format(key="doc_id", table=f"(select doc_id, {CLEAN.format('text')} as text from documents)")
     + f""", c as (select doc_id, count(*) as n_tokens, sum((regexp_full_match(covered_text, '{ACRONYM}') and not regexp_matches(covered_text, '{"|".join(NOT_NOUN)}'))::int) as n_mentions
         from t where covered_text <> '' group by 1) select doc_id, coalesce(n_tokens, 0)::int as n_tokens, coalesce(n_mentions, 0)::int as n_mentions from documents left join c using (doc_id)""",
+    "mention_selection": f"""with {CANDS}, o as (select row_id, phrase_no, cand_no, b, e from (select *, count(*) over (partition by row_id, phrase_no, cand_no) as k from s) where k = 1 and -score / 1000.0 > 0.85)
+        select row_id, phrase_no, cand_no, b as "begin", e as "end" from o m where not exists (select 1 from o where o.row_id = m.row_id
+        and o.b <= m.b and o.e >= m.e and (o.e - o.b > m.e - m.b or (o.e - o.b = m.e - m.b and (o.phrase_no, o.cand_no) < (m.phrase_no, m.cand_no))))""",
+    "candidates_within": f"""with {CANDS} select row_id, phrase_no, cand_no, bool_and(b >= 0 and e <= 40) as all_inside from s group by 1, 2, 3
+        having arg_min(b, span_no) >= 0 and arg_max(e, span_no) <= 40""",
+    "shown_annotations": f"""with {CANDS} select row_id, phrase_no, cand_no, 'Mention[' || {COVERED} || ']' as shown,
+        '[' || (positions[1].start_pos - start_pos) || ',' || (positions[1].start_pos - start_pos + positions[1].length) || ')' as span, cui || '-' || cui || '[UMLS]' as concept
+        from c where len(positions) > 0 and text is not null and cui is not null""",
+    "blank_line_documents": "select string_agg(n_name, chr(10) order by n_name) as text from nation group by n_regionkey",
+    "document_files": "select s_suppkey::varchar as id, s_name as name from supplier",
+    "counted_rows": "select count(*) as rows, sum((o_orderpriority = '1-URGENT')::int)::bigint as urgent from orders",
     "annotation_listings": DOCS + f""", x as (select doc_id, 'Section' as listed_as, "begin", "end" from l union all
         select doc_id, unnest(['Acronym', 'Mention', 'Entity']), "begin", "end" from t where regexp_full_match(covered_text, '{ACRONYM}'))
         select doc_id::varchar as doc_id, listed_as, count(*) as n from x where "begin" >= 0 and "end" <= 200 group by 1, 2""",

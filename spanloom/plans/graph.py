@@ -10,30 +10,34 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanloom.functions import render as R
 from spanloom.functions.let import let
 from spanloom.functions.packed import packed_items
 from spanloom.operators import graph as G
 from spanloom.operators import trees as T
-from spanloom.operators.candidates import concept_pairs, mention_pairs, select_spans
+from spanloom.operators.candidates import concept_pairs
 from spanloom.operators.extract import relation_evidence
 from spanloom.operators.candidates import mentions as placed_mentions
 from spanloom.operators.relations import clean_path, collapse, path_nodes, passive_to_active, print_path, resolve_agent
+from spanloom.plans.annotation import span_pairs
 from spanloom.session import shared_path, spread, stored, table
+from spanloom.sources.graph_store import read_shards, write_graph
 from spanloom.sources.text import read_xml, split_relations, write_xml
 from spanloom.streaming.graph import current_edges, stream_evidence
 
 #: The vertex looked up by the point queries.
 SOME_CUI = "C0017873"
+#: What the extraction query takes for a verb.
+VERB_LIKE = "^(?:[a-z]+(?:ed|es|ts|ds|rs|ise|bind)|was|were|cause)$"
 SOME_RELATIONS = ["diagnoses", "treats", "isa", "causes", "part_of", "location_of"]
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All concepts of neighbouring mentions as evidence, the semantic types of the first as relation."""
-    u = table(spark, sf_dir, "utterances")
-    spans = select_spans(u).join(u.select("row_id", "utt_id"), "row_id").where("utt_id is not null")
-    pairs = concept_pairs(mention_pairs(spans, "row_id", "begin", ("utt_id", "candidates")), "candidates_1", "candidates_2")
+    """All concepts of neighbouring mentions as evidence, the semantic types of the first as relation. Narrow."""
+    pairs = span_pairs(spark, sf_dir).where("utt_id is not null").select("utt_id", F.col("p.one.candidates").alias("ones"), F.col("p.two.candidates").alias("twos"))
+    both = concept_pairs(pairs, "ones", "twos")
     kind = F.coalesce(F.array_join("concept_1.semtypes", ","), F.lit("none"))
-    rows = pairs.select(F.col("concept_1.cui").alias("src"), kind.alias("rel"), F.col("concept_2.cui").alias("dst"), F.col("utt_id_1").alias("utt_id"))
+    rows = both.select(F.col("concept_1.cui").alias("src"), kind.alias("rel"), F.col("concept_2.cui").alias("dst"), "utt_id")
     return rows.where("src is not null and dst is not null")
 
 
@@ -190,6 +194,49 @@ def relation_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of_pairs(spark, sf_dir, label, "label").where("label is not null").select("user_id", "a", "label.n", "label.rel")
 
 
+def node_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tokens of a user's tree as the tokens of one node."""
+    return event_trees(spark, sf_dir).select("user_id", R.node_label(F.col("tokens")).alias("label"), R.show_node(F.slice("tokens", 1, 2)).alias("node"))
+
+
+def first_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per tree the first preposition and the token in place 3, and how many words meet a node when one word less than nodes is given."""
+    tokens = F.col("tokens")
+    words = F.transform(F.slice(tokens, F.lit(1), F.size(tokens) - 1), lambda t: t["lemma"])
+    zipped = T.zip_nodes(words, tokens)
+    return event_trees(spark, sf_dir).select(
+        "user_id", T.find(tokens, lambda t: t["dep_tag"] == "prep")["position"].alias("prep"), T.node_of(tokens, 3)["lemma"].alias("third"),
+        F.size(zipped).alias("n"), F.size(F.filter(zipped, lambda z: z["word"] == z["node"]["lemma"])).alias("alike"),
+    )
+
+
+def with_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees in which every subject has the role A0 of its head."""
+    subjects = F.filter("tokens", lambda t: (t["dep_tag"] == "nsubj") & (t["depends_on"] > 0))
+    roles = F.transform(subjects, lambda t: F.struct(t["position"].alias("position"), t["depends_on"].alias("head"), F.lit("A0").alias("label")))
+    return event_trees(spark, sf_dir).withColumn("roles", roles).where(F.size("roles") > 0)
+
+
+def roles_printed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_roles(spark, sf_dir).select("user_id", T.print_roles(F.col("tokens"), F.col("paths"), F.col("roles")).alias("roles"))
+
+
+def role_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    triples = T.role_triples(F.col("tokens"), F.col("paths"), F.col("roles"))
+    return with_roles(spark, sf_dir).select("user_id", F.explode(triples).alias("x")).select("user_id", "x.*")
+
+
+def graph_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges written as two graphs, read back as shards and merged."""
+    folder = shared_path(spark, "graphs")
+    vertices, edges = table(spark, sf_dir, "vertices"), unpacked_edges(spark, sf_dir)
+    for half in (0, 1):
+        own = lambda df: df.where(F.pmod(F.coalesce("shard", F.lit(0)), F.lit(2)) == half)  # noqa: B023, E731
+        write_graph(own(vertices), own(edges), f"{folder}/g{half}")
+    merged = G.merge_edges(read_shards(spark, folder)[1])
+    return merged.withColumn("utt_ids", F.array_join("utt_ids", ",")).drop("part")
+
+
 def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = event_trees(spark, sf_dir).select("user_id", F.explode("tokens").alias("t"))
     return t.select("user_id", "t.position", F.col("t.depends_on").alias("head"), "t.dep_tag", "t.lemma")
@@ -214,7 +261,7 @@ def extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spread(stored(placed_mentions(table(spark, sf_dir, "utterances")), "mentions"))
     words = F.filter(F.split(F.col("text"), " "), lambda w: w != "")
     texts = found.select("row_id", "text").distinct()
-    verb = lambda w: w.rlike("^(?:[a-z]+(?:ed|es|ts|ds|rs|ise|bind)|was|were|cause)$")
+    verb = lambda w: w.rlike(VERB_LIKE)
     at = F.coalesce(F.array_position(F.transform("words", verb), True), F.lit(0)).cast("int")
     texts = texts.withColumn("words", words).withColumn("verb", F.when(at > 0, at).otherwise(1))
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<begin:int,end:int>>)").alias("found"))
@@ -250,7 +297,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         edge_upsert, edge_counts, edge_stream, vertex_first_wins, semtype_projection, whitelist_load, whitelist_vertices, merge_graphs, processed_ids,
-        unprocessed, vertex_lookup, out_neighbours, dep_depth, tree_roots, subtree_sizes, subtree_of_second, branching_matches, dep_path, passive_active, agents_resolved,
+        unprocessed, vertex_lookup, out_neighbours, dep_depth, tree_roots, subtree_sizes, subtree_of_second, branching_matches, node_labels, first_nodes, roles_printed, role_triples, graph_roundtrip, dep_path, passive_active, agents_resolved,
         sequences_collapsed, relation_label, nominal_relations, tree_print, extraction, xml_roundtrip,
     )
 }
@@ -258,7 +305,7 @@ QUERIES = {
 
 def _sql() -> dict[str, str]:
     from spanloom.functions.constants import LABEL_SEMTYPES, SELECTED_SEMTYPES
-    from spanloom.plans.annotation import SPANS
+    from spanloom.plans.annotation import PLACED, SPANS
     from spanloom.plans.preparation import ITEMS, PLAIN
 
     items = lambda name: f"list_filter(list_transform({ITEMS.format(name)}, lambda x: {PLAIN}), lambda x: x <> '')"
@@ -299,6 +346,9 @@ def _sql() -> dict[str, str]:
             from {name}_f f join {source} s on s.user_id = f.user_id and s.a = f.a and s.i = f.i + 1),
             {name} as (select user_id, a, generate_subscripts(done, 1) as i, unnest(done, recursive := true) from (select user_id, a, arg_max(done, i) as done from {name}_f group by 1, 2))"""
 
+    merged = f"""with {unpacked}, i as (select src, rel, dst, string_agg(x, ',' order by x) as utt_ids from (select src, rel, dst, unnest(ids) as x from u where src <> dst) group by 1, 2, 3)
+            select src, rel, dst, sum(coalesce(edge_count, 0))::bigint as edge_count, coalesce(any_value(utt_ids), '') as utt_ids from u left join i using (src, rel, dst) where src <> dst group by 1, 2, 3"""
+    below = "below as (select user_id, v, string_agg(t.lemma, ' ' order by up.p) as words from up join t using (user_id, p) group by 1, 2)"
     agents = f"{nodes}, {agent_steps('nd')}"
     labels = "(" + ", ".join(f"'{s}'" for s in LABEL_SEMTYPES) + ")"
     return {
@@ -310,8 +360,14 @@ def _sql() -> dict[str, str]:
             lambda x: list_contains({SELECTED_SEMTYPES!r}, x)))), ','), '') end as semtypes from vertices""",
         "whitelist_load": f"select src, rel, dst, 'umls' as utt_ids, 1::int as edge_count from edges where rel in ({listed}) and src is not null and dst is not null",
         "whitelist_vertices": f"select src as cui from edges where rel in ({listed}) and src is not null and dst is not null union select dst from edges where rel in ({listed}) and src is not null and dst is not null",
-        "merge_graphs": f"""with {unpacked}, i as (select src, rel, dst, string_agg(x, ',' order by x) as utt_ids from (select src, rel, dst, unnest(ids) as x from u where src <> dst) group by 1, 2, 3)
-            select src, rel, dst, sum(coalesce(edge_count, 0))::bigint as edge_count, coalesce(any_value(utt_ids), '') as utt_ids from u left join i using (src, rel, dst) where src <> dst group by 1, 2, 3""",
+        "merge_graphs": merged,
+        "graph_roundtrip": merged,
+        "node_labels": f"with recursive {trees} select user_id, string_agg(lemma, ' ' order by p) as label, 'DepNode[' || string_agg(lemma, ' ' order by p) filter (p <= 2) || ']' as node from t group by 1",
+        "first_nodes": f"""with recursive {trees} select user_id, min(p) filter (tag = 'prep') as prep, any_value(lemma) filter (p = 3) as third, (count(*) - 1)::int as n, (count(*) - 1)::int as alike from t group by 1""",
+        "roles_printed": f"""with recursive {trees}, {below} select x.user_id, string_agg('A0(' || h.lemma || ',' || words || ')', chr(9) order by x.p) as roles from t x join t h on h.user_id = x.user_id and h.p = x.head
+            join below b on b.user_id = x.user_id and b.v = x.p where x.tag = 'nsubj' and x.head > 0 group by 1""",
+        "role_triples": f"""with recursive {trees}, {below} select x.user_id, 'A0' as label, h.lemma as predicate, x.head as predicate_at, words as argument, x.p as argument_at from t x
+            join t h on h.user_id = x.user_id and h.p = x.head join below b on b.user_id = x.user_id and b.v = x.p where x.tag = 'nsubj' and x.head > 0""",
         "processed_ids": f"with {unpacked} select distinct unnest(ids) as utt_id from u",
         "unprocessed": f"with {unpacked}, p as (select distinct unnest(ids) as utt_id from u) select row_id, utt_id from utterances x where utt_id is not null and not exists (select 1 from p where p.utt_id = x.utt_id)",
         "vertex_lookup": f"select cui, semtypes from vertices where cui = '{SOME_CUI}' order by updated_at, vertex_id limit 1",
@@ -344,6 +400,18 @@ def _sql() -> dict[str, str]:
             where n.head > 0 and regexp_full_match(n.tag, 'nsubj|.obj') and p.tag in ('prep', 'conj') and o.tag in ('conj', 'nsubjpass')""",
         "tree_print": f"""with recursive {trees}, d as (select user_id, p, max(d) as d from up group by 1, 2)
             select user_id, string_agg(repeat(chr(9), (2 * d)::int) || head || ':' || tag || ':' || lemma || ':' || p, chr(10) order by p) as text from t join d using (user_id, p) group by 1""",
+        "extraction": PLACED + f""", txt as (select distinct row_id, clean as text from m where least >= 0),
+            w0 as (select row_id, p, i, coalesce(sum(len(p) + 1) over (partition by row_id order by i rows between unbounded preceding and 1 preceding), 0)::int as b from (
+                select row_id, unnest(string_split(text, ' ')) as p, unnest(range(1, len(string_split(text, ' ')) + 1))::int as i from txt)),
+            tok as (select row_id, p, b as tb, b + len(p) as te, row_number() over (partition by row_id order by i) as pos from w0 where p <> ''),
+            vb as (select row_id, coalesce(min(pos) filter (regexp_matches(p, '{VERB_LIKE}')), 1) as v from tok group by 1),
+            vl as (select row_id, v, lower(rtrim(p, '.,')) || ':VB' as said from tok join vb using (row_id) where pos = v),
+            own as (select m.row_id, i, place, cuis, said, v, case when bool_or(pos = v) then v else min(pos) end as top from m join vl using (row_id)
+                join tok on tok.row_id = m.row_id and tb >= place and te <= place + len(wanted) where least >= 0 group by 1, 2, 3, 4, 5, 6 having bool_or(pos <> v)),
+            pr as (select x.row_id, case when x.top = x.v then 'root' else case when x.top < x.v then 'nsubj' else 'dobj' end || ' -> ' || case when y.top = y.v then 'root' else x.said end end
+                || case when y.top = y.v then '' when y.top < y.v then ' <- nsubj' else ' <- dobj' end as rel, x.cuis as ones, y.cuis as twos from own x join own y on x.row_id = y.row_id and x.place < y.place),
+            c1 as (select row_id, rel, unnest(ones) as src, twos from pr), ev as (select distinct row_id, rel, src, unnest(twos) as dst from c1)
+            select src, rel, dst, count(*) as edge_count from ev group by 1, 2, 3""",
         "xml_roundtrip": "select concat_ws('#', file_path, rec_no) as id, text, coalesce(array_to_string(enhanced_by, ','), '') as enhanced_by from annotated_texts",
     }
 

@@ -9,7 +9,7 @@ from spanloom.functions.text import clean_text
 from spanloom.operators.compact import Policy, compact_directory, compact_records, first_deliveries, read_table, small_file_partitions, vacuum
 from spanloom.operators.packed import explode_packed
 from spanloom.session import shared_path, table
-from spanloom.sources.mmo import load_records, rejected_records
+from spanloom.sources.mmo import load_records, read_machine_output, record_id, rejected_records
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,19 @@ def p2_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_records(table(spark, sf_dir, "mmo_records"), with_mappings=True)
 
 
+def record_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheap id test of every raw record."""
+    return table(spark, sf_dir, "mmo_records").select("record_id", record_id(F.col("rec_text")).alias("utt_id"))
+
+
+def framed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw records written to gzip'd text files and framed anew: how many end as they should, and how many are no UTF-8."""
+    path = shared_path(spark, "machine-output")
+    table(spark, sf_dir, "mmo_records").where("rec_text is not null").select("rec_text").write.text(path, compression="gzip")
+    framed = read_machine_output(spark, f"{path}/*.gz")
+    return framed.agg(F.count(F.when(F.col("problem").isNull(), 1)).alias("n"), F.count(F.when(F.col("problem") == "encoding", 1)).alias("broken"))
+
+
 def packed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     utts = explode_packed(table(spark, sf_dir, "edges"), "edge_id", "utt_ids")
     types = explode_packed(table(spark, sf_dir, "vertices"), "vertex_id", "semtypes")
@@ -70,6 +83,8 @@ def p5_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "record_ids": record_ids,
+    "framed_records": framed_records,
     "p2_found": p2_found,
     "p2_reasons": p2_reasons,
     "p2_utterances": p2_utterances,
@@ -87,6 +102,8 @@ UNPACK = (
 )
 
 SQL = {
+    "record_ids": r"select record_id, regexp_extract(rec_text, 'utterance\(''([^'']+)'',', 1) as utt_id from mmo_records",
+    "framed_records": "select coalesce(sum(len(list_filter(string_split(rec_text, chr(10)), lambda x: x = chr(39) || 'EOU' || chr(39) || '.'))), 0)::bigint as n, 0::bigint as broken from mmo_records",
     "p4_found": "select 'edge.uttIds' as field_name, * from (" + UNPACK.format("utt_ids", "edge_id", "edges") + ") union all "
     "select 'vertex.semtypes' as field_name, * from (" + UNPACK.format("semtypes", "vertex_id", "vertices") + ")",
     "p5_found": r"""select file_path, rec_no from (select file_path, rec_no, row_number() over (partition by id,

@@ -1,5 +1,8 @@
+import glob
 import gzip
+import random
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +11,7 @@ from spanloom.sources.mmo import Rejected, load_records, parse_record, read_mach
 from spanloom.sources.text import document_xml, frame_documents, read_blank_line_documents, read_properties, read_relations, read_xml, write_xml
 from spanloom.operators.graph import load_relations, merge_edges
 from spanloom.sources.graph_store import read_graph, read_shards, write_graph
+from tests.brute_mmo import conforms
 from spanloom.streaming.graph import current_edges, stream_evidence
 
 RECORD = """args('MetaMap',[]).
@@ -190,3 +194,30 @@ def test_stream(spark, tmp_path):
         spark.createDataFrame([("A", "r", "B", "u2"), ("A", "r", "C", "u3")], schema).write.mode("append").parquet(str(tmp_path / "in"))
     edges = {(r.src, r.dst): (r.utt_ids, r.edge_count) for r in current_edges(spark.read.parquet(str(tmp_path / "out"))).collect()}
     assert edges == {("A", "B"): (["u1", "u2"], 2), ("A", "C"): (["u3"], 1)}
+
+
+def loads(text):
+    try:
+        parse_record(text)
+        return True
+    except Rejected:
+        return False
+
+
+def test_loader_against_the_slow_reading():
+    """Records damaged at random, and all of the test tables: the patterns and a reading character by character agree."""
+    rng = random.Random(7)
+    bits = list("'\"\\,()[]/.\n -0x") + ["''", '""', "\\'", "yes", "mappings", "'EOU'.", "\u2028", "\r", "ev(", "])."]
+    seen = {True: 0, False: 0}
+    for _ in range(4_000):
+        text = RECORD
+        for _ in range(rng.choice((1, 1, 2, 4))):
+            at = rng.randrange(len(text))
+            how = rng.randrange(3)
+            text = text[:at] + (rng.choice(bits) if how else "") + text[at + (how != 1) * rng.choice((1, 1, 5)) :]
+        assert loads(text) == conforms(text), text
+        seen[loads(text)] += 1
+    assert min(seen.values()) > 300
+    for path in glob.glob("/root/testdata/sf0.0*/mmo_records.parquet"):
+        for text in pq.read_table(path, columns=["rec_text"]).column(0).to_pylist():
+            assert loads(text) == conforms(text)

@@ -4,7 +4,8 @@ from spanloom.functions.render import show_annotation, show_chunk, show_concept,
 from spanloom.operators.extract import relation_evidence
 from spanloom.operators.graph import upsert_edges
 from spanloom.operators.relations import clean_path, collapse, path_nodes, print_path
-from spanloom.operators.trees import dependency_path, depth, has_cycle, heads_of, match_template, nominal_relations, pretty_print, print_roles, role_triples, root_paths_of, shallowest, subtree
+from spanloom.streaming.graph import windowed_counts
+from spanloom.operators.trees import dependency_path, depth, has_cycle, heads_of, match_template, nominal_relations, number_tokens, pretty_print, print_roles, role_triples, root_paths_of, shallowest, subtree
 
 TOKEN = "struct<position:int,begin:int,end:int,covered_text:string,lemma:string,pos_tag:string,dep_tag:string,depends_on:int>"
 
@@ -141,3 +142,10 @@ def test_chains_of_any_depth(spark):
     assert (got[3].paths, got[4].paths, got[5].paths) == ([[1]], [], None)
     assert got[6].cycle and {len(path) for path in got[6].paths} == {300}
     assert got[7].cycle and got[7].paths == [[1], [2, 1], [3, 4], [4, 3]]
+
+
+def test_numbered_tokens_and_windows(spark):
+    tokens = spark.createDataFrame([("d", 0, 5, "b"), ("d", 0, 1, "a"), ("d", 1, 9, "c")], "doc string, sent int, begin int, word string")
+    assert sorted((r.sent, r.position, r.word) for r in number_tokens(tokens, ["doc", "sent"], ["begin"]).collect()) == [(0, 1, "a"), (0, 2, "b"), (1, 1, "c")]
+    rows = spark.sql("select timestamp'2020-01-01 00:00:30' as t, 'a' as src, 'r' as rel, 'b' as dst union all select timestamp'2020-01-01 00:00:50', 'a', 'r', 'b' union all select timestamp'2020-01-01 00:01:10', 'a', 'r', 'b'")
+    assert sorted((r.window.start.minute, r.n) for r in windowed_counts(rows, "t", "1 minute", "5 minutes").collect()) == [(0, 2), (1, 1)]
