@@ -114,10 +114,13 @@ def describe(word: str) -> tuple[int, ...]:
         if len(fits) != 1:
             return _hash(MASK.sub("*", simple)), _hash("*" + simple[:1]), _hash("*"), MASKED, CUE.get(simple, 0), 3, 0
         simple = fits[0]
+    return _described(word, simple, any(c.isdigit() for c in simple))
+
+
+def _described(word: str, simple: str, digits: bool) -> tuple[int, ...]:
     kind = LEXICON.get(simple, 0)
     if not kind and simple.endswith("s"):
         kind = LEXICON.get(simple[:-1], 0)
-    digits = any(c.isdigit() for c in simple)
     shape = 1 if digits else 2 if word[:1].isupper() else 0
     if digits:
         simple = re.sub(r"\d+", "0", simple)
