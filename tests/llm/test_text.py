@@ -4,6 +4,7 @@ from math import log
 import pytest
 from pyspark.sql import functions as F
 
+from tests.llm.held_out_sentences import TEXTS, joined
 from spanloom.llm.mixing import Source, entropy, listed_sources, mixture, plan_mixture, plan_temperature, planned_shares, reached_shares, realised, stored_sizes, token_sizes
 from spanloom.llm.sentences import sentences, split_sentences
 from spanloom.llm.tokenizer import PATTERN, VOCABULARY, Encoder, PerfectHash, encode_documents, merge_bytes, read_ranks
@@ -236,3 +237,22 @@ def test_marks_without_their_other_half_hold_nothing_together():
 def test_greek_question_far_behind_the_last_greek_word():
     text = f"Πήρατε {'COVID-19 mRNA BNT162b2 ' * 12}vaccine; Ναι, το πήρα."
     assert len(split_sentences(text)) == 2
+
+
+def held_out_figures():
+    """By script: sentences of the held-out texts that come out just so, and how many there are."""
+    found = {}
+    for script, texts in TEXTS.items():
+        right = total = 0
+        for sentences_ in texts:
+            text = joined(script, sentences_)
+            got = [text[a:b] for a, b in split_sentences(text)]
+            right += len(set(got) & set(sentences_))
+            total += len(sentences_)
+        found[script] = (right, total)
+    return found
+
+
+def test_held_out_sentences():
+    figures = held_out_figures()
+    assert sum(r for r, _ in figures.values()) / sum(n for _, n in figures.values()) >= 0.85
