@@ -24,26 +24,29 @@ def trimmed(key: Column) -> Column:
 class MembershipFilter:
     """A blocked Bloom filter kept as a table: one row of eight 64-bit words per block of 512 bits.
 
-    It grows with the keys (``bits_per_key`` bits each) and is therefore never collected. It is built by an aggregation
-    over blocks that combines before it shuffles. Up to ``MOST_FILTER_BYTES`` it is broadcast, so that keys are answered
-    where they lie; a larger one is asked by a join on the block's number.
+    It grows with the keys (``bits_per_key`` bits each) and is therefore never collected. A key's block lies among those of
+    the key's bucket in the store, so a task that builds it from a bucket combines all keys of a block before anything is
+    shuffled. Up to ``MOST_FILTER_BYTES`` it is broadcast, so that keys are answered where they lie; a larger one is asked
+    by a join on the block's number.
     """
 
-    def __init__(self, table: DataFrame, blocks: int) -> None:
-        self.table, self.blocks = table, blocks
+    def __init__(self, table: DataFrame, buckets: int, per_bucket: int) -> None:
+        self.table, self.buckets, self.per_bucket = table, buckets, per_bucket
 
     @staticmethod
-    def blocks_for(n_keys: int, bits_per_key: int) -> int:
-        return max(1, n_keys * bits_per_key // (64 * WORDS) + 1)
+    def blocks_for(n_keys: int, bits_per_key: int, buckets: int) -> int:
+        """Blocks of a bucket."""
+        return max(1, n_keys * bits_per_key // (64 * WORDS * buckets) + 1)
 
     @classmethod
-    def of(cls, keys: DataFrame, blocks: int) -> MembershipFilter:
+    def of(cls, keys: DataFrame, buckets: int, per_bucket: int) -> MembershipFilter:
         words = [F.bit_or(bit).alias(f"word_{i}") for i, bit in enumerate(cls._bits())]
-        return cls(keys.select("kind", "key").groupBy(cls._block(blocks).alias("block")).agg(*words), blocks)
+        return cls(keys.select("kind", "key").groupBy(cls._block(buckets, per_bucket).alias("block")).agg(*words), buckets, per_bucket)
 
     @staticmethod
-    def _block(blocks: int) -> Column:
-        return F.pmod(F.xxhash64("kind", "key"), F.lit(blocks))
+    def _block(buckets: int, per_bucket: int) -> Column:
+        bucket = F.pmod(F.hash("kind", "key"), F.lit(buckets)).cast("bigint")
+        return bucket * per_bucket + F.pmod(F.xxhash64("kind", "key"), F.lit(per_bucket))
 
     @staticmethod
     def _bits() -> list[Column]:
@@ -53,12 +56,12 @@ class MembershipFilter:
 
     def ask(self, keys: DataFrame) -> DataFrame:
         """``keys`` with ``maybe``: false if a key certainly is not in the filter."""
-        asked = keys.withColumn("block", self._block(self.blocks))
+        asked = keys.withColumn("block", self._block(self.buckets, self.per_bucket))
         hits = [F.col(f"word_{i}").bitwiseAND(bit) != 0 for i, bit in enumerate(self._bits())]
         all_set = hits[0]
         for hit in hits[1:]:
             all_set = all_set & hit
-        table = F.broadcast(self.table) if self.blocks * 8 * (WORDS + 1) <= MOST_FILTER_BYTES else self.table
+        table = F.broadcast(self.table) if self.buckets * self.per_bucket * 8 * (WORDS + 1) <= MOST_FILTER_BYTES else self.table
         joined = asked.join(table, "block", "left").withColumn("maybe", F.coalesce(all_set, F.lit(False)))
         return joined.drop("block", *[f"word_{i}" for i in range(WORDS)])
 
@@ -78,30 +81,35 @@ class KeyStore:
         self.bits_per_key, self.room = bits_per_key, room
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = f"key_store_{uuid.uuid4().hex}"
-        self.blocks = self.batches = 0
+        self.per_bucket = self.batches = 0
 
     def append(self, keys: DataFrame) -> KeyStore:
-        """Add ``(kind, key)``; nulls are no keys, repeats are combined before they are shuffled."""
+        """Add ``(kind, key)``; nulls are no keys, repeats are combined before they are shuffled. Making keys distinct parts them
+        by the hash that buckets go by, so that is the only shuffle they see."""
         fresh = keys.where("kind is not null and key is not null").select("kind", "key").distinct()
-        batch = stored(fresh, "key-batch")
-        if not self.blocks:
-            self.blocks = MembershipFilter.blocks_for(int(batch.count() * self.room), self.bits_per_key)
-        writer = batch.repartition(self.buckets, "kind", "key").write.mode("append").option("path", f"{self.path}/keys")
+        writer = fresh.withColumn("batch", F.lit(self.batches)).write.mode("append").option("path", f"{self.path}/keys")
         writer.bucketBy(self.buckets, "kind", "key").saveAsTable(self.name)
-        MembershipFilter.of(batch, self.blocks).table.write.parquet(f"{self.path}/filter/batch={self.batches}")
+        batch = self.spark.table(self.name).where(F.col("batch") == self.batches)
+        if not self.per_bucket:
+            self.per_bucket = MembershipFilter.blocks_for(int(batch.count() * self.room), self.bits_per_key, self.buckets)
+        MembershipFilter.of(batch, self.buckets, self.per_bucket).table.write.parquet(f"{self.path}/filter/batch={self.batches}")
         self.batches += 1
         return self
 
     @property
     def keys(self) -> DataFrame:
-        return self.spark.table(self.name)
+        return self.spark.table(self.name).select("kind", "key")
 
     @property
     def filter(self) -> MembershipFilter:
         table = self.spark.read.parquet(f"{self.path}/filter").drop("batch")
         if self.batches > 1:
             table = table.groupBy("block").agg(*[F.bit_or(f"word_{i}").alias(f"word_{i}") for i in range(WORDS)])
-        return MembershipFilter(table, self.blocks)
+        return MembershipFilter(table, self.buckets, self.per_bucket)
+
+    def drop(self) -> None:
+        """Forget the store; its files go with the application's folder, or with a path of its own when that is deleted."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
 def known_store(known: DataFrame, bits_per_key: int = 16) -> KeyStore:
@@ -123,10 +131,9 @@ def first_occurrences(incoming: DataFrame, store: KeyStore) -> DataFrame:
     )
     asked = stored(store.filter.ask(firsts), "asked-keys")
     passed, turned_away = asked.where("maybe"), asked.where("not maybe").withColumn("known", F.lit(False))
-    full = store.keys
-    confirmed = passed.join(full, ["kind", "key"], "left_semi").withColumn("known", F.lit(True))
-    disproved = passed.join(full, ["kind", "key"], "left_anti").withColumn("known", F.lit(False))
-    return turned_away.unionByName(confirmed).unionByName(disproved)
+    confirmed = stored(passed.join(store.keys, ["kind", "key"], "left_semi"), "confirmed-keys")  # the full keys are read once
+    disproved = passed.join(confirmed.select("kind", "key"), ["kind", "key"], "left_anti").withColumn("known", F.lit(False))
+    return turned_away.unionByName(confirmed.withColumn("known", F.lit(True))).unionByName(disproved)
 
 
 def seen_before(incoming: DataFrame, store: KeyStore) -> DataFrame:
