@@ -234,7 +234,7 @@ def compact_records(
     ``records`` are a table in which each row names its ``partition``, ``file`` and ``size``. Only partitions that
     :func:`small_file_partitions` finds are rewritten, by dynamic partition overwrite; the others are passed on as they
     lie. With ``keep`` (keys of the records to keep, unique) all other records are left out of either. A rewritten
-    partition is spread over the files planned for it by a hash of the key, each of them one task's work, so one that holds a
+    partition is spread over the files planned for it by a hash of the key, each of them another task's work, so one that holds a
     third of all rows is many tasks' work. Folders are named after a digest of the value (``null`` for null) and the value
     itself is stored in the files: a folder named after the value would be read back as null for an empty one. New files
     lie below ``_data`` and belong to the table once a snapshot says so; if another writer has made one since the start,
@@ -248,10 +248,11 @@ def compact_records(
     planned = numbered(plan.select(F.col(partition).alias("plan_partition"), "n_out"))
     same = F.col(partition).eqNullSafe(F.col("plan_partition"))
 
+    keys = stored(keep.select(*[F.col(name).alias(f"keep_{name}") for name in key]), "kept-keys") if keep is not None else None
+
     def kept(part: DataFrame) -> DataFrame:
-        if keep is None:
+        if keys is None:
             return part
-        keys = keep.select(*[F.col(name).alias(f"keep_{name}") for name in key])
         match = [F.col(name).eqNullSafe(F.col(f"keep_{name}")) for name in key]
         return part.join(keys, match, "left_semi")
 
@@ -259,7 +260,7 @@ def compact_records(
         return kept(records)
     folder = F.coalesce(F.sha2(F.col(partition).cast("string"), 256), F.lit("null"))
     rewritten = kept(records.join(planned, same).drop("plan_partition").withColumn("plan_folder", folder))
-    generation = write_generation(rewritten, target, "plan_folder", list(key or (file,)), plan)
+    generation = write_generation(rewritten, target, "plan_folder", list(key or (file,)), plan, policy)
     new = stored(snapshots.listed(f"/_data/{generation.rpartition('/')[2]}", "plan_folder"), "new-files")
     older = snapshots.files(base, "live")
     live = new if older is None else new.unionByName(older.join(new.select("plan_partition").distinct(), "plan_partition", "left_anti"))
@@ -278,17 +279,20 @@ def numbered(plan: DataFrame) -> DataFrame:
     return plan.withColumn("before", F.sum("n_out").over(Window.orderBy("plan_partition")) - F.col("n_out"))
 
 
-def write_generation(rows: DataFrame, path: str, folder: str, spread: list[str], plan: DataFrame) -> str:
+def write_generation(rows: DataFrame, path: str, folder: str, spread: list[str], plan: DataFrame, policy: Policy) -> str:
     """Write ``rows`` (with ``n_out`` and ``before`` of their partition) below ``_data`` in a folder of their own and return that.
 
-    Each file that was planned is one task's work, told by its number among all, so there are as many files as planned
-    however many that are; a row's file in its partition is a hash of its ``spread`` columns. Partitions are overwritten
-    dynamically, so that a job run again after a failure leaves its files once.
+    A row's file in its partition is a hash of its ``spread`` columns. Files are numbered through, and the number tells the
+    task: there are as many tasks as the largest partition has files, and as files of the target size there are in all,
+    so no two files of a partition meet in a task and become one, and small partitions share tasks. Partitions are
+    overwritten dynamically, so that a job run again after a failure leaves its files once.
     """
     generation = f"{path.rstrip('/')}/_data/gen={uuid.uuid4().hex}"
-    total = plan.agg(F.coalesce(F.sum("n_out"), F.lit(0))).first()[0]
+    total, most, size = plan.agg(F.sum("n_out"), F.max("n_out"), F.sum("n_bytes")).first()
+    cores = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(most or 1, -(-(size or 0) // policy.target_bytes), min(total or 1, cores))
     number = F.col("before") + F.pmod(F.xxhash64(*[F.col(name) for name in spread]), F.col("n_out"))
-    writer = rows.repartitionById(max(1, int(total)), number.cast("int")).drop("n_out", "before").write.mode("overwrite")
+    writer = rows.repartitionById(tasks, F.pmod(number, F.lit(tasks)).cast("int")).drop("n_out", "before").write.mode("overwrite")
     writer.option("partitionOverwriteMode", "dynamic").partitionBy(folder).parquet(generation)
     return generation
 
@@ -320,7 +324,7 @@ def compact_directory(spark: SparkSession, path: str, partition: str, policy: Po
     same = F.col(partition).cast("string").eqNullSafe(F.col("plan_partition"))
     parts = [part for part in (rows, snapshots.read(lives)) if part is not None]
     both = reduce(lambda a, b: a.unionByName(b.select(*[F.col(c).cast(t) for c, t in a.dtypes])), parts)
-    generation = write_generation(both.join(planned, same).drop("plan_partition"), path, partition, both.columns, plan)
+    generation = write_generation(both.join(planned, same).drop("plan_partition"), path, partition, both.columns, plan, policy)
     new = stored(snapshots.listed(f"/_data/{generation.rpartition('/')[2]}", partition), "new-files")
     kept = new if live is None else new.unionByName(live.join(chosen, of_plan, "left_anti"))
     gone = replaced if retired is None else replaced.unionByName(retired)
