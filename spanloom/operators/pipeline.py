@@ -18,6 +18,8 @@ from spanloom.sources.files import read_bytes
 
 #: The id of a document without one.
 NO_ID = "NO_ID"
+#: Digests of finished documents, 64 characters each, that are broadcast.
+MOST_DONE = 100_000
 TOKENS = "array<struct<sent_no:int,position:int,begin:int,end:int,covered_text:string,lemma:string,pos_tag:string>>"
 CHUNKS = "array<struct<begin:int,end:int,chunk_type:string>>"
 CONCEPTS = "array<struct<source:string,concept_id:string,preferred_label:string,synonyms:array<string>,score:double>>"
@@ -172,20 +174,22 @@ class Pipeline:
     def append(self, documents: DataFrame, path: str) -> DataFrame:
         """Annotate the documents that are not yet in the table at ``path``, append them to it and return them all.
 
-        A document is told by its id, or where that is ``NO_ID`` by its text too; ids and digests of texts are compared, never
-        texts, and of what is there only the ids are read.
+        A document is told by its id, or where that is ``NO_ID`` by its text too. Digests are compared, never texts. Up to
+        ``MOST_DONE`` of them go to the documents, so that no text is shuffled; beyond that documents meet them by a shuffle.
         """
         spark = documents.sparkSession
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
-            done = spark.read.parquet(path).select(_identity().alias("done")).distinct()
+            done = stored(spark.read.parquet(path).select(_identity().alias("done")).distinct(), "done")
+            done = F.broadcast(done) if done.count() <= MOST_DONE else done
             documents = documents.join(done, _identity() == F.col("done"), "left_anti")
         self.run(documents).write.mode("append").parquet(path)
         return spark.read.parquet(path)
 
 
 def _identity() -> Column:
-    return F.when(F.col("id") == NO_ID, F.concat(F.lit("text:"), F.coalesce(F.sha2("text", 256), F.lit("null")))).otherwise(F.concat(F.lit("id:"), F.col("id")))
+    own = F.when(F.col("id") == NO_ID, F.concat(F.lit("text:"), F.coalesce("text", F.lit("")), F.col("text").isNull().cast("string")))
+    return F.sha2(own.otherwise(F.concat(F.lit("id:"), F.col("id"))), 256)
 
 
 def as_documents(rows: DataFrame, key: str, text: str) -> DataFrame:

@@ -1,8 +1,8 @@
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.operators.pipeline import NO_ID, ModelAnnotator, Pipeline, as_documents, batches, counted
+from spanloom.operators import pipeline
+from spanloom.operators.pipeline import NO_ID, ModelAnnotator, Pipeline, as_documents, batches, counted, full_pipeline
 from spanloom.operators.store import as_annotations, by_layer, insert, lineage, listings, listings_between, of_type, remove_all, remove_type, sentences_of_sections
 from spanloom.operators.trees import Template, find, match_tree, node_of, zip_nodes
 from spanloom.sources.annotation_xml import documents_xml, read_documents_xml, write_document_files, written_ids
@@ -93,12 +93,11 @@ def test_model_files(spark, tmp_path):
 
     out = Pipeline([ModelAnnotator(f"file://{tmp_path}/model.txt", load, "bang")]).run(docs)
     assert sorted((r.id, r.text, r.enhanced_by) for r in out.collect()) == [("1", "a!", ["bang"]), ("2", None, ["bang"])]
-    assert pd is not None
 
 
-def test_append_keeps_documents_without_an_id(spark, tmp_path):
-    from spanloom.operators.pipeline import full_pipeline
-
+@pytest.mark.parametrize("most", [pipeline.MOST_DONE, 0])
+def test_append_keeps_documents_without_an_id(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(pipeline, "MOST_DONE", most)
     docs = as_documents(spark.createDataFrame([(None, "One DNA."), (None, "Two."), (None, None), ("7", "x")], "k string, t string"), "k", "t")
     path = f"file://{tmp_path}/out"
     full_pipeline().append(docs.where("text = 'One DNA.'"), path)
