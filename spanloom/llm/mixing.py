@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import ceil, exp, isqrt, log
+from math import exp, isqrt, log
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
