@@ -156,13 +156,14 @@ def match_template(edges: DataFrame, key: list[str], steps: list[tuple[str, str]
 
     ``edges`` has ``key``, ``position``, ``head``, ``dep_tag`` and the node's ``label``; ``steps`` are pairs of patterns for the edge's tag
     and the lower node's label, each to match whole, ``root`` the pattern for the topmost node. One join by sentence and head
-    for each step. For branching templates see :func:`match_tree`.
+    for each step, none of them by broadcast: edges unfolded from token arrays are taken for as small as the arrays' files, so the
+    planner would gather whole corpora on the driver. For branching templates see :func:`match_tree`.
     """
     found = edges.where(F.col(label).rlike(whole(root))).select(*key, F.col("position").alias("p_0"))
     for at, (tag, node) in enumerate(steps, 1):
         step = edges.where(F.col("dep_tag").rlike(whole(tag)) & F.col(label).rlike(whole(node)))
         step = step.select(*key, F.col("head").alias(f"p_{at - 1}"), F.col("position").alias(f"p_{at}"))
-        found = found.join(step, [*key, f"p_{at - 1}"])
+        found = found.join(step.hint("merge"), [*key, f"p_{at - 1}"])
     return found
 
 
@@ -170,11 +171,14 @@ def nominal_relations(edges: DataFrame, key: list[str], subject: str = "nsubj|.o
     """``(key, position, head, label)`` of the roles that nouns give to their prepositional complements.
 
     For ``x -(subject)-> n -(preposition)-> p -(object)-> o``: with the preposition *of* the object takes the role A1 of ``n``, else the
-    preposition takes AM, once for each object.
+    preposition takes AM, once for each object. A node without a lemma matches like any other. For token arrays see
+    :func:`nominal_roles`, which joins nothing.
     """
-    found = match_template(edges, key, [(subject, ".*"), (preposition, ".*"), (object_, ".*")])
+    edges = edges.withColumn("lemma", F.coalesce("lemma", F.lit("")))
+    anything = "(?s).*"
+    found = match_template(edges, key, [(subject, anything), (preposition, anything), (object_, anything)], anything)
     prep = edges.select(*key, F.col("position").alias("p_2"), F.col("lemma").alias("prep_lemma"))
-    found = found.join(prep, [*key, "p_2"])
+    found = found.join(prep.hint("merge"), [*key, "p_2"])
     genitive = F.col("prep_lemma") == of
     return found.select(
         *key, F.when(genitive, F.col("p_3")).otherwise(F.col("p_2")).alias("position"), F.col("p_1").alias("head"),
@@ -182,6 +186,27 @@ def nominal_relations(edges: DataFrame, key: list[str], subject: str = "nsubj|.o
     )
 
 
+def nominal_roles(tokens: Column, subject: str = "nsubj|.obj", preposition: str = "prep", object_: str = "pobj", of: str = "of") -> Column:
+    """The roles of :func:`nominal_relations` as ``(position, head, label)``, from a sentence's tokens, in order and numbered without gaps.
+
+    Matched upwards: every object has one preposition above it and that one noun, found by position, so the work is linear in
+    the sentence's size.
+    """
+    tagged = lambda t, tag: t["dep_tag"].rlike(whole(tag))
+    above = lambda t: F.get(tokens, t["depends_on"] - 1)
+
+    def role(o: Column, p: Column, n: Column) -> Column:
+        genitive = p["lemma"] == of
+        said = F.struct(
+            F.when(genitive, o["position"]).otherwise(p["position"]).alias("position"), n["position"].alias("head"), F.when(genitive, "A1").otherwise("AM").alias("label"),
+        )
+        return F.when(tagged(p, preposition) & tagged(n, subject) & above(n).isNotNull(), said)
+
+    objects = F.filter(tokens, lambda t: tagged(t, object_))
+    roles = F.transform(objects, lambda o: let(above(o), lambda p: let(above(p), lambda n: role(o, p, n))))
+    return F.filter(roles, lambda r: r.isNotNull())
+
+
 def print_roles(tokens: Column, paths: Column, roles: Column) -> Column:
     """``label(head lemma,argument)`` of each role ``(position, head, label)``, joined by tabs: the argument is the text below
     the token if it lies deeper than the head, else its lemma."""

@@ -116,8 +116,8 @@ def out_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.out_edges(table(spark, sf_dir, "edges"), SOME_CUI).select("rel", "dst", "edge_id")
 
 
-def event_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per user the token array and root paths, in a table of their own as several steps read them."""
+def event_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per user the token array."""
     e = table(spark, sf_dir, "events")
     place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     rows = e.select("user_id", "event_type", place.alias("position"))
@@ -127,7 +127,12 @@ def event_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
         "position", F.lit(0).alias("begin"), F.lit(0).alias("end"), F.col("event_type").alias("covered_text"), F.col("event_type").alias("lemma"),
         pos.alias("pos_tag"), tag.alias("dep_tag"), F.expr("cast(position div 2 as int)").alias("depends_on"),
     )
-    trees = rows.select("user_id", token.alias("t")).groupBy("user_id").agg(F.array_sort(F.collect_list("t")).alias("tokens"))
+    return rows.select("user_id", token.alias("t")).groupBy("user_id").agg(F.array_sort(F.collect_list("t")).alias("tokens"))
+
+
+def event_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per user the token array and root paths, in a table of their own as several steps read them."""
+    trees = event_tokens(spark, sf_dir)
     return spread(stored(trees.withColumn("paths", T.root_paths(F.col("tokens"))), "trees"))
 
 
@@ -243,7 +248,9 @@ def event_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nominal_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.nominal_relations(event_edges(spark, sf_dir), ["user_id"], subject="nsubj|.obj", preposition="prep|conj", object_="conj|nsubjpass", of="click")
+    """Worked out within the user's row; root paths are not needed."""
+    roles = T.nominal_roles(F.col("tokens"), subject="nsubj|.obj", preposition="prep|conj", object_="conj|nsubjpass", of="click")
+    return event_tokens(spark, sf_dir).where("user_id is not null").select("user_id", F.explode(roles).alias("x")).select("user_id", "x.*")
 
 
 def branching_matches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,6 @@
+import itertools
+import random
+
 from pyspark.sql import functions as F
 
 from spanloom.functions.render import show_annotation, show_chunk, show_concept, show_node, show_span
@@ -5,7 +8,9 @@ from spanloom.operators.extract import relation_evidence
 from spanloom.operators.graph import upsert_edges
 from spanloom.operators.relations import clean_path, collapse, path_nodes, print_path
 from spanloom.streaming.graph import windowed_counts
-from spanloom.operators.trees import dependency_path, depth, has_cycle, heads_of, match_template, nominal_relations, number_tokens, pretty_print, print_roles, role_triples, root_paths_of, shallowest, subtree
+from spanloom.operators.trees import dependency_path, depth, has_cycle, heads_of, match_template, nominal_relations, nominal_roles, number_tokens, pretty_print, print_roles, role_triples, root_paths_of, shallowest, subtree
+from spanloom.plans.graph import QUERIES, SQL, event_edges
+from tests.oracle import differences
 
 TOKEN = "struct<position:int,begin:int,end:int,covered_text:string,lemma:string,pos_tag:string,dep_tag:string,depends_on:int>"
 
@@ -100,6 +105,42 @@ def test_nominal_relations(spark):
     assert match_template(edges, ["s"], [("prep", "for"), ("pobj", ".*")]).count() == 1
 
 
+def brute_roles(tokens):
+    tags = {"subject": {"nsubj", "dobj", "pobj"}, "prep": {"prep"}, "object": {"pobj", "conj"}}
+    by, found = {t[0]: t for t in tokens}, []
+    for x, n, p, o in itertools.product(tokens, repeat=4):
+        if n[7] == x[0] and p[7] == n[0] and o[7] == p[0] and n[6] in tags["subject"] and p[6] in tags["prep"] and o[6] in tags["object"]:
+            found.append((o[0], n[0], "A1") if by[p[0]][4] == "of" else (p[0], n[0], "AM"))
+    return sorted(found)
+
+
+def test_nominal_roles_match_upwards(spark):
+    rng = random.Random(5)
+    words, tags = ["of", "of", "for", "a\nb", None], ["nsubj", "dobj", "prep", "prep", "pobj", "conj", "xobject", None]
+    sentences = [[(i, 0, 0, "", rng.choice(words), "NN", rng.choice(tags), rng.choice([None, -1, *range(n + 2)])) for i in range(1, n + 1)] for n in (0, 1, 2, 4, 8, 12) for _ in range(40)]
+    df = trees(spark, *sentences)
+    roles = nominal_roles(F.col("tokens"), object_="pobj|conj")
+    got = {r.id: sorted(map(tuple, r.roles)) for r in df.select("id", roles.alias("roles")).collect()}
+    edges = df.select("id", F.explode("tokens").alias("t")).select("id", "t.position", F.col("t.depends_on").alias("head"), "t.dep_tag", "t.lemma")
+    joined = {i: [] for i in got}
+    for r in nominal_relations(edges, ["id"], object_="pobj|conj").collect():
+        joined[r.id].append(tuple(r)[1:])
+    want = dict(enumerate(map(brute_roles, sentences)))
+    assert {label for found in want.values() for _, _, label in found} == {"A1", "AM"}
+    assert got == want and {i: sorted(found) for i, found in joined.items()} == want
+
+
+def test_nominal_relations_broadcast_nothing(spark, tmp_path):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rows = [(("click", None, "view")[i % 3], user, i) for user in (0, 1, None) for i in range(200)]
+    events = spark.createDataFrame(rows, "event_type string, user_id long, event_id long").withColumn("ts", F.timestamp_seconds("event_id"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    found = QUERIES["nominal_relations"](spark, str(tmp_path))
+    assert found.count() > 0 and differences(spark, str(tmp_path), "nominal_relations", QUERIES["nominal_relations"], SQL["nominal_relations"]) == ""
+    assert "Join" not in plan(found)
+    assert "Broadcast" not in plan(nominal_relations(event_edges(spark, str(tmp_path)), ["user_id"]))
+
+
 def test_roles_printed(spark):
     tokens = sentence([("treatment", "treatment", "NN", "nsubj", 4), ("of", "of", "IN", "prep", 1), ("pain", "pain", "NN", "pobj", 2), ("helps", "help", "VBZ", "root", 0)])
     roles = F.array(F.struct(F.lit(3).alias("position"), F.lit(1).alias("head"), F.lit("A1").alias("label")))
